@@ -73,9 +73,14 @@ def hash_fraction(seed: str, *keys: Column, scale: int = 10_000) -> Column:
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    """All n-character windows of a text, the whole text when it is shorter (one element)."""
-    size = F.length(text)
-    return F.when(
-        size > n,
-        F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substr(text, i, F.lit(n))),
-    ).otherwise(F.array(text))
+    """All n-character windows of a text, or the text itself when it has at most n characters.
+
+    The look-ahead captures the window and consumes one character, so the scan is linear.
+    """
+    windows = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+    return F.when(F.length(text) > n, windows).otherwise(F.array(text))
+
+
+def md5_long(text: Column, hex_digits: int) -> Column:
+    """The leading hex digits of the md5 digest as a (signed for 16 digits) long."""
+    return F.conv(F.substring(F.md5(text), 1, hex_digits), 16, -10).cast("long")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def write_stage(df: DataFrame, root: str, stage: str, study_run: tuple[str, ...] = ("study_id", "run_id")) -> str:
-    """One parquet table per stage, partitioned by study and run."""
+    """One parquet table per stage below the folder of a job, partitioned by study and run."""
     path = f"{root}/{stage}"
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*study_run).parquet(path)
+    df.write.mode("overwrite").partitionBy(*study_run).parquet(path)
     return path
 
 

@@ -97,7 +97,7 @@ class Tables:
             .when(e % 5 == 0, F.array(topic, _pick(vocab.TOPICS, (e + 1) % 12)))
             .otherwise(F.array(topic)).alias("topics"),
             stance.alias("stance"),
-            F.when(e % 3 != 0, _pick(vocab.EMOTIONS, e % 8)).alias("emotion"),
+            F.when(e % 4 != 1, _pick(vocab.EMOTIONS, e % 8)).alias("emotion"),
             (e % 4).alias("intensity"),
             F.when(e % 13 == 0, F.lit("明显")).when(e % 17 == 0, F.lit("无法判断"))
             .when(e % 7 == 0, F.lit("可能")).otherwise(F.lit("无")).alias("irony"),
@@ -185,7 +185,7 @@ SELECT CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS study_id, CAST(event_i
        ELSE [{_TOPICS}[event_id % 12 + 1]] END AS topics,
   CASE WHEN event_id % 11 <> 0 THEN CASE event_type WHEN 'purchase' THEN '支持' WHEN 'error' THEN '反对'
        WHEN 'view' THEN '中立' WHEN 'click' THEN '混合' WHEN 'signup' THEN '不明确' END END AS stance,
-  CASE WHEN event_id % 3 <> 0 THEN {_sql_list(vocab.EMOTIONS)}[event_id % 8 + 1] END AS emotion,
+  CASE WHEN event_id % 4 <> 1 THEN {_sql_list(vocab.EMOTIONS)}[event_id % 8 + 1] END AS emotion,
   event_id % 4 AS intensity,
   CASE WHEN event_id % 13 = 0 THEN '明显' WHEN event_id % 17 = 0 THEN '无法判断'
        WHEN event_id % 7 = 0 THEN '可能' ELSE '无' END AS irony,

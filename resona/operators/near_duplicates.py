@@ -1,2 +1,206 @@
-def mark_duplicates(kept):
-    raise NotImplementedError
+"""Greedy near-duplicate groups, exactly as a sequential pass over the posts would form them.
+
+The sequential rule: a post joins the first group head it resembles (heads of the length
+bucket below, the same bucket, the bucket above; older heads first), otherwise it becomes a
+head. Heads are therefore the posts that resemble no earlier head.
+
+Only posts whose length buckets touch and that share one of their rare characters can
+resemble each other (a prefix filter without false negatives), so posts are indexed by
+(study, bucket, character). Heads are found in rounds over these lists. A round compares
+the earliest few undecided posts of each list with the later ones; a post that resembles an
+earlier one is set aside at once and makes no further comparisons. A group of near copies
+thus costs one comparison per member, however large it is.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .. import vocab
+from ..functions.similarity import is_near
+from ..session import checkpointed
+from .normalize import first_of_copies
+from .skew import hot_keys, join_groups, replicated, salted
+
+BUCKET = 6
+KEY = ["study_id", "post_seq"]
+LIST = ["study_id", "bucket", "ch"]
+
+
+def with_prefix(texts: DataFrame) -> DataFrame:
+    """Add len, bucket and prefix: the rare characters of which two similar texts share at least one.
+
+    Similar texts share at least 0.425*(la+lb) characters as multisets. With characters ordered
+    by how many texts hold them, one of the shared ones lies among the rarest
+    la - 0.425*(la+shortest partner) + 1 of each text.
+    """
+    n = F.length("text")
+    # The shortest text a text of n characters can resemble: bucket below, length gap rule.
+    shortest = F.greatest(
+        F.lit(1), (F.floor(n / BUCKET) - 1) * BUCKET,
+        n - F.greatest(F.lit(3), F.floor(0.15 * n) + 1))
+    share = F.ceil(vocab.NEAR_DUP_RATIO / 2 * (n + shortest) - 1e-6)
+    base = texts.select(*KEY, "text", n.alias("len"), F.floor(n / BUCKET).alias("bucket"),
+                        F.greatest(F.lit(1), n - share + 1).alias("_take"))
+    chars = base.select(
+        *KEY, "_take", "text", F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''").select(
+        *KEY, "_take", "ch", (F.length("text") - F.length(F.replace("text", "ch"))).alias("n"))
+    # One row per distinct character: at most the 1,114,112 code points of Unicode.
+    spread = chars.groupBy("ch").agg(F.count(F.lit(1)).alias("df"))
+    order = W.partitionBy(*KEY).orderBy("df", "ch").rowsBetween(W.unboundedPreceding, -1)
+    picked = chars.join(F.broadcast(spread), "ch").withColumn(
+        "_before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("_before") < F.col("_take"))
+    prefix = picked.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("df", "ch"))).alias("p")).select(
+        *KEY, F.col("p.ch").alias("prefix"))
+    return base.drop("_take").join(prefix, KEY)
+
+
+def _candidates(probes: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (p, w), p earlier, that share a list of p and pass the length rule; each pair once.
+
+    probes: KEY, bucket, len, chars (its lists); members: KEY, bucket, len, prefix.
+    """
+    p = probes.select(
+        "study_id", F.col("post_seq").alias("p"), F.col("bucket").alias("p_bucket"), F.col("len").alias("p_len"),
+        "chars", F.explode("chars").alias("ch")).withColumn(
+        "bucket", F.explode(F.array(F.col("p_bucket") - 1, F.col("p_bucket"), F.col("p_bucket") + 1)))
+    w = members.select("study_id", F.col("post_seq").alias("w"), "bucket", F.col("len").alias("w_len"), "prefix",
+                       F.explode("prefix").alias("ch"))
+    hot = hot_keys(w.groupBy(*LIST).agg(F.count(F.lit(1)).alias("n")), LIST, "n")
+    pairs = salted(w, hot, LIST, "w").join(replicated(p, hot, LIST), [*LIST, "_salt"])
+    gap = F.abs(F.col("p_len") - F.col("w_len"))
+    return pairs.where(
+        (F.col("p") < F.col("w"))
+        & (gap <= F.greatest(F.lit(3.0), 0.15 * F.greatest("p_len", "w_len")))
+        & (F.array_intersect("chars", "prefix")[0] == F.col("ch"))).select("study_id", "p", "w", "p_bucket")
+
+
+def _verified(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The pairs whose texts are similar (later text first: the measure is not symmetric)."""
+    later = vertices.select("study_id", F.col("post_seq").alias("w"), F.col("text").alias("later"))
+    per_head = pairs.groupBy("study_id", "p").agg(F.count(F.lit(1)).alias("n"))
+    heads = vertices.select("study_id", F.col("post_seq").alias("p"), F.col("text").alias("head"))
+    # A head may have very many partners, so its rows are spread.
+    texts = join_groups(pairs, heads.join(per_head, ["study_id", "p"]), ["study_id", "p"], "n", "w", how="inner")
+    return texts.join(later, ["study_id", "w"]).where(is_near("later", "head")).select(
+        "study_id", "p", "w", "p_bucket")
+
+
+def _minus(rows: DataFrame, found: DataFrame, column: str) -> DataFrame:
+    gone = found.select("study_id", F.col(column).alias("post_seq"))
+    return rows.join(gone, KEY, "left_anti")
+
+
+def _scan(active: DataFrame, fresh: DataFrame, vertices: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Compare every fresh post with the later active ones of its lists; set matched posts aside."""
+    edges: list[DataFrame] = []
+    done: DataFrame | None = None
+    size = 1
+    slim = vertices.drop("text")
+    while True:
+        now = slim.join(active, KEY, "left_semi")
+        pool = now.join(fresh, KEY, "left_semi").withColumn("ch", F.explode("prefix"))
+        if done is not None:
+            pool = pool.join(done, [*KEY, "ch"], "left_anti")
+        first = W.partitionBy(*LIST).orderBy("post_seq")
+        probes = checkpointed(pool.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= size)
+                              .select(*KEY, "bucket", "len", "ch"))
+        if probes.isEmpty():
+            return active, edges
+        lists = probes.groupBy(*KEY, "bucket", "len").agg(F.collect_set("ch").alias("chars"))
+        ordered = lists.join(slim.select(*KEY, "prefix"), KEY).withColumn(
+            "chars", F.array_intersect("prefix", "chars")).drop("prefix")
+        found = checkpointed(_verified(_candidates(ordered, now), vertices))
+        if not found.isEmpty():
+            edges.append(found)
+            active = checkpointed(_minus(active, found, "w"))
+        marks = probes.select(*KEY, "ch")
+        done = marks if done is None else done.unionByName(marks)
+        size *= 8
+
+
+def _union(parts: list[DataFrame], like: DataFrame) -> DataFrame:
+    out = parts[0] if parts else like
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def head_of(texts: DataFrame) -> DataFrame:
+    """(study_id, post_seq, head_seq) for every text; a head is its own head. Texts must be distinct."""
+    vertices = checkpointed(with_prefix(texts))
+    slim = vertices.drop("text")
+    everyone = vertices.select(*KEY)
+    none = everyone.limit(0).select(
+        "study_id", F.col("post_seq").alias("p"), F.col("post_seq").alias("w"), F.lit(0).cast("long").alias("p_bucket"))
+
+    def probes_of(keys: DataFrame) -> DataFrame:
+        return slim.join(keys, KEY, "left_semi").withColumnRenamed("prefix", "chars")
+
+    active, edges = _scan(everyone, everyone, vertices)
+    while True:
+        # A post set aside stays aside when it resembles a post that is still active. The others
+        # were set aside by posts that were set aside themselves, and are looked at again.
+        all_edges = _union(edges, none)
+        held = all_edges.join(active.withColumnRenamed("post_seq", "p"), ["study_id", "p"], "left_semi")
+        loose = checkpointed(_minus(everyone.join(active, KEY, "left_anti"), held, "w"))
+        if loose.isEmpty():
+            break
+        found = checkpointed(_verified(
+            _candidates(probes_of(active), slim.join(loose, KEY, "left_semi")), vertices))
+        edges.append(found)
+        back = checkpointed(_minus(loose, found, "w"))
+        if back.isEmpty():
+            break
+        active, more = _scan(checkpointed(active.unionByName(back)), back, vertices)
+        edges += more
+    return _nearest_heads(active, _union(edges, none), vertices)
+
+
+def _nearest_heads(heads: DataFrame, edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Give each non-head the first matching head by (bucket, age); only better ones are compared."""
+    slim = vertices.drop("text")
+    head_p = heads.withColumnRenamed("post_seq", "p")
+    known = edges.join(head_p, ["study_id", "p"], "left_semi")
+    best = known.groupBy("study_id", "w").agg(F.min(F.struct("p_bucket", "p")).alias("best"))
+    others = slim.join(heads, KEY, "left_anti")
+    pairs = _candidates(slim.join(heads, KEY, "left_semi").withColumnRenamed("prefix", "chars"), others)
+    better = pairs.join(best, ["study_id", "w"]).where(F.struct("p_bucket", "p") < F.col("best")).drop("best")
+    all_known = known.select("study_id", "w", "p", "p_bucket").unionByName(
+        _verified(better, vertices).select("study_id", "w", "p", "p_bucket"))
+    joined = all_known.groupBy("study_id", "w").agg(F.min(F.struct("p_bucket", "p")).alias("best")).select(
+        "study_id", F.col("w").alias("post_seq"), F.col("best.p").alias("head_seq"))
+    return joined.unionByName(heads.select(*KEY, F.col("post_seq").alias("head_seq")))
+
+
+def mark_duplicates(kept: DataFrame) -> DataFrame:
+    """Flag exact and near copies as duplicate; a group carries the hash of its head."""
+    marked = checkpointed(first_of_copies(kept))
+    firsts = marked.where("is_first")
+    owner = head_of(firsts.select(*KEY, "text")).where("head_seq <> post_seq")
+    hashes = firsts.select(*KEY, "exact_hash")
+    moved = owner.join(hashes, KEY).join(
+        hashes.select("study_id", F.col("post_seq").alias("head_seq"), F.col("exact_hash").alias("_head_hash")),
+        ["study_id", "head_seq"]).select("study_id", "exact_hash", "_head_hash")
+    copies = marked.groupBy("study_id", "exact_hash").agg(F.count(F.lit(1)).alias("n"))
+    groups = moved.join(copies, ["study_id", "exact_hash"])
+    out = join_groups(marked, groups, ["study_id", "exact_hash"], "n", "post_seq")
+    duplicate = ~F.col("is_first") | F.col("_head_hash").isNotNull()
+    return out.withColumn(
+        "dedup_group", F.concat(F.lit("dg-"), F.substring(F.coalesce("_head_hash", "exact_hash"), 1, 8))).withColumn(
+        "flags", F.when(duplicate, F.concat("flags", F.array(F.lit("duplicate")))).otherwise(F.col("flags"))).drop(
+        "_head_hash")
+
+
+def similar_pairs(texts: DataFrame) -> DataFrame:
+    """Similar pairs (p, w) of the earliest text of every list with the later ones: one join, no rounds."""
+    vertices = checkpointed(with_prefix(texts))
+    slim = vertices.drop("text")
+    first = W.partitionBy(*LIST).orderBy("post_seq")
+    leaders = (slim.withColumn("ch", F.explode("prefix")).withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
+               .groupBy(*KEY, "bucket", "len").agg(F.collect_set("ch").alias("chars")))
+    ordered = leaders.join(slim.select(*KEY, "prefix"), KEY).withColumn(
+        "chars", F.array_intersect("prefix", "chars")).drop("prefix")
+    return _verified(_candidates(ordered, slim), vertices).select("study_id", "p", "w")

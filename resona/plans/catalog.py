@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import catalog_eval, catalog_ingest, catalog_labels, catalog_metrics, catalog_text  # noqa: F401
+from . import (  # noqa: F401
+    catalog_eval,
+    catalog_ingest,
+    catalog_labels,
+    catalog_metrics,
+    catalog_streaming,
+    catalog_text,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

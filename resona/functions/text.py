@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -11,17 +14,36 @@ from .. import vocab
 SPACE_CLASS = r"\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
+# The same characters one by one, for trimming and deleting without a pattern.
+SPACES = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
+    0x3000]))
+# Zero-width and control characters; \t, \n and \r stay.
+_CONTROLS = "".join(map(chr, [0x200B, 0x200C, 0xFEFF, *range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F]))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    A plain projection of an expensive expression is copied into every later filter and
+    expression that uses it. The output of a generator is not.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"^[{SPACE_CLASS}]+", ""), f"[{SPACE_CLASS}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def drop_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{SPACE_CLASS}]+", "")
+    return F.translate(text, SPACES, "")
 
 
 def clean(text: Column) -> Column:
     """Remove control and zero-width characters, fold blanks, keep at most one empty line."""
-    t = F.regexp_replace(text, r"[\x{200b}\x{200c}\x{feff}\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    t = F.translate(text, _CONTROLS, "")
     t = F.regexp_replace(t, r"[ \t\r]+", " ")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     return strip(t)
@@ -40,12 +62,16 @@ def is_symbol_only(text: Column) -> Column:
     return (F.length(text) <= 4) & text.rlike(r"^(?:[^\p{L}\p{N}_]|[\x{1F000}-\x{1FAFF}])+$")
 
 
+def _matches(text: Column, literals: list[str], pattern: str) -> Column:
+    # (?d): only \n ends a line for ".", as in the rule set.
+    return reduce(or_, [F.contains(text, F.lit(x)) for x in literals]) & text.rlike("(?d)" + pattern)
+
+
 def detect_flags(text: Column) -> Column:
     """Flags of a cleaned text, in the fixed order lottery, ad, spam."""
-    # (?d): only \n ends a line for ".", as in the rule set.
     return F.array_compact(F.array(
-        F.when(text.rlike("(?d)" + vocab.LOTTERY_PATTERN), F.lit("lottery")),
-        F.when(text.rlike("(?d)" + vocab.AD_PATTERN), F.lit("ad")),
+        F.when(_matches(text, vocab.LOTTERY_LITERALS, vocab.LOTTERY_PATTERN), F.lit("lottery")),
+        F.when(_matches(text, vocab.AD_LITERALS, vocab.AD_PATTERN), F.lit("ad")),
         F.when(has_repeat_run(text) | is_symbol_only(text), F.lit("spam")),
     ))
 

@@ -101,7 +101,8 @@ def validate(rows: DataFrame, default_video_id: str = "imported", salt: bytes |
     types = {f.name: f.dataType for f in rows.schema}
     missing = F.array_compact(F.array(*[
         F.when(_is_missing(f, types[f]), F.lit(f)) for f in vocab.REQUIRED_COLUMNS]))
-    time = parse_time(F.col("published_at"), types["published_at"])
+    rows = X.once(rows, _time=parse_time(F.col("published_at"), types["published_at"]))
+    time = F.col("_time")
 
     def error(field: Column, message: str) -> Column:
         return F.struct(field.alias("field"), F.lit(message).alias("message"), F.lit("fatal").alias("severity"))

@@ -33,16 +33,17 @@ def first_object(reply: Column) -> Column:
     return F.when(block != "", block)
 
 
-def check_reply(reply: Column) -> dict[str, Column]:
-    """Columns of a parsed reply: every label field with defaults, and `problem`, null when valid."""
-    block = first_object(reply)
-    keys = F.json_object_keys(block)
-    raw = {f: F.get_json_object(block, f"$.{f}") for f in FIELDS}
-    topics = F.from_json(raw["topics"], "array<string>")
-    number = {f: F.expr("null").cast("double") for f in ()}
-    for f in ("intensity", "confidence"):
-        number[f] = raw[f].try_cast("double")
-    relevant = raw["relevant"].try_cast("boolean")
+def check_reply(replies: DataFrame) -> DataFrame:
+    """Add p: every label field of the reply column with defaults, and `problem`, null when valid."""
+    text_fields = ", ".join(f"{f} string" for f in FIELDS)
+    found = X.once(replies, _block=first_object(F.col("reply")))
+    parsed = X.once(found, _raw=F.from_json("_block", text_fields), _keys=F.json_object_keys("_block"))
+    typed = X.once(
+        parsed, _topics=F.from_json("_raw.topics", "array<string>"), _relevant=F.col("_raw.relevant").try_cast("boolean"),
+        _intensity=F.col("_raw.intensity").try_cast("double"), _confidence=F.col("_raw.confidence").try_cast("double"))
+    block, keys, topics, relevant = (F.col(c) for c in ("_block", "_keys", "_topics", "_relevant"))
+    raw = {f: F.col(f"_raw.{f}") for f in FIELDS}
+    number = {f: F.col(f"_{f}") for f in ("intensity", "confidence")}
 
     def outside(f: str, values: list[str]) -> Column:
         return raw[f].isNotNull() & ~raw[f].isin(*values)
@@ -72,7 +73,7 @@ def check_reply(reply: Column) -> dict[str, Column]:
         (raw["relevant"].isNull() & (F.coalesce(raw["abstain_reason"], F.lit("")) == ""), "abstain without reason"),
     ]
     problem = F.coalesce(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for cond, name in rules])
-    return {
+    fields = {
         "problem": problem,
         "relevant": relevant,
         "topics": F.coalesce(topics, F.array().cast("array<string>")),
@@ -84,6 +85,7 @@ def check_reply(reply: Column) -> dict[str, Column]:
         "evidence_span": F.coalesce(raw["evidence_span"], F.lit("")),
         "abstain_reason": raw["abstain_reason"],
     }
+    return X.once(typed, p=F.struct(*[c.alias(n) for n, c in fields.items()])).select(*replies.columns, "p")
 
 
 def abstain_values(reason: Column) -> dict[str, Column]:
@@ -99,8 +101,7 @@ def abstain_values(reason: Column) -> dict[str, Column]:
 
 def from_replies(replies: DataFrame, stage: str, model: str, prompt_version: str) -> DataFrame:
     """Annotations of model replies; an invalid reply becomes an abstain row naming the problem."""
-    parsed = check_reply(F.col("reply"))
-    checked = replies.select("study_id", "post_id", F.struct(*[c.alias(n) for n, c in parsed.items()]).alias("p"))
+    checked = check_reply(replies)
     bad = F.col("p.problem").isNotNull()
     abstain = abstain_values(F.col("p.problem"))
     return checked.select(

@@ -15,8 +15,8 @@ def staged(posts: DataFrame, studies: DataFrame, drop_spam: bool = True) -> Data
     kept says whether the row goes on; with drop_spam=False spam rows go on and are still counted.
     """
     dated = with_offsets(posts, studies)
-    cleaned = dated.withColumn("text", X.clean(F.col("text"))).withColumn(
-        "flags", F.array_union(F.coalesce("flags", F.array().cast("array<string>")), X.detect_flags(F.col("text"))))
+    cleaned = X.once(X.once(dated, text=X.clean(F.col("text"))), flags=F.array_union(
+        F.coalesce("flags", F.array().cast("array<string>")), X.detect_flags(F.col("text"))))
     is_spam = F.array_contains("flags", "spam")
     stage = (F.when(~F.col("in_window"), F.lit("out_of_window"))
              .when(F.col("text") == "", F.lit("blank"))
@@ -32,7 +32,7 @@ def first_of_copies(kept: DataFrame) -> DataFrame:
     The earliest post_seq per hash comes from a map-side combined minimum and is joined back on
     post_seq, which is unique, so a text copied into a third of all rows makes no hot key.
     """
-    hashed = kept.withColumn("exact_hash", X.exact_hash(F.col("text")))
+    hashed = X.once(kept, exact_hash=X.exact_hash(F.col("text")))
     heads = hashed.groupBy("study_id", "exact_hash").agg(F.min("post_seq").alias("post_seq")).select(
         "study_id", "post_seq", F.lit(True).alias("_first"))
     return (hashed.join(heads, ["study_id", "post_seq"], "left")
@@ -82,13 +82,16 @@ def keep_first_id(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
 def simhash(posts: DataFrame, key: list[str]) -> DataFrame:
     """64-bit similarity hash over character bigrams of the lower-cased text without blanks.
 
-    Bits are summed per post in one aggregation whose partial result is one row per post.
+    Texts are spread by key once; counting the distinct bigrams of a text, hashing each of them
+    once and summing the bits need no further shuffle.
     """
     squeezed = X.drop_spaces(F.lower(F.col("text")))
-    grams = posts.select(*key, F.explode_outer(X.char_ngrams(squeezed, 2)).alias("gram"))
-    hashed = grams.withColumn("h", F.when(F.length("gram") > 0, X.md5_long(F.col("gram"), 16)))
+    grams = posts.select(*key, "text").repartition(*key).select(
+        *key, F.explode_outer(X.char_ngrams(squeezed, 2)).alias("gram"))
+    counts = grams.groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("n"))
+    hashed = X.once(counts, h=F.when(F.length("gram") > 0, X.md5_long(F.col("gram"), 16)))
     bits = hashed.groupBy(*key).agg(*[
-        F.sum(F.expr(f"case when h is null then 0 when getbit(h, {i}) = 1 then 1 else -1 end")).alias(f"b{i}")
+        F.sum(F.expr(f"case when h is null then 0 when getbit(h, {i}) = 1 then n else -n end")).alias(f"b{i}")
         for i in range(64)])
     parts = [F.expr(f"case when b{i} > 0 then shiftleft(1L, {i}) else 0L end") for i in range(64)]
     value = parts[0]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import vocab
 from ..functions import text as X
@@ -18,14 +18,17 @@ from .order_stats import order_statistics
 def hash_vectors(texts: DataFrame, key: list[str], dim: int = 256) -> DataFrame:
     """Sparse hash embedding (key, dim, value), unit length: signed counts of character trigrams.
 
-    The grams of a text are combined before the shuffle, so at most dim rows per text move.
+    Texts are spread by key once; everything after that stays in its partition.
     """
     squeezed = X.drop_spaces(F.lower(F.col("text")))
-    grams = texts.select(*key, F.explode(X.char_ngrams(squeezed, 3)).alias("gram"))
-    h = X.md5_long(F.col("gram"), 8)
+    grams = texts.select(*key, "text").repartition(*key).select(
+        *key, F.explode(X.char_ngrams(squeezed, 3)).alias("gram"))
+    distinct = grams.groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("n"))
+    hashed = X.once(distinct, h=X.md5_long(F.col("gram"), 8))
     counts = (
-        grams.select(*key, (h % dim).cast("int").alias("dim"), F.when(h >= 2**31, 1).otherwise(-1).alias("sign"))
-        .groupBy(*key, "dim").agg(F.sum("sign").alias("c")).where("c <> 0"))
+        hashed.select(*key, (F.col("h") % dim).cast("int").alias("dim"),
+                      F.when(F.col("h") >= 2**31, F.col("n")).otherwise(-F.col("n")).alias("signed"))
+        .groupBy(*key, "dim").agg(F.sum("signed").alias("c")).where("c <> 0"))
     norms = F.sqrt(F.sum(F.col("c") * F.col("c")).over(W.partitionBy(*key)))
     return counts.select(*key, "dim", (F.col("c") / norms).alias("value"))
 
@@ -90,10 +93,34 @@ def cluster_count(n: int, min_size: int = vocab.MIN_CLUSTER_SIZE) -> int:
     return max(2, min(8, n // max(min_size, 1) or 2))
 
 
-def _best(centroids: list[list[float]]) -> Column:
-    """Index of the most similar centroid, the lowest on a tie."""
-    sims = F.array(*[V.cosine(F.col("vector"), F.array(*[F.lit(x) for x in c])) for c in centroids])
-    return F.array_position(sims, F.array_max(sims)) - 1
+def _labels(matrix: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Index of the most similar centroid per row, the lowest on a tie."""
+    size = np.linalg.norm(centroids, axis=1)
+    own = np.linalg.norm(matrix, axis=1)
+    scale = np.outer(np.where(own == 0, 1.0, own), np.where(size == 0, 1.0, size))
+    return (matrix @ centroids.T / scale).argmax(axis=1)
+
+
+def _round(centroids: np.ndarray, before: np.ndarray | None):
+    """Per Arrow batch: sums per (cluster, dimension) and how many rows changed their cluster."""
+    def run(batches):
+        for pdf in batches:
+            matrix = np.stack(pdf["vector"].to_numpy())
+            now = _labels(matrix, centroids)
+            old = np.zeros_like(now) if before is None else _labels(matrix, before)
+            for c in np.unique(now):
+                sums = matrix[now == c].sum(axis=0)
+                yield pd.DataFrame({"cluster": c, "pos": range(len(sums)), "x": sums,
+                                    "moved": int((now != old)[now == c].sum())})
+
+    return run
+
+
+def _cluster_of(centroids: np.ndarray) -> Column:
+    def run(vectors: pd.Series) -> pd.Series:
+        return pd.Series(_labels(np.stack(vectors.to_numpy()), centroids))
+
+    return F.pandas_udf(run, T.LongType())(F.col("vector"))
 
 
 def kmeans(vectors: DataFrame, seq: str, k: int, iters: int = 25) -> tuple[DataFrame, list[list[float]]]:
@@ -109,36 +136,32 @@ def kmeans(vectors: DataFrame, seq: str, k: int, iters: int = 25) -> tuple[DataF
         if n == 0:
             return vectors.withColumn("cluster", F.lit(None).cast("long")), []
         k = min(k, n)
-        step = max(1, n // k)
-        places = list(range(0, n, step))[:k]
-        starts = order_statistics(rows, seq, {f"p{i}": (lambda p: lambda _n: F.lit(p))(p)
-                                              for i, p in enumerate(places)}, by="_all").first()
+        places = list(range(0, n, max(1, n // k)))[:k]
+        starts = order_statistics(rows, seq, {f"p{i}": _fixed_place(p) for i, p in enumerate(places)}, by="_all").first()
         ids = [starts[f"p{i}"] for i in range(len(places))]
-        found = {r[0]: list(map(float, r[1])) for r in rows.where(F.col(seq).isin(ids)).select(seq, "vector").collect()}
-        current = [found[i] for i in ids]
-        previous: Column = F.lit(0).cast("long")
+        found = {r[0]: r[1] for r in rows.where(F.col(seq).isin(ids)).select(seq, "vector").collect()}
+        current, before, used = np.array([found[i] for i in ids], dtype=float), None, None
         for _ in range(iters):
-            label = _best(current)
-            labelled = rows.select("vector", label.alias("label"), previous.alias("old"))
-            sums = (labelled.select("label", F.col("label") != F.col("old"), F.posexplode("vector"))
-                    .toDF("label", "moved", "pos", "x").groupBy("label", "pos")
-                    .agg(F.sum("x").alias("x"), F.count_if("moved").alias("moved")).collect())
+            sums = (rows.select("vector").mapInPandas(_round(current, before), "cluster long, pos int, x double, moved long")
+                    .groupBy("cluster", "pos").agg(F.sum("x").alias("x"), F.sum("moved").alias("moved")).collect())
+            used = current
             if not any(r.moved for r in sums if r.pos == 0):
                 break
-            moved_to = [list(c) for c in current]
+            after = current.copy()
             for r in sums:
-                moved_to[r.label][r.pos] = r.x
-            for i in {r.label for r in sums}:
-                size = math.sqrt(sum(x * x for x in moved_to[i])) or 1.0
-                moved_to[i] = [x / size for x in moved_to[i]]
-            previous, current, used = label, moved_to, current
-        else:
-            return vectors.withColumn("cluster", _best(used)), current
-        return vectors.withColumn("cluster", _best(current)), current
+                after[r.cluster, r.pos] = r.x
+            for c in {r.cluster for r in sums}:
+                after[c] /= np.linalg.norm(after[c]) or 1.0
+            before, current = current, after
+        return vectors.withColumn("cluster", _cluster_of(used)), current.tolist()
     finally:
         rows.unpersist()
 
 
+def _fixed_place(p: int):
+    return lambda _n: F.lit(p)
+
+
 def emerging(labelled: DataFrame, seq: str, text: str, min_size: int = vocab.MIN_CLUSTER_SIZE) -> DataFrame:
     """Clusters with at least min_size members, numbered in label order, with five sample texts."""
     sizes = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)

@@ -42,6 +42,11 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table whose rows are costly to process, over all cores even when it is one small file."""
+        df, cores = self.raw(name), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     @cached_property
     def studies(self) -> DataFrame:
         return self.spark.sql(f"select * from values {STUDY_ROWS} as t({STUDY_COLUMNS})")
@@ -142,7 +147,7 @@ class Tables:
                 .when(d % 29 == 0, F.concat(F.lit("@User9 UID: 12345678 "), F.col("text")))
                 .when(d % 31 == 0, F.concat(F.lit("  ​收售 \t\t "), F.col("text"), F.lit("\n\n\n\n地图探索 ")))
                 .otherwise(F.col("text")))
-        return self.raw("documents").select(
+        return self.spread("documents").select(
             F.lit("D").alias("study_id"), d.alias("post_seq"), d.cast("string").alias("post_id"),
             F.col("source").alias("video_id"), F.lit(None).cast("string").alias("parent_id"), text.alias("text"),
             F.date_add(F.lit("2024-01-01").cast("date"), (d % 45).cast("int")).alias("published_date"),

@@ -40,6 +40,9 @@ NO_STANCE = "未标注"
 # Text patterns.
 LOTTERY_PATTERN = r"(抽奖|抽.{0,3}(奖|福利|卡片)|转发.{0,6}抽|关注.{0,6}抽|开奖|福利发放|中奖名单)"
 AD_PATTERN = r"(加.{0,2}(微信|qq|vx)|代充|代练|低价点卡|出售账号|买号卖号|兼职|广告投放|点击链接购物)"
+# Every match of a pattern above holds one of these, so texts without them need no pattern search.
+LOTTERY_LITERALS = ["抽", "开奖", "福利发放", "中奖名单"]
+AD_LITERALS = ["加", "代充", "代练", "低价点卡", "出售账号", "买号卖号", "兼职", "广告投放", "点击链接购物"]
 TRADE_PATTERN = r"(出售账号|收售|出号|换绑|租号)"
 MENTION_PATTERN = r"@([^\s@，。,！!？?]{1,30})"
 CONTACT_PATTERN = r"(?i)(?:QQ|vx|微信|V信)[:：\s]*[0-9a-zA-Z_\-]{5,}"

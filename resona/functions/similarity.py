@@ -32,22 +32,27 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
 
-@lru_cache(maxsize=256)
+@lru_cache(maxsize=2048)
 def _counts(text: str) -> Counter:
     return Counter(text)
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel: no matching can match more."""
+def may_share(a: str, b: str, need: int) -> bool:
+    """Whether the longest common subsequence has `need` characters; no matching can match more.
+
+    Bit-parallel over a, one step per character of b; stops once the rest of b is too short.
+    """
     masks: dict[str, int] = {}
     for i, ch in enumerate(a):
         masks[ch] = masks.get(ch, 0) | (1 << i)
     full = (1 << len(a)) - 1
     v = full
-    for ch in b:
+    for done, ch in enumerate(b, 1):
         u = v & masks.get(ch, 0)
         v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+        if done % 64 == 0 and len(a) - v.bit_count() + len(b) - done < need:
+            return False
+    return len(a) - v.bit_count() >= need
 
 
 def _longest_block(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -69,7 +74,7 @@ def reaches(later: str, head: str, ratio: float = vocab.NEAR_DUP_RATIO) -> bool:
         return True
     if min(len(later), len(head)) < need or (_counts(later) & _counts(head)).total() < need:
         return False
-    if common_subsequence(later, head) < need:
+    if not may_share(later, head, need):
         return False
     if max(len(later), len(head)) <= _SHORT:
         return SequenceMatcher(None, later, head, autojunk=False).ratio() >= ratio

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import text as X
 from ..schemas import LABEL_FIELDS
+from ..session import checkpointed
 from ..sources.files import number_rows
 
 OPEN_TAG, CLOSE_TAG = "<untrusted_community_text>", "</untrusted_community_text>"
@@ -190,7 +191,8 @@ def todo(posts: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def number_todo(todo_rows: DataFrame) -> DataFrame:
     """To-do rows with their place in the list (a range sort; the number comes from task offsets)."""
-    ordered = todo_rows.orderBy(F.col("is_sub").desc(), "published_at", "post_seq")
+    # Stored once, so that counting and numbering see the same ranges.
+    ordered = checkpointed(todo_rows.orderBy(F.col("is_sub").desc(), "published_at", "post_seq"))
     return number_rows(ordered, "place")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..operators import effective, metrics
+from . import study
 
 STUDY_ROWS = """
 ('A', DATE'2024-01-08', -7, -1, 0, 7, 8, 28, 10, 60, 6, 3000, 5000, CAST(0.10 AS DOUBLE)),
@@ -137,6 +138,11 @@ class Tables:
     def topics(self) -> DataFrame:
         return metrics.topic_metrics(self.rollup, self.videos, self.conflict)
 
+    @cached_property
+    def stored(self) -> dict[str, DataFrame]:
+        """Metric tables written once; rankings, claims and views read them."""
+        return study.metric_tables(self.posts, self.annotations, self.videos, self.studies)
+
     @cached_property
     def text_posts(self) -> DataFrame:
         """Documents as comments of one study; some carry a promotion, an account or a symbol text."""

@@ -401,7 +401,7 @@ def rv5(t: Tables) -> DataFrame:
     again = Tables(t.spark, t.sf_dir)
     again.__dict__["annotations"] = merged
     top = composite.ranked(composite.scores(_norm(again), composite.weight_table(t.spark))).where("kind = 'issue'")
-    return top.select("study_id", "topic", "rank", "score").join(again.topics, ["study_id", "topic"]).select(
+    return top.select("study_id", "topic", "rank", "score").join(again.stored["topics"], ["study_id", "topic"]).select(
         "study_id", "topic", "rank", "count", *r6("score", "topic_share", "net_support"))
 
 

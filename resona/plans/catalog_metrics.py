@@ -106,7 +106,7 @@ def ag28(t: Tables) -> DataFrame:
 # ---------- composites ----------
 
 def _norm(t: Tables) -> DataFrame:
-    return composite.normalised(composite.components(t.topics))
+    return composite.normalised(composite.components(t.stored["topics"]))
 
 
 def _ranking(t: Tables) -> DataFrame:
@@ -116,7 +116,7 @@ def _ranking(t: Tables) -> DataFrame:
 def _component_query(name: str, kind: str) -> None:
     @query(name, f"SELECT study_id, topic, component, {q6('raw')} FROM components WHERE kind = '{kind}'")
     def _(t: Tables) -> DataFrame:
-        return (composite.components(t.topics).where(F.col("kind") == kind)
+        return (composite.components(t.stored["topics"]).where(F.col("kind") == kind)
                 .select("study_id", "topic", "component", *r6("raw")))
 
 
@@ -209,7 +209,7 @@ def jn17(t: Tables) -> DataFrame:
 
 
 def _claims(t: Tables) -> DataFrame:
-    return evidence.claims(t.topics, _ranking(t), t.relevant)
+    return evidence.claims(t.stored["topics"], _ranking(t), t.stored["relevant"])
 
 
 _CLAIM_CTES = {
@@ -246,7 +246,7 @@ def _loose_claims(t: Tables) -> DataFrame:
     """Statements written from topic rows, some of which break a rule."""
     w = W.partitionBy("study_id").orderBy("topic_seq")
     n = F.row_number().over(w)
-    rows = t.topics.withColumn("k", n)
+    rows = t.stored["topics"].withColumn("k", n)
     k = F.col("k")
     return rows.select(
         "study_id", F.concat(F.lit("c"), k.cast("string")).alias("claim_id"),
@@ -351,7 +351,7 @@ _COMPARE_SQL = _COMPARE_SQL.replace("round_even(a.per_1000, 1)", "CAST(round_eve
 
 
 def _comparison(t: Tables) -> DataFrame:
-    rows = compare.topic_comparison(t.topics, "A", "B")
+    rows = compare.topic_comparison(t.stored["topics"], "A", "B")
     out = [F.col("topic")]
     for side in "ab":
         for f in _COMPARE_FIELDS:
@@ -369,7 +369,7 @@ def vw7(t: Tables) -> DataFrame:
 SELECT topic, a.count IS NOT NULL AS in_a, b.count IS NOT NULL AS in_b
 FROM (SELECT * FROM topics WHERE study_id = 'A') a FULL JOIN (SELECT * FROM topics WHERE study_id = 'B') b USING (topic)""")
 def jn5(t: Tables) -> DataFrame:
-    return compare.topic_comparison(t.topics, "A", "B").select(
+    return compare.topic_comparison(t.stored["topics"], "A", "B").select(
         "topic", F.col("a_count").isNotNull().alias("in_a"), F.col("b_count").isNotNull().alias("in_b"))
 
 
@@ -387,7 +387,7 @@ SELECT study_id, 'topic' AS section, topic, CAST(count AS DOUBLE) AS value,
   CAST(row_number() OVER (PARTITION BY study_id ORDER BY count DESC, topic_seq) AS INTEGER) AS rank FROM topics
 UNION ALL SELECT study_id, kind, topic, round(score, 6), CAST(rank AS INTEGER) FROM ranking WHERE rank <= 5""")
 def vw1(t: Tables) -> DataFrame:
-    return views.overview(t.topics, _ranking(t)).withColumn("value", F.round("value", 6))
+    return views.overview(t.stored["topics"], _ranking(t)).withColumn("value", F.round("value", 6))
 
 
 @query("vw2_timeline", """
@@ -395,8 +395,8 @@ SELECT study_id, topic, array_to_string(list(n ORDER BY day_index), ',') AS dail
   round(any_value(trend_speed), 6) AS trend_speed
 FROM daily JOIN trend USING (study_id, topic) GROUP BY 1, 2""")
 def vw2(t: Tables) -> DataFrame:
-    arrays = metrics.daily_arrays(metrics.daily_counts(t.relevant, t.studies))
-    return arrays.join(t.topics.select("study_id", "topic", "trend_speed"), ["study_id", "topic"]).select(
+    arrays = metrics.daily_arrays(metrics.daily_counts(t.stored["relevant"], t.studies))
+    return arrays.join(t.stored["topics"].select("study_id", "topic", "trend_speed"), ["study_id", "topic"]).select(
         "study_id", "topic",
         F.array_join(F.transform("daily_counts", lambda x: x.cast("string")), ",").alias("daily_counts"),
         *r6("trend_speed"))
@@ -410,7 +410,7 @@ FROM (SELECT study_id, topic, total,
   FROM (SELECT study_id, topic, topic_seq, CAST(sum(n) AS BIGINT) AS total FROM daily GROUP BY 1, 2, 3)
   JOIN trend USING (study_id, topic)) WHERE volume_rank <= 8""")
 def vw3(t: Tables) -> DataFrame:
-    return views.top_volume(metrics.daily_counts(t.relevant, t.studies), t.topics)
+    return views.top_volume(metrics.daily_counts(t.stored["relevant"], t.studies), t.stored["topics"])
 
 
 @query("vw4_controversy", """
@@ -419,7 +419,7 @@ SELECT study_id, topic, round(controversy, 6) AS controversy, round(reply_confli
 FROM (SELECT * FROM topics QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY controversy DESC, topic_seq) <= 8) c
 JOIN best b USING (study_id, topic) GROUP BY 1, 2, 3, 4, 5""")
 def vw4(t: Tables) -> DataFrame:
-    return views.controversy(t.topics, evidence.representative(t.relevant)).select(
+    return views.controversy(t.stored["topics"], evidence.representative(t.stored["relevant"])).select(
         "study_id", "topic", *r6("controversy", "reply_conflict"), "stance",
         F.array_join("evidence", ",").alias("evidence"))
 
@@ -446,7 +446,7 @@ def vw10(t: Tables) -> DataFrame:
 SELECT study_id, topic, CASE WHEN coalesce(net_support, 0) > 0 THEN 'positive'
   WHEN coalesce(net_support, 0) < 0 THEN 'negative' END AS side FROM topics WHERE coalesce(net_support, 0) <> 0""")
 def flt9(t: Tables) -> DataFrame:
-    return views.by_sign(t.topics, "negative").unionByName(views.by_sign(t.topics, "positive")).select(
+    return views.by_sign(t.stored["topics"], "negative").unionByName(views.by_sign(t.stored["topics"], "positive")).select(
         "study_id", "topic", "side")
 
 
@@ -468,5 +468,5 @@ SELECT study_id, topic, CAST(rank AS INTEGER) AS rank, count, {q6('score', 'topi
 FROM ranking JOIN topics USING (study_id, topic) WHERE kind = 'issue'""")
 def issue_ranking(t: Tables) -> DataFrame:
     top = _ranking(t).where("kind = 'issue'").select("study_id", "topic", "rank", "score")
-    return top.join(t.topics, ["study_id", "topic"]).select(
+    return top.join(t.stored["topics"], ["study_id", "topic"]).select(
         "study_id", "topic", "rank", "count", *r6("score", "topic_share", "net_support"))

@@ -9,12 +9,15 @@ from ..functions import text as X
 from .effective import with_offsets
 
 
-def staged(posts: DataFrame, studies: DataFrame, drop_spam: bool = True) -> DataFrame:
+def staged(posts: DataFrame, studies: DataFrame, drop_spam: bool = True, only_window: bool = False) -> DataFrame:
     """Every input post with its cleaned text, flags and a stage: out_of_window, blank, spam or kept.
 
     kept says whether the row goes on; with drop_spam=False spam rows go on and are still counted.
+    only_window drops the rows outside the study window before their texts are touched.
     """
     dated = with_offsets(posts, studies)
+    if only_window:
+        dated = dated.where("in_window")
     cleaned = X.once(X.once(dated, text=X.clean(F.col("text"))), flags=F.array_union(
         F.coalesce("flags", F.array().cast("array<string>")), X.detect_flags(F.col("text"))))
     is_spam = F.array_contains("flags", "spam")
@@ -50,7 +53,7 @@ def mark_exact_duplicates(kept: DataFrame) -> DataFrame:
 
 def normalise(posts: DataFrame, studies: DataFrame, near: bool = True, drop_spam: bool = True) -> DataFrame:
     """The normalised posts: in window, cleaned, flagged, spam removed, duplicates marked."""
-    kept = staged(posts, studies, drop_spam).where("kept").drop("kept", "stage")
+    kept = staged(posts, studies, drop_spam, only_window=True).where("kept").drop("kept", "stage")
     if near:
         from .near_duplicates import mark_duplicates
 

@@ -106,7 +106,7 @@ def select_videos(candidates: DataFrame, per_category: int = 10, enough: int = 6
     """Top videos per category by plays: official ones in official, others elsewhere; all when too few."""
     fits = F.col("is_official") == (F.col("category") == "official")
     pool = candidates.groupBy("category").agg(F.count_if(fits).alias("n_fit"))
-    kept = candidates.join(F.broadcast(pool), "category").where(fits | (F.col("n_fit") < enough))
+    kept = candidates.join(pool, "category").where(fits | (F.col("n_fit") < enough))
     w = W.partitionBy("category").orderBy(F.col("play").desc(), "seq")
     top = kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_category)
     reason = F.format_string("类别[%s] 检索词『%s』结果，播放 %d，发布 %s",

@@ -53,7 +53,7 @@ def variants(rng, n, alphabet, length, edits):
     (3, "角色设计真好探索感拉满地图不错剧情", (10, 26), 4),
 ])
 def test_groups_equal_the_sequential_pass(spark, seed, alphabet, length, edits):
-    texts = variants(random.Random(seed), 150, alphabet, length, edits)
+    texts = variants(random.Random(seed), 110, alphabet, length, edits)
     rows = [("s", i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "study_id string, post_seq long, text string")
     got = {r.post_seq: r.head_seq for r in near_duplicates.head_of(df).collect()}

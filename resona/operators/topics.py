@@ -75,7 +75,8 @@ def assign(similarities: DataFrame, key: list[str], threshold: float | Column =
            most: int = 4) -> DataFrame:
     """Per row the topics at or above the threshold, best first, at most `most`; empty when none fits."""
     limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    hit = F.when(F.col("similarity") >= limit, F.struct("similarity", "topic"))
+    # Ordered by 12 digits: sums of products differ in the last bits with the order of addition.
+    hit = F.when(F.col("similarity") >= limit, F.struct(F.round("similarity", 12).alias("s"), "topic"))
     # One row per key holds at most one entry per topic, so the list is bounded by the topic count.
     return (similarities.groupBy(*key).agg(F.sort_array(F.collect_list(hit), asc=False).alias("hits"))
             .select(*key, F.slice(F.col("hits.topic"), 1, most).alias("topics")))

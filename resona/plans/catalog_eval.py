@@ -408,7 +408,7 @@ def jn16(t: Tables) -> DataFrame:
 
 
 @query("vec5_assign_topics", """
-SELECT post_id, coalesce(array_to_string(list(topic ORDER BY similarity DESC, topic DESC)
+SELECT post_id, coalesce(array_to_string(list(topic ORDER BY round(similarity, 12) DESC, topic DESC)
   FILTER (similarity >= 0.05)[1:4], ','), '') AS topics FROM text_sims GROUP BY 1""", **_HASH_SQL)
 def vec5(t: Tables) -> DataFrame:
     vectors = topics.hash_vectors(t.text_posts, ["post_id"])
@@ -514,7 +514,7 @@ def vec8(t: Tables) -> DataFrame:
 
 
 @query("vec9_topic_baseline", """
-SELECT vec_id, coalesce(array_to_string(list(topic ORDER BY similarity DESC, topic DESC) FILTER (similarity >= top)[1:4], ','), '')
+SELECT vec_id, coalesce(array_to_string(list(topic ORDER BY round(similarity, 12) DESC, topic DESC) FILTER (similarity >= top)[1:4], ','), '')
   AS topics FROM emb_sims JOIN emb_rows USING (vec_id), emb_limits WHERE part = 'test' GROUP BY 1""", **_EMB_SQL)
 def vec9(t: Tables) -> DataFrame:
     rows, limits = _baseline(t)

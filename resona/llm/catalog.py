@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, mixing, pieces, token_counts, warc  # noqa: F401
+from . import chat, fingerprints, knn, mixing, pieces, token_counts, warc  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

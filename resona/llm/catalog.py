@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, knn, mixing, pieces, token_counts, warc  # noqa: F401
+from . import (  # noqa: F401
+    chat,
+    fingerprints,
+    knn,
+    mixing,
+    near_dedup,
+    pieces,
+    substrings,
+    token_counts,
+    warc,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

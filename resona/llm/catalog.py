@@ -9,6 +9,8 @@ from . import (  # noqa: F401
     mixing,
     near_dedup,
     pieces,
+    pipeline_query,
+    quality,
     substrings,
     token_counts,
     warc,

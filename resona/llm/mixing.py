@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage_table
+from .names import fresh
 from .registry import query, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -148,12 +149,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 def repeated(docs: DataFrame, mixed: Mix, doc_id: str = "doc_id", text: str = "text", source: str = "source",
              seed: str = "mix") -> DataFrame:
     """The documents as often as the mix takes them: whole rounds of the source, then those up to its last key."""
-    cuts = mixed.cuts.select(F.col("source").alias("_mix_source"), F.col("full").alias("_mix_full"), F.col("cut_key").alias("_mix_cut"))
-    more = (shuffle_key(F.col(doc_id), F.col(text), seed) <= F.col("_mix_cut")).cast("int")
-    times = F.col("_mix_full") + F.coalesce(more, F.lit(0))
-    return (docs.join(cuts, F.col(source).eqNullSafe(F.col("_mix_source")))
-            .withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), times)))
-            .where(F.col("_mix_copy") > 0).select(*[docs[c] for c in docs.columns]))
+    own, full, cut, copy = fresh(docs, "_mix_source", "_mix_full", "_mix_cut", "_mix_copy")
+    cuts = mixed.cuts.select(F.col("source").alias(own), F.col("full").alias(full), F.col("cut_key").alias(cut))
+    more = (shuffle_key(F.col(doc_id), F.col(text), seed) <= F.col(cut)).cast("int")
+    times = F.col(full) + F.coalesce(more, F.lit(0))
+    return (docs.join(cuts, F.col(source).eqNullSafe(F.col(own))).withColumn(copy, F.explode(F.sequence(F.lit(0), times)))
+            .where(F.col(copy) > 0).select(*docs.columns))
 
 
 ORACLE = r"""

@@ -205,7 +205,7 @@ class Model:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded_sha256") -> DataFrame:
-    """docs with the piece ids of whole texts, and the SHA-256 of what they decode to, as further columns.
+    """docs with the piece ids of whole texts, and the SHA-256 of what they decode to, as further columns (in place of such that have their names).
 
     Null and empty texts get no ids and the digest of the empty text. Every text decodes to itself, marks and line ends
     included. Words are shared inside a batch and kept in a bounded cache between batches; nothing is shuffled.
@@ -213,6 +213,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     spark = docs.sparkSession
     proto = spark.sparkContext.broadcast(read_bytes(spark, path))  # a vocabulary, at most files.MAX_BYTES
     kept: dict = {}
+    docs = docs.drop(ids, decoded)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

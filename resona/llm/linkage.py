@@ -201,6 +201,37 @@ def _likely(pairs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     return (pairs.join(own, "x").join(other, "hub").where(jaccard("_r1", "_r2", "_n1", "_n2") >= floor).select("x", "hub").distinct())
 
 
+def _with_room(marked: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Rows of marked (key, id, n, comp) that may still link to another component of their bucket, with room.
+
+    A shingle that no other item of these buckets has is in no intersection. If s of n shingles are left, a link to a set of m needs
+    s >= num / (num + den) * (n + m), that is num * m <= (num + den) * s - num * n = room. An item whose room holds no
+    allowed size m >= num / den * n links to nothing; so edited copies that went too far leave before any pair of them is formed.
+    """
+    kind = marked.schema["id"].dataType.simpleString()
+    groups = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    rows = stage_table(marked.join(groups.select("key"), "key", "left_semi"), "link-mixed-rows")
+    ids = rows.select("id").distinct()
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                sets = [rule.shingles(t) for t in part.column("text").to_pylist()]
+                at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                n = np.array([len(x) for x in sets], np.int32)[at]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at)), pa.array(n), pa.array(np.concatenate(sets).view(np.int64))],
+                                                 names=["id", "n", "h"])
+
+    spelled_out = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(spelled, f"id {kind}, n int, h long")
+    alone = spelled_out.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("o")).where("c = 1")
+    alone = alone.groupBy("o.id", "o.n").agg(F.count(F.lit(1)).alias("alone"))
+    left = F.col("n") - F.coalesce("alone", F.lit(0))
+    room = F.lit(rule.num + rule.den) * left - F.lit(rule.num) * F.col("n")
+    return rows.join(alone, ["id", "n"], "left").withColumn("room", room).where(
+        F.lit(rule.den) * F.col("room") >= F.lit(rule.num * rule.num) * F.col("n")).drop("alone")
+
+
 def link(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame | None:
     """id, component for linked items; None where no two share a band.
 
@@ -208,8 +239,8 @@ def link(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], rule: Rule) -
 
     A band that several items share proposes links. First every item is compared with the least item of the bucket it shares
     most bands with, then with those of its other buckets, unless they are in one component by then. Buckets that still hold several components
-    compare more and more of their items with those of other components, until every such pair is examined. Pairs inside one
-    component are never formed, so a group of near copies costs about one comparison a member.
+    compare more and more of their items with those of other components, until every such pair that the counts of shared shingles allow is
+    examined. Pairs inside one component are never formed, so a group of near copies costs about one comparison a member.
     """
     members = reps.select("id", "n", F.explode("keys").alias("key"))
     leads = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("lead")).where("size > 1")
@@ -259,9 +290,10 @@ def link(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], rule: Rule) -
     examine(untested(others), "1")
 
     leaders, turn = 8, 2
+    marked = label(crowd.select("key", "id", "n"), "id", "comp")
+    rows = stage_table(_with_room(marked, picked, rule), "link-room")
     while True:
-        marked = stage_table(label(crowd.select("key", "id", "n"), "id", "comp"), f"link-marked-{turn}")
-        groups = marked.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
+        groups = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
             F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("inner"))
         mixed = stage_table(groups.where("size * size > inner"), f"link-mixed-{turn}")
         load = mixed.agg(F.sum((F.col("size") * F.col("size") - F.col("inner")) / 2).alias("pairs"), F.sum("size").alias("rows"),
@@ -269,14 +301,16 @@ def link(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], rule: Rule) -
         if not load.rows:
             break
         last = load.pairs <= PAIRS_A_ROW * load.rows or leaders >= load.most
-        rows = marked.join(mixed.select("key", "size"), "key")
-        heads = rows if last else rows.where(F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.col("size")) < leaders)
-        heads = heads.select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
+        open_ = rows.join(mixed.select("key", "size"), "key")
+        heads = open_ if last else open_.where(F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.col("size")) < leaders)
+        heads = heads.select("key", *[F.col(c).alias(f"hub_{c}") for c in ("id", "n", "comp", "room")])
+        fits = (F.lit(rule.num) * F.col("hub_n") <= F.col("room")) & (F.lit(rule.num) * F.col("n") <= F.col("hub_room"))
         # One component may hold nearly all of a bucket; only its pairs with others are formed.
-        pairs = rows.join(heads, "key").where((F.col("comp") != F.col("hub_comp")) & sizes("n", "hub_n"))
-        pairs = pairs.where(F.col("id") < F.col("hub")) if last else pairs
-        examine(untested(pairs.select(F.col("id").alias("x"), "hub").distinct()), str(turn))
+        pairs = open_.join(heads, "key").where((F.col("comp") != F.col("hub_comp")) & sizes("n", "hub_n") & fits)
+        pairs = pairs.where(F.col("id") < F.col("hub_id")) if last else pairs
+        examine(untested(pairs.select(F.col("id").alias("x"), F.col("hub_id").alias("hub")).distinct()), str(turn))
         if last:
             break
         leaders, turn = leaders * 8, turn + 1
+        rows = stage_table(label(rows.drop("comp"), "id", "comp"), f"link-room-{turn}")
     return state["comps"]

@@ -40,7 +40,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     else:
         named_comps = comps.select(F.col("id").alias("rep"), "component")
         joined = grouped.join(named_comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    return joined.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"),
+    return joined.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"),
                          F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 

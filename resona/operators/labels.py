@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..schemas import LABEL_FIELDS
 from ..session import checkpointed
 from ..sources.files import number_rows
+from .skew import join_groups
 
 OPEN_TAG, CLOSE_TAG = "<untrusted_community_text>", "</untrusted_community_text>"
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
@@ -190,23 +191,34 @@ def todo(posts: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def number_todo(todo_rows: DataFrame) -> DataFrame:
-    """To-do rows with their place in the list (a range sort; the number comes from task offsets)."""
+    """To-do rows with their place in their study's list (a range sort; the number comes from task offsets)."""
     # Stored once, so that counting and numbering see the same ranges.
-    ordered = checkpointed(todo_rows.orderBy(F.col("is_sub").desc(), "published_at", "post_seq"))
-    return number_rows(ordered, "place")
+    ordered = checkpointed(todo_rows.orderBy("study_id", F.col("is_sub").desc(), "published_at", "post_seq"))
+    numbered = number_rows(ordered, "_row")
+    first = numbered.groupBy("study_id").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    return join_groups(numbered, first, ["study_id"], "_n", "post_seq", how="inner").withColumn(
+        "place", F.col("_row") - F.col("_first") + 1).drop("_row", "_first")
 
 
-def merge_batches(numbered: DataFrame, batches: DataFrame, size: int) -> DataFrame:
-    """Join the k-th label of batch b with to-do row (b-1)*size + k."""
-    placed = batches.withColumn("place", (F.col("batch") - 1) * size + F.col("k"))
-    return numbered.join(placed.drop("batch", "k"), "place")
+def batch_sizes(numbered: DataFrame, batches: DataFrame, size: int) -> DataFrame:
+    """study_id, batch, expected, given, ok: whether a batch has one label for each of its to-do rows, k = 1, 2, ..."""
+    want = numbered.groupBy("study_id", (F.floor((F.col("place") - 1) / size) + 1).alias("batch")).agg(F.count(F.lit(1)).alias("expected"))
+    have = batches.groupBy("study_id", "batch").agg(
+        F.count(F.lit(1)).alias("given"), F.min("k").alias("_lo"), F.max("k").alias("_hi"), F.count_distinct("k").alias("_k"))
+    given, expected = F.coalesce("given", F.lit(0)), F.coalesce("expected", F.lit(0))
+    whole = (given == expected) & (F.col("_lo") == 1) & (F.col("_hi") == expected) & (F.col("_k") == expected)
+    return have.join(want, ["study_id", "batch"], "left").select(
+        "study_id", "batch", expected.alias("expected"), given.alias("given"), F.coalesce(whole, F.lit(False)).alias("ok"))
+
 
+def merge_batches(numbered: DataFrame, batches: DataFrame, size: int) -> DataFrame:
+    """Join the k-th label of batch b of a study with its to-do row (b-1)*size + k.
 
-def unmatched_batches(numbered: DataFrame, batches: DataFrame, size: int) -> DataFrame:
-    """Batches with more labels than to-do rows; they must not be merged."""
-    placed = batches.withColumn("place", (F.col("batch") - 1) * size + F.col("k"))
-    return placed.join(numbered.select("place"), "place", "left_anti").groupBy("batch").agg(
-        F.count(F.lit(1)).alias("extra"))
+    A batch whose labels don't match its to-do rows one to one is refused whole (see batch_sizes).
+    """
+    ok = batch_sizes(numbered, batches, size).where("ok").select("study_id", "batch")
+    placed = batches.join(ok, ["study_id", "batch"], "left_semi").withColumn("place", (F.col("batch") - 1) * size + F.col("k"))
+    return numbered.join(placed.drop("batch", "k"), ["study_id", "place"])
 
 
 def gold_as_labels(gold: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ STANCE_COLUMNS = {
     "mixed": vocab.MIXED, "unclear": vocab.UNCLEAR,
 }
 _BITS = 60
-_DAY_WORDS = 3
 _SUMS = ["count", *STANCE_COLUMNS, "engagement_sum", "oppose_sum", "dated", "index_sum", "launch_n", "ferment_n"]
 
 
@@ -30,7 +29,7 @@ def topic_rows(relevant: DataFrame, with_overall: bool = False) -> DataFrame:
         topics = F.array_append(topics, F.lit(None).cast("string"))
     return (
         relevant.select("*", F.posexplode(topics).alias("topic_pos", "topic"))
-        .withColumn("topic_seq", F.col("post_seq") * 16 + F.col("topic_pos"))
+        .withColumn("topic_seq", F.struct("post_seq", "topic_pos"))
     )
 
 
@@ -44,14 +43,16 @@ def _day_bits(word: int) -> Column:
     return F.bit_or(F.when(F.col("in_window") & index.between(0, _BITS - 1), bit).otherwise(F.lit(0).cast("long")))
 
 
-def topic_rollup(relevant: DataFrame, videos: DataFrame) -> DataFrame:
-    """Sums per (study, topic); the row with a null topic covers the whole study."""
+def topic_rollup(relevant: DataFrame, videos: DataFrame, longest: int | None = None) -> DataFrame:
+    """Sums per (study, topic); the row with a null topic covers the whole study.
+
+    longest: days of the longest study window; read from the rows where it is not given. Active days are bit sets of as many
+    words as it needs.
+    """
+    if longest is None:
+        longest = relevant.agg(F.max("window_days")).first()[0] or 1
+    n_words = -(-longest // _BITS)
     rows = topic_rows(relevant, with_overall=True)
-    too_wide = F.col("window_days") > _BITS * _DAY_WORDS
-    rows = rows.withColumn(
-        "day_index",
-        F.when(too_wide, F.raise_error(F.lit("study window is longer than 180 days")).cast("int"))
-        .otherwise(F.col("day_index")))
     in_window = F.col("in_window")
     per_video = rows.groupBy("study_id", "topic", "video_id").agg(
         F.count(F.lit(1)).alias("count"),
@@ -64,7 +65,7 @@ def topic_rollup(relevant: DataFrame, videos: DataFrame) -> DataFrame:
         F.count_if(in_window & (F.col("day_offset") >= 8)).alias("ferment_n"),
         F.min("topic_seq").alias("topic_seq"),
         F.max("window_days").alias("window_days"),
-        *[_day_bits(w).alias(f"days{w}") for w in range(_DAY_WORDS)],
+        *[_day_bits(w).alias(f"days{w}") for w in range(n_words)],
     )
     known = videos.select("study_id", "video_id", "category")
     joined = per_video.join(known, ["study_id", "video_id"], "left")
@@ -73,10 +74,10 @@ def topic_rollup(relevant: DataFrame, videos: DataFrame) -> DataFrame:
         F.min("topic_seq").alias("topic_seq"),
         F.max("window_days").alias("window_days"),
         F.count(F.lit(1)).alias("video_count"),
-        *[F.bit_or(f"days{w}").alias(f"days{w}") for w in range(_DAY_WORDS)],
+        *[F.bit_or(f"days{w}").alias(f"days{w}") for w in range(n_words)],
         *[F.max(F.when(F.col("category") == c, 1).otherwise(0)).alias(f"has_{c}") for c in vocab.CATEGORIES],
     )
-    active = sum((F.bit_count(F.col(f"days{w}")) for w in range(1, _DAY_WORDS)), F.bit_count(F.col("days0")))
+    active = sum((F.bit_count(F.col(f"days{w}")) for w in range(1, n_words)), F.bit_count(F.col("days0")))
     categories = F.array_compact(F.array(*[
         F.when(F.col(f"has_{c}") == 1, F.lit(c)) for c in sorted(vocab.CATEGORIES)]))
     return (
@@ -84,7 +85,7 @@ def topic_rollup(relevant: DataFrame, videos: DataFrame) -> DataFrame:
         .withColumn("abstain", F.col("count") - sum((F.col(c) for c in STANCE_COLUMNS), F.lit(0)))
         .withColumn("active_days", active.cast("long"))
         .withColumn("video_categories", categories)
-        .drop(*[f"days{w}" for w in range(_DAY_WORDS)], *[f"has_{c}" for c in vocab.CATEGORIES])
+        .drop(*[f"days{w}" for w in range(n_words)], *[f"has_{c}" for c in vocab.CATEGORIES])
     )
 
 

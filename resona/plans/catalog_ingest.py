@@ -52,22 +52,25 @@ def src1(t: Tables) -> DataFrame:
 def _json_lines(t: Tables) -> str:
     e = F.col("event_id")
     good = F.to_json(F.struct(e.alias("rpid"), F.col("event_type").alias("text"), "user_id"))
-    line = F.when(e % 50 == 1, F.lit('{"rpid": 1, "text"')).when(e % 50 == 2, F.lit("[1, 2]")).otherwise(good)
+    odd = F.to_json(F.struct(F.lit("abc").alias("rpid"), F.col("event_type").alias("text"), "user_id"))
+    line = (F.when(e % 50 == 1, F.lit('{"rpid": 1, "text"')).when(e % 50 == 2, F.lit("[1, 2]")).when(e % 50 == 3, odd)
+            .otherwise(good))
     return _written(t.raw("events").select(line.alias("value")), "import", ".jsonl")
 
 
 @query("src2_json_lines", """
-SELECT 'row' AS kind, event_id AS rpid, event_type AS text, user_id FROM events WHERE event_id % 50 NOT IN (1, 2)
-UNION ALL SELECT 'bad', count(*), NULL, NULL FROM events WHERE event_id % 50 IN (1, 2)""")
+SELECT 'row' AS kind, CASE WHEN event_id % 50 <> 3 THEN event_id END AS rpid, event_type AS text, user_id
+FROM events WHERE event_id % 50 NOT IN (1, 2)
+UNION ALL SELECT 'bad', count(*), NULL, NULL FROM events WHERE event_id % 50 IN (1, 2)
+UNION ALL SELECT 'conflict', count(*), NULL, NULL FROM events WHERE event_id % 50 = 3""")
 def src2(t: Tables) -> DataFrame:
     path = _json_lines(t)
-    rows = files.read_json_lines(t.spark, path, "rpid long, text string, user_id long")
-    rows = rows.where("rpid is not null")
-    none = F.lit(None)
-    bad = files.bad_lines(t.spark, path).agg(F.count(F.lit(1)).alias("rpid"))
-    return rows.select(F.lit("row").alias("kind"), "rpid", "text", "user_id").unionByName(
-        bad.select(F.lit("bad").alias("kind"), "rpid", none.cast("string").alias("text"),
-                   none.cast("long").alias("user_id")))
+    schema, none = "rpid long, text string, user_id long", F.lit(None)
+    out = files.read_json_lines(t.spark, path, schema).select(F.lit("row").alias("kind"), "rpid", "text", "user_id")
+    for kind, lines in (("bad", files.bad_lines(t.spark, path)), ("conflict", files.type_conflicts(t.spark, path, schema))):
+        out = out.unionByName(lines.agg(F.count(F.lit(1)).alias("rpid")).select(
+            F.lit(kind).alias("kind"), "rpid", none.cast("string").alias("text"), none.cast("long").alias("user_id")))
+    return out
 
 
 def _json_documents(t: Tables) -> str:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..operators import composite, effective, evidence, labels, metrics, review, views
+from ..operators import composite, effective, evidence, labels, metrics, normalize, review, runs, views
 from .bindings import Tables
 from .catalog_ingest import GOLD_SQL, gold_rows
 from .catalog_metrics import _norm, q6, r6
+from .catalog_text import TEXT_CTES
 from .registry import query
 
 _ABSTAIN_IRONY = "无法判断"
@@ -170,23 +171,35 @@ def prj17(t: Tables) -> DataFrame:
 
 _TODO_SQL = {
     **GOLD_SQL,
+    # The posts of both studies as normalise leaves them: in window, cleaned, without blank and spam rows.
+    **{k: v.replace("text_posts", "posts") for k, v in TEXT_CTES.items()},
     "todo_rows": """
 SELECT study_id, post_id, replace(text, chr(10), ' ') AS text, parent_id IS NOT NULL AS is_sub,
   CAST(day_offset AS INTEGER) AS day, published_at, post_seq,
-  row_number() OVER (ORDER BY (parent_id IS NOT NULL) DESC, published_at, post_seq) AS place
-FROM dated WHERE (study_id, post_id) NOT IN (SELECT study_id, post_id FROM gold)""",
+  row_number() OVER (PARTITION BY study_id ORDER BY (parent_id IS NOT NULL) DESC, published_at, post_seq) AS place
+FROM copies WHERE (study_id, post_id) NOT IN (SELECT study_id, post_id FROM gold)""",
+    # Labels for every 100 to-do rows of a study; every seventh batch lacks its last label.
+    "given": """
+SELECT study_id, (place - 1) // 100 + 1 AS batch, (place - 1) % 100 + 1 AS k, 'label ' || place AS label
+FROM todo_rows WHERE ((place - 1) // 100 + 1) % 7 <> 0 OR (place - 1) % 100 <> 49""",
+    "refused": """
+SELECT study_id, batch FROM given GROUP BY 1, 2
+HAVING count(*) <> (SELECT count(*) FROM todo_rows r WHERE r.study_id = given.study_id AND (r.place - 1) // 100 + 1 = given.batch)""",
 }
 
 
+def _todo(t: Tables) -> DataFrame:
+    return labels.todo(normalize.normalise(t.posts, t.studies, near=False), gold_rows(t))
+
+
 @query("jn9_todo_anti_join", "SELECT study_id, post_id, text, is_sub, day FROM todo_rows", **_TODO_SQL)
 def jn9(t: Tables) -> DataFrame:
-    return labels.todo(t.dated_posts, gold_rows(t)).select("study_id", "post_id", "text", "is_sub", "day")
+    return _todo(t).select("study_id", "post_id", "text", "is_sub", "day")
 
 
-@query("snk4_todo_export", "SELECT place, post_id, text, is_sub, day FROM todo_rows", **_TODO_SQL)
+@query("snk4_todo_export", "SELECT study_id, place, post_id, text, is_sub, day FROM todo_rows", **_TODO_SQL)
 def snk4(t: Tables) -> DataFrame:
-    return labels.number_todo(labels.todo(t.dated_posts, gold_rows(t))).select(
-        "place", "post_id", "text", "is_sub", "day")
+    return labels.number_todo(_todo(t)).select("study_id", "place", "post_id", "text", "is_sub", "day")
 
 
 @query("set4_except", "SELECT study_id, post_id FROM posts EXCEPT SELECT study_id, post_id FROM gold", **GOLD_SQL)
@@ -196,13 +209,15 @@ def set4(t: Tables) -> DataFrame:
 
 
 @query("jn14_positional_merge", """
-SELECT post_id, event_type AS label FROM todo_rows JOIN events ON event_id + 1 = place""", **_TODO_SQL)
+SELECT study_id, post_id, label FROM todo_rows r JOIN given g USING (study_id)
+WHERE (r.place - 1) // 100 + 1 = batch AND (r.place - 1) % 100 + 1 = k AND (study_id, batch) NOT IN (SELECT study_id, batch FROM refused)""", **_TODO_SQL)
 def jn14(t: Tables) -> DataFrame:
-    numbered = labels.number_todo(labels.todo(t.dated_posts, gold_rows(t)))
-    batches = t.raw("events").select(
-        (F.floor(F.col("event_id") / 100) + 1).alias("batch"), (F.col("event_id") % 100 + 1).alias("k"),
-        F.col("event_type").alias("label"))
-    return labels.merge_batches(numbered, batches, 100).select("post_id", "label")
+    numbered = labels.number_todo(_todo(t))
+    place = F.col("place") - 1
+    batch, k = F.floor(place / 100) + 1, place % 100 + 1
+    batches = numbered.where((batch % 7 != 0) | (k != 50)).select(
+        "study_id", batch.alias("batch"), k.alias("k"), F.concat(F.lit("label "), "place").alias("label"))
+    return labels.merge_batches(numbered, batches, 100).select("study_id", "post_id", "label")
 
 
 # ---------- review ----------
@@ -443,7 +458,9 @@ def _runs(t: Tables) -> DataFrame:
         F.format_string("run-%06d", k).alias("run_id"), (k % 20).cast("string").alias("study_id"),
         F.when(k % 5 == 0, F.lit("failed")).when(k % 7 == 0, F.lit("paused")).otherwise(F.lit("completed")).alias("status"),
         F.date_format("created_at", "yyyy-MM-dd").alias("created_at"), "calls", "cache_hits", "tokens", "retries",
-        (F.col("calls") * 2.5).alias("duration_s"))
+        (F.col("calls") * 2.5).alias("duration_s"),
+        F.array(F.struct(F.lit("label").alias("stage"), F.concat(F.lit("m"), (k % 3).cast("string")).alias("model")),
+                F.struct(F.lit("embed").alias("stage"), F.lit("e1").alias("model"))).alias("models"))
 
 
 _RUN_SQL = {"runs": """
@@ -451,27 +468,32 @@ SELECT 'run-' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS run_id, CAST(o_cust
   CASE WHEN o_custkey % 5 = 0 THEN 'failed' WHEN o_custkey % 7 = 0 THEN 'paused' ELSE 'completed' END AS status,
   strftime(max(o_orderdate), '%Y-%m-%d') AS created_at, count(*) AS calls,
   count(*) FILTER (o_orderstatus = 'F') AS cache_hits, CAST(sum(floor(o_totalprice)) AS BIGINT) AS tokens,
-  count(*) FILTER (o_orderpriority = '1-URGENT') AS retries, count(*) * 2.5 AS duration_s
-FROM orders GROUP BY o_custkey"""}
+  count(*) FILTER (o_orderpriority = '1-URGENT') AS retries, count(*) * 2.5 AS duration_s, o_custkey % 3 AS m
+FROM orders GROUP BY o_custkey""",
+    "priced": "SELECT *, 'label:m' || m || ',embed:e1' AS models, tokens * (m + 1.0::DOUBLE) / 1000000 AS cost FROM runs"}
+
+
+def _prices(t: Tables) -> DataFrame:
+    return t.spark.sql("select * from values ('m0', 1.0D), ('m1', 2.0D), ('m2', 3.0D), ('e1', 0.0D) as p(model, price)")
 
 
 @query("ag27_run_summaries", """
-SELECT study_id, status, count(*) AS runs, max(created_at) AS newest, max(run_id) AS last_run FROM runs GROUP BY 1, 2""", **_RUN_SQL)
+SELECT study_id, status, count(*) AS runs, max(created_at) AS newest, max(run_id) AS last_run, round(sum(cost), 6) AS cost,
+  string_agg(DISTINCT models, ';' ORDER BY models) AS models FROM priced GROUP BY 1, 2""", **_RUN_SQL)
 def ag27(t: Tables) -> DataFrame:
-    return _runs(t).groupBy("study_id", "status").agg(
-        F.count(F.lit(1)).alias("runs"), F.max("created_at").alias("newest"), F.max("run_id").alias("last_run"))
+    return runs.summaries(_runs(t), _prices(t)).withColumn("cost", F.round("cost", 6))
 
 
 @query("ag29_provider_usage", """
-SELECT study_id, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(cache_hits) AS BIGINT) AS cache_hits,
-  CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(retries) AS BIGINT) AS retries,
-  CAST(round(sum(calls) / sum(duration_s) * 60, 1) AS DOUBLE) AS per_minute FROM runs GROUP BY 1""", **_RUN_SQL)
+SELECT run_id, study_id, calls, cache_hits, tokens, retries, CAST(calls / (duration_s / 60) AS DOUBLE) AS per_minute FROM runs""", **_RUN_SQL)
 def ag29(t: Tables) -> DataFrame:
-    return _runs(t).groupBy("study_id").agg(
-        *[F.sum(c).alias(c) for c in ("calls", "cache_hits", "tokens", "retries")],
-        F.round(F.sum("calls") / F.sum("duration_s") * 60, 1).alias("per_minute"))
+    return runs.usage(_runs(t))
 
 
-@query("vw12_run_list", "SELECT run_id, study_id, status, created_at FROM runs ORDER BY run_id DESC LIMIT 100", **_RUN_SQL)
+@query("vw12_run_list", """
+SELECT row_number() OVER (ORDER BY created_at DESC, run_id DESC) AS place, run_id, study_id, status, created_at, models, round(cost, 6) AS cost
+FROM priced""", **_RUN_SQL)
 def vw12(t: Tables) -> DataFrame:
-    return views.page(_runs(t), [F.col("run_id").desc()], 100).select("run_id", "study_id", "status", "created_at")
+    """All runs, newest first, with their models and cost."""
+    return runs.run_list(_runs(t), _prices(t)).select(
+        "place", "run_id", "study_id", "status", "created_at", F.col("models_used").alias("models"), F.round("cost", 6).alias("cost"))

@@ -40,7 +40,7 @@ def st2(t: Tables) -> DataFrame:
     rows = t.posts.select("study_id", "post_id", "published_at", "likes")
     _, stream = _landed(rows.unionByName(rows), "collected")
     out = stage_path(t.spark, "unique")
-    jobs.write_table(jobs.first_seen(stream, "60 days"), out, stage_path(t.spark, "cp")).awaitTermination()
+    jobs.first_seen(stream, out, stage_path(t.spark, "cp")).awaitTermination()
     return t.spark.read.parquet(out).select("study_id", "post_id")
 
 
@@ -53,14 +53,8 @@ def st3(t: Tables) -> DataFrame:
     rows = t.posts.select("study_id", "post_id", "published_at").join(labels, ["study_id", "post_id"])
     _, stream = _landed(rows.select("study_id", "published_at", "topics"), "labelled")
     out = stage_path(t.spark, "daily")
-
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
-
-    counts = jobs.daily_counts(stream, "60 days")
-    (counts.writeStream.outputMode("complete").foreachBatch(replace)
-     .option("checkpointLocation", stage_path(t.spark, "cp")).trigger(availableNow=True).start().awaitTermination())
-    return jobs.newest_version(t.spark, out).select(
+    jobs.daily_counts(stream, out, stage_path(t.spark, "cp")).awaitTermination()
+    return jobs.daily_totals(t.spark, out).select(
         "study_id", "topic", F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
 
 
@@ -69,7 +63,7 @@ def st4(t: Tables) -> DataFrame:
     _, stream = _landed(reviews(t), "reviews")
     out = stage_path(t.spark, "latest")
     jobs.latest_reviews(stream, out, stage_path(t.spark, "cp")).awaitTermination()
-    return jobs.newest_version(t.spark, out).select("study_id", "post_id", "field", "after")
+    return jobs.current_reviews(t.spark, out).select("study_id", "post_id", "field", "after")
 
 
 def _distinct_texts(t: Tables) -> DataFrame:

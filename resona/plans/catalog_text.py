@@ -135,12 +135,12 @@ def sc11(t: Tables) -> DataFrame:
 
 
 @query("sc12_arrays", """
-SELECT post_id, array_to_string(list_sort(list_distinct(list_concat(topics, [stance, stance])))[1:4], ',') AS first4,
+SELECT post_id, array_to_string(list_sort(list_distinct(list_concat(topics, CASE WHEN stance IS NULL THEN [] ELSE [stance, stance] END)))[1:4], ',') AS first4,
   list_contains(topics, '活动设计') AS has_topic, list_has_any(topics, ['活动设计', '地图与探索']) AS overlaps
-FROM labels_last WHERE stance IS NOT NULL""")
+FROM labels_last""")
 def sc12(t: Tables) -> DataFrame:
-    both = F.concat("topics", F.array("stance", "stance"))
-    return effective.last_annotation(t.annotations).where("stance is not null").select(
+    both = F.concat("topics", F.array_compact(F.array("stance", "stance")))
+    return effective.last_annotation(t.annotations).select(
         "post_id", F.array_join(F.slice(F.array_sort(F.array_distinct(both)), 1, 4), ",").alias("first4"),
         F.array_contains("topics", "活动设计").alias("has_topic"),
         F.arrays_overlap("topics", F.array(F.lit("活动设计"), F.lit("地图与探索"))).alias("overlaps"))
@@ -198,12 +198,12 @@ def flt6(t: Tables) -> DataFrame:
 @query("flt8_topic_validity", f"""
 SELECT post_id, topic, topic IN ({', '.join(f"'{x}'" for x in vocab.TOPICS)})
   OR (starts_with(topic, 'new:') AND length(topic) > 4) AS valid
-FROM (SELECT post_id, unnest(list_concat(topics, ['new:', stance])) AS topic FROM labels_last WHERE stance IS NOT NULL)""")
+FROM (SELECT post_id, unnest(list_concat(topics, CASE WHEN stance IS NULL THEN ['new:'] ELSE ['new:', stance] END)) AS topic FROM labels_last)""")
 def flt8(t: Tables) -> DataFrame:
     from ..operators.labels import is_valid_topic
 
-    rows = effective.last_annotation(t.annotations).where("stance is not null").select(
-        "post_id", F.explode(F.concat("topics", F.array(F.lit("new:"), F.col("stance")))).alias("topic"))
+    rows = effective.last_annotation(t.annotations).select(
+        "post_id", F.explode(F.concat("topics", F.array_compact(F.array(F.lit("new:"), F.col("stance"))))).alias("topic"))
     return rows.select("post_id", "topic", is_valid_topic(F.col("topic")).alias("valid"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import composite, effective, evidence, metrics, normalize
 from ..session import checkpointed, stage_table
@@ -22,7 +23,8 @@ def metric_tables(posts: DataFrame, annotations: DataFrame, videos: DataFrame, s
     """
     dated = effective.with_offsets(posts, studies)
     relevant = stage_table(effective.relevant_posts(dated, annotations).select(*RELEVANT_COLUMNS), "relevant")
-    rollup = checkpointed(metrics.topic_rollup(relevant, videos))
+    longest = studies.agg(F.max(F.col("ferment_hi") - F.col("preheat_lo") + 1)).first()[0]
+    rollup = checkpointed(metrics.topic_rollup(relevant, videos, longest))
     topics = checkpointed(metrics.topic_metrics(rollup, videos, metrics.reply_conflict(relevant)))
     return {"relevant": relevant, "rollup": rollup, "topics": topics}
 

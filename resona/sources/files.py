@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 
@@ -40,19 +41,46 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line
     return _require_rows(df, path)
 
 
+_LINE = "_line"
+
+
+def _typed_objects(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Every line that is a JSON object; a field of another type than the schema's is null, and the line is kept in _LINE."""
+    parsed = F.from_json("value", _with_line(schema), {"columnNameOfCorruptRecord": _LINE})
+    rows = spark.read.text(path).select("value", parsed.alias("_row"))
+    return rows.where(F.col(f"_row.{_LINE}").isNull() | _is_object(F.col("value"))).where(F.trim("value") != "").select("_row.*")
+
+
+def _with_line(schema) -> T.StructType:
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return T.StructType([*wanted.fields, T.StructField(_LINE, T.StringType())])
+
+
+def _is_object(line) -> F.Column:
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(line)).startswith("OBJECT"), F.lit(False))
+
+
 def read_json_lines(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """One object per line; bad lines are left out (see bad_lines), columns in sorted order."""
-    reader = spark.read.option("mode", "DROPMALFORMED")
-    df = (reader.schema(schema) if schema is not None else reader).json(path)
+    """One object per line, columns in sorted order; lines that are no object are left out (see bad_lines).
+
+    With a schema, a field of another type is null in its row; type_conflicts lists such lines.
+    """
+    if schema is not None:
+        df = _typed_objects(spark, path, schema).drop(_LINE)
+    else:
+        df = spark.read.option("mode", "DROPMALFORMED").json(path)
     return _require_rows(df.select(*[F.col(f"`{c}`") for c in sorted(df.columns)]), path)
 
 
+def type_conflicts(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The lines (line) that are objects but have a field of another type than the schema's."""
+    return _typed_objects(spark, path, schema).where(F.col(_LINE).isNotNull()).select(F.col(_LINE).alias("line"))
+
+
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines that are not a JSON object, blank lines aside, with their line number."""
     lines = number_rows(spark.read.text(path))
-    kind = F.schema_of_variant(F.try_parse_json("value"))
-    is_object = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
-    return lines.where((F.trim("value") != "") & ~is_object)
+    return lines.where((F.trim("value") != "") & ~_is_object(F.col("value")))
 
 
 def read_json_document(spark: SparkSession, path: str) -> DataFrame:
@@ -110,8 +138,6 @@ def number_rows(df: DataFrame, name: str = "row") -> DataFrame:
 def load_label_map(spark: SparkSession, path: str) -> DataFrame:
     """Documents of the form {post_id: labels} as one row per post."""
     lines = spark.read.text(path)
-    from pyspark.sql import types as T
-
     parsed = F.from_json("value", T.MapType(T.StringType(), schemas.LABEL_FIELDS))
     return lines.select(F.explode(parsed).alias("post_id", "labels")).select("post_id", "labels.*")
 
@@ -135,5 +161,5 @@ def save_gold(gold: DataFrame, path: str) -> None:
 
 
 def load_journal(spark: SparkSession, path: str) -> DataFrame:
-    """Append-only journal; a line cut off by a crash is ignored."""
-    return spark.read.schema(schemas.JOURNAL).option("mode", "DROPMALFORMED").json(path)
+    """Append-only journal; a line cut off by a crash is ignored, one with a field of another type has it null."""
+    return _typed_objects(spark, path, schemas.JOURNAL).drop(_LINE)

@@ -35,43 +35,55 @@ def import_posts(rows: DataFrame, out: str, checkpoint: str, salt: bytes | None
     return _start(rows.writeStream.foreachBatch(write), checkpoint)
 
 
-def first_seen(posts: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Drop posts that were collected before; ids are remembered for `delay` of event time."""
-    return posts.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(["study_id", "post_id"])
+def first_seen(posts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append the posts whose (study_id, post_id) no earlier batch has, however late they come.
 
+    What was seen is what was written: only the two key columns of the earlier batches are read, so there is no state that
+    must expire. Of copies in one batch any one is taken.
+    """
+    spark = posts.sparkSession
 
-def daily_counts(labelled: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Posts per (study, topic, day); a day is final once the watermark has passed it."""
-    return (
-        labelled.withWatermark("published_at", delay).select("study_id", "published_at", F.explode("topics").alias("topic"))
-        .groupBy(F.window("published_at", "1 day").alias("day"), "study_id", "topic")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("study_id", "topic", F.to_date("day.start").alias("day"), "n"))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates(["study_id", "post_id"])
+        before = _earlier(spark, out, batch_id)
+        if before is not None:
+            fresh = fresh.join(before.select("study_id", "post_id"), ["study_id", "post_id"], "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return _start(posts.writeStream.foreachBatch(write), checkpoint)
+
+
+def _earlier(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
+    """What the batches before this one have written to out."""
+    return spark.read.parquet(out).where(F.col("batch") < batch_id) if batch_id > 0 else None
+
+
+def daily_counts(labelled: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Posts per (study, topic, day): every batch adds its own counts, so late posts are counted and nothing is rewritten."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("study_id", F.to_date("published_at").alias("day"), F.explode("topics").alias("topic"))
+        rows.groupBy("study_id", "topic", "day").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
+    return _start(labelled.writeStream.foreachBatch(write), checkpoint)
 
-def write_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    return _start(stream.writeStream.outputMode(mode).format("parquet").option("path", out), checkpoint)
+
+def daily_totals(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(out).groupBy("study_id", "topic", "day").agg(F.sum("n").alias("n"))
 
 
 def latest_reviews(reviews: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest value per (post, field): each batch is merged into a new table version."""
-    spark = reviews.sparkSession
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        schema = batch.schema
-        target = f"{out}/version={batch_id}"
-        if batch_id > 0:
-            batch = spark.read.schema(schema).parquet(f"{out}/version={batch_id - 1}").unionByName(batch)
-        order = F.struct("reviewed_at", "review_seq")
-        names = [f.name for f in schema if f.name not in ("study_id", "post_id", "field")]
-        latest = (batch.where(F.col("field").isin(*review.VALUE_FIELDS)).groupBy("study_id", "post_id", "field")
-                  .agg(F.max_by(F.struct(*names), order).alias("r")).select("study_id", "post_id", "field", "r.*"))
-        latest.select(*schema.fieldNames()).write.mode("overwrite").parquet(target)
-
-    return _start(reviews.writeStream.foreachBatch(merge), checkpoint)
-
-
-def newest_version(spark: SparkSession, out: str) -> DataFrame:
-    versions = spark.read.parquet(out)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == newest).drop("version")
+    """Every batch adds the latest value per (post, field) it holds; current_reviews takes the latest of all batches."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _latest(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return _start(reviews.writeStream.foreachBatch(write), checkpoint)
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    names = [c for c in rows.columns if c not in ("study_id", "post_id", "field")]
+    return (rows.where(F.col("field").isin(*review.VALUE_FIELDS)).groupBy("study_id", "post_id", "field")
+            .agg(F.max_by(F.struct(*names), F.struct("reviewed_at", "review_seq")).alias("r")).select("study_id", "post_id", "field", "r.*"))
+
+
+def current_reviews(spark: SparkSession, out: str) -> DataFrame:
+    return _latest(spark.read.parquet(out).drop("batch"))

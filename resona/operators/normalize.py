@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from .effective import with_offsets
@@ -83,24 +89,24 @@ def keep_first_id(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
 
 
 def simhash(posts: DataFrame, key: list[str]) -> DataFrame:
-    """64-bit similarity hash over character bigrams of the lower-cased text without blanks.
+    """64-bit similarity hash over character bigrams of the lower-cased text without blanks, row by row.
 
-    Texts are spread by key once; counting the distinct bigrams of a text, hashing each of them
-    once and summing the bits need no further shuffle.
+    Bit b is set if, over all bigrams, more of their hashes have it set than not; a text without a character has 0.
     """
-    squeezed = X.drop_spaces(F.lower(F.col("text")))
-    grams = posts.select(*key, "text").repartition(*key).select(
-        *key, F.explode_outer(X.char_ngrams(squeezed, 2)).alias("gram"))
-    counts = grams.groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("n"))
-    hashed = X.once(counts, h=F.when(F.length("gram") > 0, X.md5_long(F.col("gram"), 16)))
-    bits = hashed.groupBy(*key).agg(*[
-        F.sum(F.expr(f"case when h is null then 0 when getbit(h, {i}) = 1 then n else -n end")).alias(f"b{i}")
-        for i in range(64)])
-    parts = [F.expr(f"case when b{i} > 0 then shiftleft(1L, {i}) else 0L end") for i in range(64)]
-    value = parts[0]
-    for p in parts[1:]:
-        value = value.bitwiseOR(p)
-    return bits.select(*key, value.alias("simhash"))
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([_simhash(t or "") for t in texts], dtype="int64")
+
+    return posts.select(*key, F.pandas_udf(run, T.LongType())(X.drop_spaces(F.lower(F.col("text")))).alias("simhash"))
+
+
+def _simhash(squeezed: str) -> int:
+    if not squeezed:
+        return 0
+    grams = Counter(squeezed[i:i + 2] for i in range(max(1, len(squeezed) - 1)))
+    raw = np.frombuffer(b"".join(md5(g.encode()).digest()[:8] for g in grams), np.uint8).reshape(-1, 8)
+    weight = np.fromiter(grams.values(), np.int64, len(grams))
+    set_ = weight @ np.unpackbits(raw, axis=1).astype(np.int64)
+    return int(np.packbits(2 * set_ > weight.sum()).view(">i8")[0])
 
 
 def hamming(a, b):

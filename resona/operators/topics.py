@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,22 +18,30 @@ from ..functions import vectors as V
 from .order_stats import order_statistics
 
 
-def hash_vectors(texts: DataFrame, key: list[str], dim: int = 256) -> DataFrame:
-    """Sparse hash embedding (key, dim, value), unit length: signed counts of character trigrams.
+def hash_embedding(text: Column, dim: int = 256) -> Column:
+    """Hash embedding of unit length: signed counts of character trigrams of the lower-cased text without blanks, row by row.
 
-    Texts are spread by key once; everything after that stays in its partition.
+    A trigram adds to the dimension that its hash names, with the sign of the hash's highest bit; shorter texts are one gram.
     """
-    squeezed = X.drop_spaces(F.lower(F.col("text")))
-    grams = texts.select(*key, "text").repartition(*key).select(
-        *key, F.explode(X.char_ngrams(squeezed, 3)).alias("gram"))
-    distinct = grams.groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("n"))
-    hashed = X.once(distinct, h=X.md5_long(F.col("gram"), 8))
-    counts = (
-        hashed.select(*key, (F.col("h") % dim).cast("int").alias("dim"),
-                      F.when(F.col("h") >= 2**31, F.col("n")).otherwise(-F.col("n")).alias("signed"))
-        .groupBy(*key, "dim").agg(F.sum("signed").alias("c")).where("c <> 0"))
-    norms = F.sqrt(F.sum(F.col("c") * F.col("c")).over(W.partitionBy(*key)))
-    return counts.select(*key, "dim", (F.col("c") / norms).alias("value"))
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([_hashed(t or "", dim) for t in texts], dtype=object)
+
+    return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(X.drop_spaces(F.lower(text)))
+
+
+def _hashed(squeezed: str, dim: int) -> np.ndarray:
+    grams = Counter(squeezed[i:i + 3] for i in range(max(1, len(squeezed) - 2)))
+    heads = np.frombuffer(b"".join(md5(g.encode()).digest()[:4] for g in grams), ">u4").astype(np.int64)
+    signs = np.where(heads >= 2 ** 31, 1.0, -1.0) * np.fromiter(grams.values(), float, len(grams))
+    sums = np.bincount(heads % dim, signs, dim)
+    size = np.sqrt((sums * sums).sum())
+    return sums / size if size else sums
+
+
+def hash_vectors(texts: DataFrame, key: list[str], dim: int = 256) -> DataFrame:
+    """Sparse hash embedding (key, dim, value), unit length. Nothing is moved between partitions."""
+    dense = texts.select(*key, hash_embedding(F.col("text"), dim).alias("_v"))
+    return dense.select(*key, F.posexplode("_v").alias("dim", "value")).where("value <> 0")
 
 
 def embed_with(texts: DataFrame, key: list[str], model, quality: str) -> DataFrame:
@@ -43,32 +54,29 @@ def embed_with(texts: DataFrame, key: list[str], model, quality: str) -> DataFra
 
 
 def topic_centroids(spark: SparkSession, dim: int = 256) -> DataFrame:
-    """Sparse centroids of the fixed topics (at most 12 x dim rows)."""
+    """Centroids (topic, centroid) of the fixed topics: one row each."""
     rows = ", ".join(f"('{t}', '{t} {d}')" for t, d in vocab.TOPIC_TEXT.items())
-    return hash_vectors(spark.sql(f"select * from values {rows} as t(topic, text)"), ["topic"], dim)
+    return spark.sql(f"select * from values {rows} as t(topic, text)").select(
+        "topic", hash_embedding(F.col("text"), dim).alias("centroid"))
 
 
-def sparse_similarity(vectors: DataFrame, centroids: DataFrame, key: list[str]) -> DataFrame:
-    """Dot products of unit vectors with every centroid, by a join on the dimension.
-
-    Centroids are bounded by topics x dimensions and are broadcast.
-    """
-    c = centroids.select("topic", "dim", F.col("value").alias("weight"))
-    return (vectors.join(F.broadcast(c), "dim").groupBy(*key, "topic")
-            .agg(F.sum(F.col("value") * F.col("weight")).alias("similarity")))
+#: Centroids that travel together next to a vector.
+CENTROID_BLOCK = 256
 
 
 def dense_similarity(vectors: DataFrame, centroids: DataFrame, key: list[str]) -> DataFrame:
-    """Cosine with every centroid, for dense vectors and at most a few dozen centroids.
+    """Cosine of every vector (key, vector) with every centroid (topic, centroid): one row per pair, also where nothing is shared.
 
-    The centroids travel as one array next to each vector, so rows are only expanded to topics.
+    Centroids are packed in blocks that a vector meets one by one; Spark chooses the join by their size, so any number works.
     """
-    rows = centroids.select("topic", "centroid").orderBy("topic").collect()
-    packed = F.array(*[
-        F.struct(F.lit(r.topic).alias("topic"), F.array(*[F.lit(float(x)) for x in r.centroid]).alias("c")) for r in rows])
-    sims = F.transform(packed, lambda p: F.struct(
+    # Counted, not collected: the number of blocks only.
+    blocks = max(1, -(-centroids.count() // CENTROID_BLOCK))
+    packed = centroids.groupBy(F.pmod(F.xxhash64("topic"), F.lit(blocks)).cast("int").alias("_block")).agg(
+        F.sort_array(F.collect_list(F.struct("topic", F.col("centroid").alias("c")))).alias("_packed"))
+    sims = F.transform("_packed", lambda p: F.struct(
         p["topic"].alias("topic"), V.cosine(F.col("vector"), p["c"]).alias("similarity")))
-    return vectors.select(*key, F.inline(sims))
+    rows = vectors.select(*key, "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    return rows.join(packed, "_block").select(*key, F.inline(sims))
 
 
 def assign(similarities: DataFrame, key: list[str], threshold: float | Column = vocab.ASSIGN_THRESHOLD,

@@ -370,7 +370,7 @@ def w10(t: Tables) -> DataFrame:
 _HASH_SQL = {
     "vec_texts": """
 SELECT post_id, regexp_replace(lower(text), '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '', 'g') AS s
-FROM text_posts""",
+FROM (SELECT post_id, text FROM text_posts UNION ALL SELECT 's' || post_id, substr(text, 1, CAST(post_seq % 4 + 1 AS INTEGER)) FROM text_posts)""",
     "topic_texts": "SELECT topic AS post_id, regexp_replace(lower(topic || ' ' || d), '\\s+', '', 'g') AS s FROM (VALUES "
                    + ", ".join(f"('{k}', '{v}')" for k, v in vocab.TOPIC_TEXT.items()) + ") x(topic, d)",
     **{f"{name}_vec": f"""
@@ -382,38 +382,48 @@ SELECT post_id, dim, c / sqrt(sum(c * c) OVER (PARTITION BY post_id)) AS value F
       FROM (SELECT post_id, s, string_split(s, '') AS c FROM {source}))) GROUP BY 1, 2) WHERE c <> 0"""
        for name, source in (("text", "vec_texts"), ("topic", "topic_texts"))},
     "text_sims": """
-SELECT t.post_id, c.post_id AS topic, sum(t.value * c.value) AS similarity FROM text_vec t JOIN topic_vec c USING (dim)
-GROUP BY 1, 2""",
+SELECT p.post_id, x.post_id AS topic, coalesce(s.similarity, 0) AS similarity
+FROM vec_texts p CROSS JOIN topic_texts x LEFT JOIN (
+  SELECT t.post_id, c.post_id AS topic, sum(t.value * c.value) AS similarity FROM text_vec t JOIN topic_vec c USING (dim) GROUP BY 1, 2) s
+ON s.post_id = p.post_id AND s.topic = x.post_id""",
 }
 
 
+def _embedded_texts(t: Tables) -> DataFrame:
+    """The texts, and the first one to four characters of each as short comments."""
+    rows = t.text_posts.select("post_id", "text", "post_seq")
+    short = rows.select(F.concat(F.lit("s"), "post_id").alias("post_id"), F.substring("text", F.lit(1), (F.col("post_seq") % 4 + 1).cast("int")).alias("text"))
+    return rows.select("post_id", "text").unionByName(short)
+
+
 @query("vec1_hash_embedding", f"SELECT post_id, CAST(dim AS INTEGER) AS dim, {q6('value')} FROM text_vec", **_HASH_SQL)
 def vec1(t: Tables) -> DataFrame:
-    return topics.hash_vectors(t.text_posts, ["post_id"]).select("post_id", "dim", *r6("value"))
+    return topics.hash_vectors(_embedded_texts(t), ["post_id"]).select("post_id", "dim", *r6("value"))
+
+
+def _text_similarities(t: Tables) -> DataFrame:
+    """Every text with every topic, the short ones too that share no dimension with it."""
+    vectors = _embedded_texts(t).select("post_id", topics.hash_embedding(F.col("text")).alias("vector"))
+    return topics.dense_similarity(vectors, topics.topic_centroids(t.spark), ["post_id"])
 
 
 @query("vec3_topic_centroids", f"""
 SELECT topic, round(sum(similarity), 3) AS total FROM text_sims GROUP BY 1""", **_HASH_SQL)
 def vec3(t: Tables) -> DataFrame:
     """Total similarity of all texts with each topic centroid."""
-    sims = topics.sparse_similarity(topics.hash_vectors(t.text_posts, ["post_id"]), topics.topic_centroids(t.spark), ["post_id"])
-    return sims.groupBy("topic").agg(F.round(F.sum("similarity"), 3).alias("total"))
+    return _text_similarities(t).groupBy("topic").agg(F.round(F.sum("similarity"), 3).alias("total"))
 
 
 @query("jn16_centroid_scores", f"SELECT post_id, topic, {q6('similarity')} FROM text_sims", **_HASH_SQL)
 def jn16(t: Tables) -> DataFrame:
-    vectors = topics.hash_vectors(t.text_posts, ["post_id"])
-    return topics.sparse_similarity(vectors, topics.topic_centroids(t.spark), ["post_id"]).select(
-        "post_id", "topic", *r6("similarity"))
+    return _text_similarities(t).select("post_id", "topic", *r6("similarity"))
 
 
 @query("vec5_assign_topics", """
 SELECT post_id, coalesce(array_to_string(list(topic ORDER BY round(similarity, 12) DESC, topic DESC)
   FILTER (similarity >= 0.05)[1:4], ','), '') AS topics FROM text_sims GROUP BY 1""", **_HASH_SQL)
 def vec5(t: Tables) -> DataFrame:
-    vectors = topics.hash_vectors(t.text_posts, ["post_id"])
-    sims = topics.sparse_similarity(vectors, topics.topic_centroids(t.spark), ["post_id"])
-    return topics.assign(sims, ["post_id"], 0.05).select("post_id", F.array_join("topics", ",").alias("topics"))
+    return topics.assign(_text_similarities(t), ["post_id"], 0.05).select("post_id", F.array_join("topics", ",").alias("topics"))
 
 
 _EMB_SQL = {

@@ -1,4 +1,4 @@
-"""Near-duplicate groups against a sequential loop over small fixtures."""
+"""Near-duplicate groups against the rule stated for each text on its own, over small fixtures."""
 
 import random
 from difflib import SequenceMatcher
@@ -11,25 +11,22 @@ from resona.operators import near_duplicates, normalize
 from resona.plans.bindings import Tables
 
 
-def sequential(texts):
-    """head position of every text, one pass in order."""
-    buckets, heads = {}, []
+def matches(text, head):
+    """The rule for a text and an earlier head: lengths near each other, in touching buckets of six, and a ratio of 0.85."""
+    gap, long = abs(len(text) - len(head)), max(len(text), len(head))
+    near = abs(len(text) // 6 - len(head) // 6) <= 1 and gap <= max(3, 0.15 * long)
+    return near and SequenceMatcher(None, text, head, autojunk=False).ratio() >= 0.85
+
+
+def assert_heads(texts, head):
+    """head[i] is what the rule says for texts in their order.
+
+    A text without a matching earlier head is a head itself; any other belongs to the one in the lowest bucket, then the oldest.
+    """
+    heads = [i for i in range(len(texts)) if head[i] == i]
     for i, text in enumerate(texts):
-        found = None
-        for k in (len(text) // 6 - 1, len(text) // 6, len(text) // 6 + 1):
-            for j in buckets.get(k, []):
-                a, b = len(text), len(texts[j])
-                if abs(a - b) <= max(3, 0.15 * max(a, b)) and SequenceMatcher(
-                        None, text, texts[j], autojunk=False).ratio() >= 0.85:
-                    found = j
-                    break
-            if found is not None:
-                break
-        if found is None:
-            buckets.setdefault(len(text) // 6, []).append(i)
-            found = i
-        heads.append(found)
-    return heads
+        fitting = [h for h in heads if h < i and matches(text, texts[h])]
+        assert head[i] == min(fitting, key=lambda h: (len(texts[h]) // 6, h), default=i)
 
 
 def variants(rng, n, alphabet, length, edits):
@@ -52,12 +49,12 @@ def variants(rng, n, alphabet, length, edits):
     (2, "abcde ", (8, 40), 6),
     (3, "角色设计真好探索感拉满地图不错剧情", (10, 26), 4),
 ])
-def test_groups_equal_the_sequential_pass(spark, seed, alphabet, length, edits):
+def test_groups_follow_the_rule(spark, seed, alphabet, length, edits):
     texts = variants(random.Random(seed), 110, alphabet, length, edits)
     rows = [("s", i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "study_id string, post_seq long, text string")
     got = {r.post_seq: r.head_seq for r in near_duplicates.head_of(df).collect()}
-    assert [got[i] for i in range(len(texts))] == sequential(texts)
+    assert_heads(texts, got)
 
 
 def test_studies_do_not_mix_and_copies_share_a_group(spark):
@@ -81,18 +78,20 @@ def test_long_texts_use_the_same_measure():
         assert similarity.reaches(a, b) == (SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.85)
 
 
-def test_documents_equal_the_sequential_pass(spark):
+def test_documents_follow_the_rule(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     kept = normalize.staged(t.text_posts, t.studies).where("kept").select("study_id", "post_seq", "text", "flags")
     out = {r.post_seq: r for r in near_duplicates.mark_duplicates(kept).collect()}
     rows = sorted((r.post_seq, r.text) for r in kept.collect())
-    first, order = {}, []
+    first = {}
     for seq, text in rows:
-        if "".join(text.split()) not in first:
-            first["".join(text.split())] = seq
-            order.append((seq, text))
-    heads = dict(zip([s for s, _ in order], sequential([x for _, x in order])))
+        first.setdefault("".join(text.split()), seq)
+    owners = {r.post_seq: r.head_seq for r in near_duplicates.head_of(
+        kept.where(F.col("post_seq").isin(list(first.values()))).select("study_id", "post_seq", "text")).collect()}
+    order = [(seq, text) for seq, text in rows if first["".join(text.split())] == seq]
+    place = {seq: i for i, (seq, _) in enumerate(order)}
+    assert_heads([text for _, text in order], [place[owners[seq]] for seq, _ in order])
     for seq, text in rows:
-        head = order[heads[first["".join(text.split())]]][0]
+        head = owners[first["".join(text.split())]]
         assert out[seq].dedup_group == out[head].dedup_group
         assert ("duplicate" in out[seq].flags) == (seq != head)

@@ -1,4 +1,4 @@
-"""Sampling and vectors against plain sequential versions."""
+"""Sampling, vectors and clusters: stated properties and values worked out by hand."""
 
 import hashlib
 import random
@@ -63,54 +63,68 @@ def test_join_with_hot_groups_keeps_all_rows(spark):
     assert out.count() == 60_000 and out.where("v <> k * 2 or v is null").count() == 0
 
 
-def test_kmeans_equals_the_sequential_loop(spark):
+def _cluster(spark, vectors, k):
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, vector array<double>")
+    labelled, centroids = topics.kmeans(df, "id", k)
+    rows = sorted((r.id, r.cluster) for r in labelled.collect())
+    return np.array([c for _, c in rows]), np.array(centroids)
+
+
+def test_kmeans_by_hand(spark):
+    """Rows 0 and 2 start. In the first case they point the same way: all rows go to cluster 0, where all labels begin, and it ends."""
+    labels, _ = _cluster(spark, [(1, 0), (0, 2), (3, 0), (0, 1)], 2)
+    assert labels.tolist() == [0, 0, 0, 0]
+    labels, centroids = _cluster(spark, [(2, 0), (5, 1), (0, 3), (1, 9)], 2)
+    assert labels.tolist() == [0, 0, 1, 1]
+    assert centroids == pytest.approx(np.array([[7, 1], [1, 12]]) / np.sqrt([[50], [145]]))
+
+
+def test_kmeans_ends_at_a_fixed_point(spark):
     rng = np.random.default_rng(4)
     data = np.concatenate([rng.normal(c, 0.3, (40, 6)) for c in np.eye(6)[:4] * 3])
     rng.shuffle(data)
-    k = 4
-    step = max(1, len(data) // k)
-    centroids = [data[i].copy() for i in range(0, len(data), step)][:k]
-    labels = [0] * len(data)
-
-    def cos(a, b):
-        return a @ b / ((np.sqrt(a @ a) or 1.0) * (np.sqrt(b @ b) or 1.0))
-
-    for _ in range(25):
-        now = [max(range(k), key=lambda c: (cos(v, centroids[c]), -c)) for v in data]
-        if now == labels:
-            break
-        labels = now
-        for c in range(k):
-            members = data[[i for i, x in enumerate(labels) if x == c]]
-            if len(members):
-                s = members.sum(axis=0)
-                centroids[c] = s / (np.sqrt(s @ s) or 1.0)
-    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, vector array<double>")
-    got = {r.id: r.cluster for r in topics.kmeans(df, "id", k)[0].collect()}
-    assert [got[i] for i in range(len(data))] == labels
-
-
-def test_hash_embedding_and_simhash_equal_stdlib(spark):
-    texts = ["版本内容 太少", "ab", "", "Hello World hello", "角色 立绘好看"]
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    sparse = topics.hash_vectors(df, ["id"]).collect()
-    sims = {r.id: r.simhash for r in normalize.simhash(df, ["id"]).collect()}
-    for i, text in enumerate(texts):
-        t = "".join(text.lower().split())
-        vec = [0.0] * 256
-        for g in [t[j:j + 3] for j in range(max(len(t) - 2, 1))] or [t]:
-            h = int.from_bytes(hashlib.md5(g.encode()).digest()[:4], "big")
-            vec[h % 256] += 1.0 if h >> 31 else -1.0
-        size = sum(x * x for x in vec) ** 0.5 or 1.0
-        got = [0.0] * 256
-        for r in sparse:
-            if r.id == i:
-                got[r.dim] = r.value
-        assert got == pytest.approx([x / size for x in vec])
-        grams = ([t] if t else []) if len(t) <= 2 else [t[j:j + 2] for j in range(len(t) - 1)]
-        hashes = [int.from_bytes(hashlib.md5(g.encode()).digest()[:8], "big") for g in grams]
-        want = sum(1 << b for b in range(64) if sum(1 if h >> b & 1 else -1 for h in hashes) > 0)
-        assert sims[i] % (1 << 64) == want
+    labels, centroids = _cluster(spark, data, 4)
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    near = unit @ (centroids / np.linalg.norm(centroids, axis=1, keepdims=True)).T
+    assert (near.max(axis=1) - near[np.arange(len(data)), labels] < 1e-9).all()
+    for c in range(4):
+        mean = data[labels == c].sum(axis=0)
+        assert centroids[c] == pytest.approx(mean / np.linalg.norm(mean))
+    # Equal centroids: the lowest number wins.
+    assert set(_cluster(spark, np.ones((6, 3)), 3)[0].tolist()) == {0}
+
+
+@pytest.mark.parametrize("text,want", [
+    # md5 of the only gram begins with 187ef443: dimension 0x43, highest bit 0.
+    ("ab", {0x43: -1.0}), (" A B ", {0x43: -1.0}),
+    # The empty gram: d41d8cd9, highest bit 1.
+    ("", {0xD9: 1.0}),
+    # "abc" 90015098 and "bcd" d4b7c284: two grams of equal weight.
+    ("abcd", {0x98: 0.5 ** 0.5, 0x84: 0.5 ** 0.5}),
+])
+def test_embedding_of_short_texts(spark, text, want):
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    assert {r.dim: r.value for r in topics.hash_vectors(df, ["id"]).collect()} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("text,want", [
+    ("", 0), ("a", 0x0CC175B9C0F1B6A8), ("ab", 0x187EF4436122D1CC), ("A b", 0x187EF4436122D1CC),
+    # "ab" twice and "ba" once: the majority has the bits of "ab".
+    ("abab", 0x187EF4436122D1CC),
+    # "ab" and "ba" once each: only bits that both have.
+    ("aba", 0x187EF4436122D1CC & 0x07159C47EE1B19AE),
+])
+def test_simhash_of_short_texts(spark, text, want):
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    assert normalize.simhash(df, ["id"]).first().simhash == want
+
+
+def test_every_text_gets_a_score_for_every_topic(spark):
+    texts = ["好", "啊啊", "ok", "", "地图设计真不错"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", topics.hash_embedding(F.col("text")).alias("vector"))
+    sims = topics.dense_similarity(df, topics.topic_centroids(spark), ["id"])
+    assert sims.count() == 5 * topics.topic_centroids(spark).count()
+    assert topics.assign(sims, ["id"]).count() == 5
 
 
 def test_agreement_scores(spark):

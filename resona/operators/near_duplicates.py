@@ -4,9 +4,9 @@ The sequential rule: a post joins the first group head it resembles (heads of th
 bucket below, the same bucket, the bucket above; older heads first), otherwise it becomes a
 head. Heads are therefore the posts that resemble no earlier head.
 
-Only posts whose length buckets touch and that share one of their rare characters can
+Only posts whose length buckets touch and that share one of their rare bigrams can
 resemble each other (a prefix filter without false negatives), so posts are indexed by
-(study, bucket, character). Heads are found in rounds over these lists. A round compares
+(study, bucket, bigram). Heads are found in rounds over these lists. A round compares
 the earliest few undecided posts of each list with the later ones; a post that resembles an
 earlier one is set aside at once and makes no further comparisons. A group of near copies
 thus costs one comparison per member, however large it is.
@@ -14,9 +14,16 @@ thus costs one comparison per member, however large it is.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from zlib import crc32
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import vocab
 from ..functions.similarity import is_near
@@ -25,36 +32,74 @@ from .normalize import first_of_copies
 from .skew import hot_keys, join_groups, replicated, salted
 
 BUCKET = 6
+#: Last bucket whose texts are listed by bigrams (192 characters), and slots of the bigram counts.
+LONG_BUCKET, SLOTS = 32, 1 << 20
 KEY = ["study_id", "post_seq"]
 LIST = ["study_id", "bucket", "ch"]
 
 
+def _shortest(n: int) -> int:
+    """The shortest text that one of n characters can resemble: a bucket below at most, and the length gap rule."""
+    return max(1, (n // BUCKET - 1) * BUCKET, n - max(3, int(0.15 * n) + 1))
+
+
+def _grams(text: str) -> Counter:
+    return Counter(text[i:i + 2] for i in range(len(text) - 1))
+
+
+def _slot(gram: str) -> int:
+    return crc32(gram.encode("utf-8", "surrogatepass")) % SLOTS
+
+
+def rare_bigrams(text: str, spread: np.ndarray) -> list[str]:
+    """The bigrams, rarest first, of which two similar texts have at least one in common.
+
+    Similar texts of a and b characters match m characters in blocks, with d = a + b - 2m <= (1 - ratio) * (a + b) left over. Two
+    neighbouring blocks have a left-over character between them in one of the texts, so there are at most d + 1 blocks, and
+    the pairs of neighbours inside blocks are common bigrams: at least m - d - 1 >= (1.5 * ratio - 1) * (a + b) - 1 of them. With all
+    bigrams in one order, a common one is among the first (a - 1) - that + 1 of each text. The order is by the texts that
+    have a bigram of its slot, so it needs a table of SLOTS numbers only.
+    """
+    n = len(text)
+    common = math.ceil((1.5 * vocab.NEAR_DUP_RATIO - 1) * (n + _shortest(n)) - 1 - 1e-6)
+    take, out = max(1, n - common), []
+    counts = _grams(text)
+    for gram in sorted(counts, key=lambda g: (spread[_slot(g)], g)):
+        if take <= 0:
+            break
+        out.append(gram)
+        take -= counts[gram]
+    return out
+
+
 def with_prefix(texts: DataFrame) -> DataFrame:
-    """Add len, bucket and prefix: the rare characters of which two similar texts share at least one.
+    """Add len, bucket and prefix, the names of the lists a text is in; two similar texts share at least one.
 
-    Similar texts share at least 0.425*(la+lb) characters as multisets. With characters ordered
-    by how many texts hold them, one of the shared ones lies among the rarest
-    la - 0.425*(la+shortest partner) + 1 of each text.
+    Texts of up to LONG_BUCKET are in the lists of their rare bigrams. Longer ones hold nearly all common bigrams, so
+    they are in one list per bucket, named by the empty string; the last bucket of the others is in both kinds.
     """
     n = F.length("text")
-    # The shortest text a text of n characters can resemble: bucket below, length gap rule.
-    shortest = F.greatest(
-        F.lit(1), (F.floor(n / BUCKET) - 1) * BUCKET,
-        n - F.greatest(F.lit(3), F.floor(0.15 * n) + 1))
-    share = F.ceil(vocab.NEAR_DUP_RATIO / 2 * (n + shortest) - 1e-6)
-    base = texts.select(*KEY, "text", n.alias("len"), F.floor(n / BUCKET).alias("bucket"),
-                        F.greatest(F.lit(1), n - share + 1).alias("_take"))
-    chars = base.select(
-        *KEY, "_take", "text", F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''").select(
-        *KEY, "_take", "ch", (F.length("text") - F.length(F.replace("text", "ch"))).alias("n"))
-    # One row per distinct character: at most the 1,114,112 code points of Unicode.
-    spread = chars.groupBy("ch").agg(F.count(F.lit(1)).alias("df"))
-    order = W.partitionBy(*KEY).orderBy("df", "ch").rowsBetween(W.unboundedPreceding, -1)
-    picked = chars.join(F.broadcast(spread), "ch").withColumn(
-        "_before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("_before") < F.col("_take"))
-    prefix = picked.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("df", "ch"))).alias("p")).select(
-        *KEY, F.col("p.ch").alias("prefix"))
-    return base.drop("_take").join(prefix, KEY)
+    base = texts.select(*KEY, "text", n.alias("len"), F.floor(n / BUCKET).alias("bucket"))
+    spark = texts.sparkSession
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def slots(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted({_slot(g) for g in _grams(t)}) for t in texts], dtype=object)
+
+    counted = base.where(F.col("bucket") <= LONG_BUCKET).select(F.explode(slots("text")).alias("slot")).groupBy("slot").count().toArrow()
+    spread = np.zeros(SLOTS, np.int64)
+    spread[counted.column("slot").to_numpy()] = counted.column("count").to_numpy()
+    shared = spark.sparkContext.broadcast(spread)  # SLOTS numbers, whatever the data
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def lists(texts: pd.Series) -> pd.Series:
+        own = []
+        for t in texts:
+            bucket = len(t) // BUCKET
+            own.append((rare_bigrams(t, shared.value) if bucket <= LONG_BUCKET else []) + ([""] if bucket >= LONG_BUCKET else []))
+        return pd.Series(own, dtype=object)
+
+    return base.withColumn("prefix", lists("text"))
 
 
 def _candidates(probes: DataFrame, members: DataFrame) -> DataFrame:
@@ -194,13 +239,14 @@ def mark_duplicates(kept: DataFrame) -> DataFrame:
         "_head_hash")
 
 
-def similar_pairs(texts: DataFrame) -> DataFrame:
-    """Similar pairs (p, w) of the earliest text of every list with the later ones: one join, no rounds."""
+def candidate_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (study_id, p, w), p earlier, that share a list and pass the length rule; and the texts with their lists."""
     vertices = checkpointed(with_prefix(texts))
     slim = vertices.drop("text")
-    first = W.partitionBy(*LIST).orderBy("post_seq")
-    leaders = (slim.withColumn("ch", F.explode("prefix")).withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
-               .groupBy(*KEY, "bucket", "len").agg(F.collect_set("ch").alias("chars")))
-    ordered = leaders.join(slim.select(*KEY, "prefix"), KEY).withColumn(
-        "chars", F.array_intersect("prefix", "chars")).drop("prefix")
-    return _verified(_candidates(ordered, slim), vertices).select("study_id", "p", "w")
+    return _candidates(slim.withColumn("chars", F.col("prefix")), slim), vertices
+
+
+def similar_pairs(texts: DataFrame) -> DataFrame:
+    """Every similar pair (p, w) of distinct texts, p earlier."""
+    pairs, vertices = candidate_pairs(texts)
+    return _verified(pairs, vertices).select("study_id", "p", "w")

@@ -73,13 +73,15 @@ def _distinct_texts(t: Tables) -> DataFrame:
 
 @query("jn15_near_duplicate_join")
 def jn15(t: Tables) -> DataFrame:
-    """Similar pairs of each list's earliest text with the later ones."""
+    """Every similar pair of distinct texts."""
     return near_duplicates.similar_pairs(_distinct_texts(t))
 
 
 @query("udf3_pair_similarity")
 def udf3(t: Tables) -> DataFrame:
-    """The pair check on each document and the next one (checked against the plain measure in the tests)."""
-    a = t.text_posts.select("post_seq", F.col("text").alias("head"))
-    b = t.text_posts.select((F.col("post_seq") - 1).alias("post_seq"), F.col("text").alias("later"))
-    return a.join(b, "post_seq").select("post_seq", is_near("later", "head").alias("near"))
+    """The pair check on every candidate pair (checked against the plain measure in the tests)."""
+    pairs, vertices = near_duplicates.candidate_pairs(_distinct_texts(t))
+    texts = vertices.select("study_id", "post_seq", "text")
+    joined = pairs.select("study_id", "p", "w").join(texts.withColumnsRenamed({"post_seq": "p", "text": "head"}), ["study_id", "p"]).join(
+        texts.withColumnsRenamed({"post_seq": "w", "text": "later"}), ["study_id", "w"])
+    return joined.select("p", "w", is_near("later", "head").alias("near"))

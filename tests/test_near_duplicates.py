@@ -3,7 +3,10 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from resona.functions import similarity
@@ -57,6 +60,30 @@ def test_groups_follow_the_rule(spark, seed, alphabet, length, edits):
     assert_heads(texts, got)
 
 
+def test_similar_pairs_are_all_pairs(spark):
+    rng = random.Random(11)
+    texts = variants(rng, 80, "的一是不了人我在有他这中大来上国", (4, 30), 4)
+    long = "".join(rng.choice("abcde ") for _ in range(196))
+    texts += [long[:k] + "x" + long[k:] for k in (5, 60, 150)] + [long, long[:190], long[:188]]  # on both sides of the last bigram bucket
+    df = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "study_id string, post_seq long, text string")
+    got = {(r.p, r.w) for r in near_duplicates.similar_pairs(df).collect()}
+    assert got == {(p, w) for w in range(len(texts)) for p in range(w) if matches(texts[w], texts[p])}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab的", min_size=1, max_size=24), st.data())
+def test_similar_texts_share_a_rare_bigram(text, data):
+    other = list(text)
+    for _ in range(data.draw(st.integers(0, 3))):
+        at = data.draw(st.integers(0, len(other)))
+        other[at:at + data.draw(st.integers(0, 1))] = data.draw(st.sampled_from(["", "a", "的b"]))
+    other = "".join(other)
+    if other and other != text and matches(text, other):
+        spread = np.zeros(near_duplicates.SLOTS, np.int64)
+        spread[[near_duplicates._slot(g) for g in ("ab", "的的")]] = 9
+        assert set(near_duplicates.rare_bigrams(text, spread)) & set(near_duplicates.rare_bigrams(other, spread))
+
+
 def test_studies_do_not_mix_and_copies_share_a_group(spark):
     text = "地图设计真好探索感拉满"
     rows = [("a", 1, text), ("a", 2, "地图设计真不错探索感拉满"), ("a", 3, text), ("b", 4, text)]

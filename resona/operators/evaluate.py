@@ -147,6 +147,19 @@ def run_summary(matched_rows: DataFrame, vocabularies: dict[str, list[str]]) ->
     return out
 
 
+def record(summary: DataFrame, baseline: DataFrame, gold: DataFrame, seconds: DataFrame | None = None) -> DataFrame:
+    """The evaluation record of a study: gold rows, test size, the baseline's and the run's scores, calibration, throughput.
+
+    seconds: study_id, posts, duration_s of the run; without it throughput is null.
+    """
+    counts = gold.groupBy("study_id").agg(F.count(F.lit(1)).alias("n_gold"))
+    out = summary.join(counts, "study_id").join(baseline.withColumnRenamed("test", "n_evaluated"), "study_id", "left")
+    if seconds is None:
+        return out.withColumn("per_minute", F.lit(None).cast("double"))
+    minute = F.greatest(F.col("duration_s"), F.lit(0.001)) / 60
+    return out.join(seconds, "study_id", "left").withColumn("per_minute", F.round(F.col("posts") / minute, 1)).drop("posts", "duration_s")
+
+
 def against_targets(summary: DataFrame, targets: dict[str, float]) -> DataFrame:
     """Long view (study, measure, value, target, met); what was not measured stays null."""
     have = {c[:-3]: c for c in summary.columns if c.endswith("_f1")}

@@ -199,3 +199,17 @@ def fingerprint(tables: dict[str, DataFrame], buckets: int = 256) -> DataFrame:
             F.sha2(F.array_join("l", ";"), 256).alias("digest"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+class ChangedDataset(ValueError):
+    """The tables differ from those that a fingerprint was taken of."""
+
+
+def require_unchanged(tables: dict[str, DataFrame], stored: DataFrame) -> DataFrame:
+    """The fingerprint of the tables; raises ChangedDataset if it is not the stored one (one row per table each)."""
+    now = {r.table: (r.rows, r.digest) for r in fingerprint(tables).collect()}
+    was = {r.table: (r.rows, r.digest) for r in stored.collect()}
+    changed = sorted(t for t in now.keys() | was.keys() if now.get(t) != was.get(t))
+    if changed:
+        raise ChangedDataset(f"changed since the fingerprint was taken: {', '.join(changed)}")
+    return stored

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..operators import evaluate, sampling, topics
+from ..operators import baseline, evaluate, sampling, topics
 from .bindings import Tables
 from .catalog_ingest import GOLD_SQL, gold_rows
 from .catalog_metrics import q6, r6
@@ -167,27 +167,110 @@ def ev6(t: Tables) -> DataFrame:
         "study_id", "n", *r6("replay_agreement", "ece", "stance_f1", "emotion_f1", "irony_f1"))
 
 
+# ---------- vector baseline against gold ----------
+
+def _gold_vectors(t: Tables) -> DataFrame:
+    """Posts with a gold row, their vector, and what gold says."""
+    texts = t.posts.select("study_id", "post_id", "video_id", "text")
+    gold = _gold(t).select("study_id", "post_id", "relevant", F.col("topics").alias("gold_topics"))
+    return texts.join(gold, ["study_id", "post_id"]).withColumn("vector", topics.hash_embedding(F.col("text"))).drop("text")
+
+
+_GRAM_VECTOR = """
+SELECT post_id, dim, c / sqrt(sum(c * c) OVER (PARTITION BY post_id)) AS value FROM (
+  SELECT post_id, h % 256 AS dim, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS BIGINT) AS c FROM (
+    SELECT post_id, ('0x' || substr(md5(g), 1, 8))::BIGINT AS h FROM (
+      SELECT post_id, unnest(CASE WHEN len(c) <= 3 THEN [s] ELSE
+        list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]) END) AS g
+      FROM (SELECT post_id, s, string_split(s, '') AS c FROM {source}))) GROUP BY 1, 2) WHERE c <> 0"""
+_TOPIC_TEXTS = ("SELECT topic AS post_id, regexp_replace(lower(topic || ' ' || d), '\\s+', '', 'g') AS s FROM (VALUES "
+                + ", ".join(f"('{k}', '{v}')" for k, v in vocab.TOPIC_TEXT.items()) + ") x(topic, d)")
+_BASELINE_SQL = {
+    **_EVAL_SQL,
+    "gold_posts": """
+SELECT p.study_id, p.study_id || '|' || p.post_id AS post_id, p.video_id, regexp_replace(lower(p.text), '\\s+', '', 'g') AS s, g.relevant, g.topics
+FROM posts p JOIN gold_final g ON g.study_id = p.study_id AND g.post_id = p.post_id""",
+    "topic_texts": _TOPIC_TEXTS,
+    "gold_vec": _GRAM_VECTOR.format(source="gold_posts"),
+    "topic_vec": _GRAM_VECTOR.format(source="topic_texts"),
+    "gold_hits": "SELECT g.post_id, c.post_id AS topic, sum(g.value * c.value) AS similarity FROM gold_vec g JOIN topic_vec c USING (dim) GROUP BY 1, 2",
+    "gold_split": """
+SELECT study_id, video_id, place <= greatest(CAST(round_even(n * 0.3, 0) AS BIGINT), 1) AS test FROM (
+  SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY md5('42|' || video_id)) AS place, count(*) OVER (PARTITION BY study_id) AS n
+  FROM (SELECT DISTINCT study_id, video_id FROM gold_posts))""",
+    "gold_sims": """
+SELECT p.study_id, p.post_id, p.video_id, p.relevant, p.topics, x.post_id AS topic, round(coalesce(h.similarity, 0), 12) AS similarity, test
+FROM gold_posts p CROSS JOIN topic_texts x JOIN gold_split USING (study_id, video_id)
+LEFT JOIN gold_hits h ON h.post_id = p.post_id AND h.topic = x.post_id""",
+    "gold_best": """
+SELECT study_id, post_id, any_value(video_id) AS video_id, any_value(relevant) AS relevant, any_value(test) AS test, max(similarity) AS best,
+  CASE WHEN len(any_value(topics)) > 0 THEN coalesce(max(similarity) FILTER (list_contains(topics, topic)), 0) END AS gold_best
+FROM gold_sims GROUP BY 1, 2""",
+    "gold_limits": """
+SELECT study_id, coalesce(list(best ORDER BY best) FILTER (relevant)[CAST(floor(count(*) FILTER (relevant) * 0.10) AS BIGINT) + 1], 0.3) AS rel,
+  coalesce(list(gold_best ORDER BY gold_best) FILTER (gold_best IS NOT NULL)[CAST(floor(count(gold_best) * 0.25) AS BIGINT) + 1], 0.3) AS top
+FROM gold_best WHERE NOT test GROUP BY 1""",
+    "rel_pairs": """
+SELECT study_id, CASE WHEN relevant THEN 'r' WHEN NOT relevant THEN 'i' ELSE 'a' END AS y, CASE WHEN best >= rel THEN 'r' ELSE 'i' END AS p
+FROM gold_best JOIN gold_limits USING (study_id) WHERE test""",
+    "rel_f1": """
+SELECT study_id, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END) AS relevance_f1 FROM (
+  SELECT study_id, l, count(*) FILTER (y = l AND p = l) AS tp, count(*) FILTER (y <> l AND p = l) AS fp, count(*) FILTER (y = l AND p <> l) AS fn
+  FROM rel_pairs, (SELECT unnest(['r', 'i']) AS l) GROUP BY 1, 2) GROUP BY 1""",
+    "top_pairs": """
+SELECT study_id, post_id, any_value(topics) AS y,
+  coalesce(list(topic ORDER BY similarity DESC, topic DESC) FILTER (similarity >= top)[1:4], []) AS p
+FROM gold_sims JOIN gold_limits USING (study_id) WHERE test GROUP BY 1, 2""",
+    "top_f1": """
+SELECT study_id, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END) AS topics_f1 FROM (
+  SELECT study_id, l, count(*) FILTER (list_contains(y, l) AND list_contains(p, l)) AS tp,
+    count(*) FILTER (NOT list_contains(y, l) AND list_contains(p, l)) AS fp, count(*) FILTER (list_contains(y, l) AND NOT list_contains(p, l)) AS fn
+  FROM top_pairs, (SELECT unnest(""" + str(vocab.TOPICS) + """) AS l) GROUP BY 1, 2) GROUP BY 1""",
+    "baseline": """
+SELECT study_id, relevance_f1, topics_f1, rel AS relevance_threshold, top AS topics_threshold, train, test, train_videos, test_videos
+FROM gold_limits JOIN rel_f1 USING (study_id) JOIN top_f1 USING (study_id) JOIN (
+  SELECT study_id, count(*) FILTER (NOT test) AS train, count(DISTINCT video_id) FILTER (NOT test) AS train_videos,
+    count(DISTINCT video_id) FILTER (test) AS test_videos, count(*) FILTER (test) AS test FROM gold_best GROUP BY 1) USING (study_id)""",
+}
+_BASELINE_COLUMNS = ("relevance_f1", "topics_f1", "relevance_threshold", "topics_threshold")
+
+
+@query("vec8_baseline_scores", f"SELECT study_id, {q6(*_BASELINE_COLUMNS)}, train, test, train_videos, test_videos FROM baseline", **_BASELINE_SQL)
+def vec8_scores(t: Tables) -> DataFrame:
+    """Relevance and topic scores of the vector baseline on the posts with gold."""
+    return baseline.vector_baseline(_gold_vectors(t), topics.topic_centroids(t.spark)).select(
+        "study_id", *r6(*_BASELINE_COLUMNS), "train", "test", "train_videos", "test_videos")
+
+
+def _summary(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return (evaluate.run_summary(_matched(t), _VOCABULARIES),
+            baseline.vector_baseline(_gold_vectors(t), topics.topic_centroids(t.spark)))
+
+
 _TARGET_SQL = """
 SELECT study_id, measure, round(value, 6) AS value, CAST(target AS DOUBLE) AS target, value >= target AS met FROM (
   SELECT study_id, unnest(['relevance', 'topics', 'stance', 'emotion', 'irony']) AS measure,
-    unnest([NULL, NULL, stance_f1, emotion_f1, irony_f1]) AS value,
-    unnest([0.90, 0.70, 0.75, 0.65, 0.60]) AS target FROM evaluation)"""
+    unnest([relevance_f1, topics_f1, stance_f1, emotion_f1, irony_f1]) AS value,
+    unnest([0.90, 0.70, 0.75, 0.65, 0.60]) AS target FROM evaluation JOIN baseline USING (study_id))"""
 
 
-@query("vw6_evaluation_view", _TARGET_SQL, **_EVAL_SQL)
+@query("vw6_evaluation_view", _TARGET_SQL, **_BASELINE_SQL)
 def vw6(t: Tables) -> DataFrame:
-    summary = evaluate.run_summary(_matched(t), _VOCABULARIES)
-    return evaluate.against_targets(summary, vocab.TARGETS).select(
-        "study_id", "measure", *r6("value"), "target", "met")
+    summary, scores = _summary(t)
+    joined = summary.join(scores.select("study_id", "relevance_f1", "topics_f1"), "study_id")
+    return evaluate.against_targets(joined, vocab.TARGETS).select("study_id", "measure", *r6("value"), "target", "met")
 
 
 @query("ev8_evaluation_record", f"""
-SELECT study_id, n AS n_evaluated, n_gold, {q6('ece', 'stance_f1', 'irony_f1')} FROM evaluation
-JOIN (SELECT study_id, count(*) AS n_gold FROM gold_final GROUP BY 1) USING (study_id)""", **_EVAL_SQL)
+SELECT study_id, test AS n_evaluated, n_gold, {q6('relevance_f1', 'topics_f1', 'ece', 'stance_f1', 'irony_f1')},
+  round(n_posts / (n_posts / 50.0) * 60, 1) AS per_minute FROM evaluation JOIN baseline USING (study_id)
+JOIN (SELECT study_id, count(*) AS n_gold FROM gold_final GROUP BY 1) USING (study_id)
+JOIN (SELECT study_id, count(*) AS n_posts FROM posts GROUP BY 1) USING (study_id)""", **_BASELINE_SQL)
 def ev8(t: Tables) -> DataFrame:
-    counts = _gold(t).groupBy("study_id").agg(F.count(F.lit(1)).alias("n_gold"))
-    return evaluate.run_summary(_matched(t), _VOCABULARIES).join(counts, "study_id").select(
-        "study_id", F.col("n").alias("n_evaluated"), "n_gold", *r6("ece", "stance_f1", "irony_f1"))
+    summary, scores = _summary(t)
+    seconds = t.posts.groupBy("study_id").agg(F.count(F.lit(1)).alias("posts"), (F.count(F.lit(1)) / 50).alias("duration_s"))
+    return evaluate.record(summary, scores, _gold(t), seconds).select(
+        "study_id", "n_evaluated", "n_gold", *r6("relevance_f1", "topics_f1", "ece", "stance_f1", "irony_f1"), "per_minute")
 
 
 @query("jn7_prediction_gold", "SELECT study_id, post_id, stance, g_stance AS gold_stance, correct FROM common", **_EVAL_SQL)

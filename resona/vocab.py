@@ -117,3 +117,5 @@ ISSUE_CLAIM = "在所采样的 B 站讨论中，『%s』为本版本重点运营
 OPPORTUNITY_CLAIM = "在所采样的 B 站讨论中，『%s』为本版本正向机会方向，支持率 %s，视频覆盖 %d 个，样本 %d 条%s"
 SMALL_SAMPLE_MARK = "（小样本）"
 NOT_AVAILABLE = "不可用"
+#: Where a study has no training row to take it from.
+BASELINE_THRESHOLD = 0.30

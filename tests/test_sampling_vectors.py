@@ -54,6 +54,12 @@ def test_fingerprint_ignores_row_order_and_sees_changes(spark):
     assert sampling.fingerprint({"posts": df.orderBy(F.rand(1))}).first().digest == one
     changed = df.withColumn("video_id", F.when(F.col("post_id") == "5", F.lit("x")).otherwise(F.col("video_id")))
     assert sampling.fingerprint({"posts": changed}).first().digest != one
+    stored = sampling.fingerprint({"posts": df})
+    assert sampling.require_unchanged({"posts": df.orderBy(F.rand(2))}, stored) is stored
+    with pytest.raises(sampling.ChangedDataset, match="posts"):
+        sampling.require_unchanged({"posts": changed}, stored)
+    with pytest.raises(sampling.ChangedDataset, match="videos"):
+        sampling.require_unchanged({"posts": df, "videos": df}, stored)
 
 
 def test_join_with_hot_groups_keeps_all_rows(spark):

@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import stage_table
 from .components import components
@@ -20,8 +21,8 @@ from .shingles import overlap, shingle_set
 BROADCAST_IDS = 1_000_000
 #: Members that meet their hub in one task.
 HUB_ROWS = 2_000
-#: Rows of pairs per bucket row up to which the last pairs are compared in one round.
-PAIRS_A_ROW = 8
+#: Items, and shingles of all items, of a block whose pairs with another block are one task; minima by which it leaves out pairs.
+BLOCK_ROWS, BLOCK_SHINGLES, MINIMA = 512, 2_000_000, 128
 #: Estimates this far below the threshold are not checked further: over five standard errors of the sketch.
 MARGIN = 0.17
 
@@ -201,35 +202,90 @@ def _likely(pairs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     return (pairs.join(own, "x").join(other, "hub").where(jaccard("_r1", "_r2", "_n1", "_n2") >= floor).select("x", "hub").distinct())
 
 
-def _with_room(marked: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of marked (key, id, n, comp) that may still link to another component of their bucket, with room.
+def _last_links(marked: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame | None:
+    """Links (a, b) between components that still share a bucket; None where no bucket holds two of them.
 
-    A shingle that no other item of these buckets has is in no intersection. If s of n shingles are left, a link to a set of m needs
-    s >= num / (num + den) * (n + m), that is num * m <= (num + den) * s - num * n = room. An item whose room holds no
-    allowed size m >= num / den * n links to nothing; so edited copies that went too far leave before any pair of them is formed.
+    marked: key, id, n, comp, lead. Items that share such buckets, directly or over others, form a cluster. Its items are dealt
+    to blocks of bounded size, and every pair of blocks is a task of its own that compares the items of different components by 128
+    minima and then by their whole sets. Only links come out, no pairs.
     """
     kind = marked.schema["id"].dataType.simpleString()
-    groups = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    rows = stage_table(marked.join(groups.select("key"), "key", "left_semi"), "link-mixed-rows")
-    ids = rows.select("id").distinct()
+    mixed = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    rows = stage_table(marked.join(mixed.select("key"), "key", "left_semi").groupBy("id", "comp", "lead").agg(F.max("n").alias("n")), "link-mixed")
+    if rows.isEmpty():
+        return None
+    clusters = components(rows, "id", "lead").withColumnRenamed("component", "cluster")
+    members = stage_table(clusters.join(rows.groupBy("id", "comp").agg(F.max("n").alias("n")), "id"), "link-clusters")
+    sizes = members.groupBy("cluster").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "id", F.xxhash64("comp").alias("comp"), "block", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("k"))
+    dealt = texts.join(placed, "id").repartition("cluster", "i", "k").sortWithinPartitions("cluster", "i", "k", "block", "id").select(
+        F.xxhash64("cluster", "i", "k").alias("task"), "block", "id", "comp", "text")
 
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        task = None
         for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                sets = [rule.shingles(t) for t in part.column("text").to_pylist()]
-                at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-                n = np.array([len(x) for x in sets], np.int32)[at]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at)), pa.array(n), pa.array(np.concatenate(sets).view(np.int64))],
-                                                 names=["id", "n", "h"])
-
-    spelled_out = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(spelled, f"id {kind}, n int, h long")
-    alone = spelled_out.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("o")).where("c = 1")
-    alone = alone.groupBy("o.id", "o.n").agg(F.count(F.lit(1)).alias("alone"))
-    left = F.col("n") - F.coalesce("alone", F.lit(0))
-    room = F.lit(rule.num + rule.den) * left - F.lit(rule.num) * F.col("n")
-    return rows.join(alone, ["id", "n"], "left").withColumn("room", room).where(
-        F.lit(rule.den) * F.col("room") >= F.lit(rule.num * rule.num) * F.col("n")).drop("alone")
+            for t, *row in zip(*(b.column(c).to_pylist() for c in ("task", "block", "id", "comp", "text"))):
+                if t != task and held:
+                    yield compared(held)
+                    held = []
+                task = t
+                held.append((*row[:3], rule.shingles(row[3])))
+        if held:
+            yield compared(held)
+
+    def compared(held: list[tuple]) -> pa.RecordBatch:
+        found = block_links([h[0] for h in held], [h[2] for h in held], [h[3] for h in held], rule)
+        ends = [pa.array([held[x[side]][1] for x in found], type_) for side in (0, 1)]
+        return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    type_ = to_arrow_type(marked.schema["id"].dataType)
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def block_links(blocks: list[int], comps: list[int], sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
+    """Links that join different components, between the items of two blocks (or inside one).
+
+    A pair that agrees in too few of 128 minima to reach the threshold, by five standard errors, is not looked at further; likely ones come
+    first, and components that are joined are not compared again.
+    """
+    block, comp = np.array(blocks), np.array(comps)
+    n = np.array([len(x) for x in sets], np.int64)
+    least = np.stack([minima(x, MINIMA) for x in sets])
+    t = rule.num / rule.den
+    floor = MINIMA * (t - 5 * math.sqrt(t * (1 - t) / MINIMA))
+    left = np.flatnonzero(block == block[0])
+    right = np.flatnonzero(block != block[0])
+    right = right if len(right) else left
+    found: list[tuple[int, int, int]] = []
+    for lo in range(0, len(left), 64):
+        a = left[lo:lo + 64]
+        same = np.zeros((len(a), len(right)), np.int16)
+        for m in range(MINIMA):
+            same += least[a, m][:, None] == least[right, m][None]
+        likely = (same >= floor) & (comp[a][:, None] != comp[right][None]) & (a[:, None] != right[None])
+        likely &= rule.den * np.minimum(n[a][:, None], n[right][None]) >= rule.num * np.maximum(n[a][:, None], n[right][None])
+        i, j = np.nonzero(likely)
+        found.extend(zip(same[i, j].tolist(), a[i].tolist(), right[j].tolist()))
+    found.sort(key=lambda x: -x[0])
+    owner: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := owner.get(c, c)) != c:
+            owner[c] = owner.get(up, up)
+            c = up
+        return c
+
+    links = []
+    for _, i, j in found:
+        ri, rj = root(comps[i]), root(comps[j])
+        if ri != rj and rule.linked(sets[i], sets[j]):
+            owner[ri] = rj
+            links.append((i, j))
+    return links
 
 
 def link(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame | None:
@@ -238,9 +294,9 @@ def link(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], rule: Rule) -
     reps (a stored table): id, n, keys, regs, one row per distinct set. texts(ids) gives id, text of some items.
 
     A band that several items share proposes links. First every item is compared with the least item of the bucket it shares
-    most bands with, then with those of its other buckets, unless they are in one component by then. Buckets that still hold several components
-    compare more and more of their items with those of other components, until every such pair that the counts of shared shingles allow is
-    examined. Pairs inside one component are never formed, so a group of near copies costs about one comparison a member.
+    most bands with, then with those of its other buckets, unless they are in one component by then. Buckets that still hold several components are
+    left to _last_links, which examines all their pairs. Pairs inside one component are never looked at, so a group of near copies costs
+    about one comparison a member.
     """
     members = reps.select("id", "n", F.explode("keys").alias("key"))
     leads = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("lead")).where("size > 1")
@@ -254,16 +310,12 @@ def link(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], rule: Rule) -
     def sizes(n1: str, n2: str) -> F.Column:
         return F.lit(rule.den) * F.least(n1, n2) >= F.lit(rule.num) * F.greatest(n1, n2)
 
-    state: dict[str, DataFrame | None] = {"edges": None, "tested": None, "comps": None}
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b"))
+    state: dict[str, DataFrame | None] = {"edges": None, "comps": None}
 
     def examine(pairs: DataFrame, name: str) -> None:
-        pairs = stage_table(_likely(pairs, known, rule), f"link-pairs-{name}")
-        tested = ordered(pairs)
-        state["tested"] = tested if state["tested"] is None else state["tested"].unionAll(tested)
-        found = stage_table(_verified(pairs, picked, rule), f"link-edges-{name}")
+        add(stage_table(_verified(stage_table(_likely(pairs, known, rule), f"link-pairs-{name}"), picked, rule), f"link-edges-{name}"), name)
+
+    def add(found: DataFrame, name: str) -> None:
         if not found.isEmpty():
             state["edges"] = found if state["edges"] is None else state["edges"].unionAll(found)
             state["comps"] = stage_table(components(state["edges"]), f"link-components-{name}")
@@ -274,43 +326,17 @@ def link(reps: DataFrame, texts: Callable[[DataFrame], DataFrame], rule: Rule) -
         comps = state["comps"].select(F.col("id").alias(col), F.col("component").alias("_c"))
         return rows.join(comps, col, "left").withColumn(out, F.coalesce("_c", col)).drop("_c")
 
-    def untested(pairs: DataFrame) -> DataFrame:
-        if state["tested"] is None:
-            return pairs
-        return pairs.withColumns({"a": F.least("x", "hub"), "b": F.greatest("x", "hub")}).join(
-            state["tested"], ["a", "b"], "left_anti").drop("a", "b")
-
     stars = crowd.where((F.col("id") != F.col("lead.id")) & sizes("n", "lead.n")).groupBy("id", F.col("lead.id").alias("hub")).agg(
         F.count(F.lit(1)).alias("shared"))
     stars = stage_table(stars.withColumnRenamed("id", "x"), "link-stars")
     # Of hubs that share equally many bands the smallest is taken.
     most = stars.groupBy("x").agg(F.max("shared").alias("shared"))
-    examine(stars.join(most, ["x", "shared"]).groupBy("x").agg(F.min("hub").alias("hub")), "0")
-    others = label(label(stars.select("x", "hub"), "x", "cx"), "hub", "ch").where("cx <> ch").select("x", "hub")
-    examine(untested(others), "1")
-
-    leaders, turn = 8, 2
-    marked = label(crowd.select("key", "id", "n"), "id", "comp")
-    rows = stage_table(_with_room(marked, picked, rule), "link-room")
-    while True:
-        groups = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
-            F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("inner"))
-        mixed = stage_table(groups.where("size * size > inner"), f"link-mixed-{turn}")
-        load = mixed.agg(F.sum((F.col("size") * F.col("size") - F.col("inner")) / 2).alias("pairs"), F.sum("size").alias("rows"),
-                         F.max("size").alias("most")).first()
-        if not load.rows:
-            break
-        last = load.pairs <= PAIRS_A_ROW * load.rows or leaders >= load.most
-        open_ = rows.join(mixed.select("key", "size"), "key")
-        heads = open_ if last else open_.where(F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.col("size")) < leaders)
-        heads = heads.select("key", *[F.col(c).alias(f"hub_{c}") for c in ("id", "n", "comp", "room")])
-        fits = (F.lit(rule.num) * F.col("hub_n") <= F.col("room")) & (F.lit(rule.num) * F.col("n") <= F.col("hub_room"))
-        # One component may hold nearly all of a bucket; only its pairs with others are formed.
-        pairs = open_.join(heads, "key").where((F.col("comp") != F.col("hub_comp")) & sizes("n", "hub_n") & fits)
-        pairs = pairs.where(F.col("id") < F.col("hub_id")) if last else pairs
-        examine(untested(pairs.select(F.col("id").alias("x"), F.col("hub_id").alias("hub")).distinct()), str(turn))
-        if last:
-            break
-        leaders, turn = leaders * 8, turn + 1
-        rows = stage_table(label(rows.drop("comp"), "id", "comp"), f"link-room-{turn}")
+    first = stage_table(stars.join(most, ["x", "shared"]).groupBy("x").agg(F.min("hub").alias("hub")), "link-first")
+    examine(first, "0")
+    others = label(label(stars.join(first, ["x", "hub"], "left_anti").select("x", "hub"), "x", "cx"), "hub", "ch").where("cx <> ch")
+    examine(others.select("x", "hub"), "1")
+    marked = label(crowd.select("key", "id", "n", F.col("lead.id").alias("lead")), "id", "comp")
+    more = _last_links(marked, picked, rule)
+    if more is not None:
+        add(stage_table(more, "link-edges-2"), "2")
     return state["comps"]

@@ -46,8 +46,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders that this session has made for stage tables, in order.
+_STAGES: list[str] = []
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    _STAGES.append(path)
+    return path
+
+
+def stage_mark() -> int:
+    """A point in time for drop_stages."""
+    return len(_STAGES)
+
+
+def drop_stages(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the stage folders made after a mark, but for the last `keep`; returns how many.
+
+    For the end of a run or of one of its steps, when everything that reads those tables has been written.
+    """
+    end = len(_STAGES) - keep
+    gone, _STAGES[since:end] = _STAGES[since:end], []
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(gone)
 
 
 def stage_table(df: DataFrame, name: str, *partition_cols: str) -> DataFrame:

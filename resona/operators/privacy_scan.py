@@ -121,6 +121,16 @@ def public_videos(videos: DataFrame) -> DataFrame:
                          F.struct(*stats).alias("stats_snapshot"))
 
 
+def public_evidence(evidence: DataFrame) -> DataFrame:
+    """Evidence rows with the excerpt masked once more."""
+    return evidence.withColumn("text_excerpt", P.mask(F.col("text_excerpt")))
+
+
+def public_tables(posts: DataFrame, videos: DataFrame, evidence: DataFrame, topics: DataFrame) -> dict[str, DataFrame]:
+    """Everything that leaves the house, for export: whitelisted posts and videos, masked evidence, topic metrics."""
+    return {"posts": public_posts(posts), "videos": public_videos(videos), "evidence": public_evidence(evidence), "metrics": topics}
+
+
 def export(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
     """Scan every table, and only when all are clean write each one below path."""
     for name, df in tables.items():

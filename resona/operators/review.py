@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -11,6 +12,7 @@ from .effective import last_annotation
 from .order_stats import at_fraction, order_statistics
 
 VALUE_FIELDS = vocab.REVIEW_FIELDS
+REFUSALS = ("unknown_post", "bad_field", "reason_missing")
 
 
 def audit_draw(post_id: Column, ratio: float = vocab.AUDIT_RATIO, seed: str = "7") -> Column:
@@ -71,7 +73,8 @@ def queue_rows(queue: DataFrame, annotations: DataFrame, posts: DataFrame, video
 def as_text(name: str, value: Column) -> Column:
     """A label value as stored in the log: text as it is, anything else as JSON."""
     if name == "topics":
-        quoted = F.transform(value, lambda t: F.concat(F.lit('"'), t, F.lit('"')))
+        # One JSON text per element, so quotes and backslashes inside are escaped.
+        quoted = F.transform(value, lambda t: F.regexp_replace(F.to_json(F.array(t)), r"^\[|\]$", ""))
         out = F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
     else:
         out = value.cast("string")
@@ -81,7 +84,8 @@ def as_text(name: str, value: Column) -> Column:
 def check_proposals(proposals: DataFrame, annotations: DataFrame) -> DataFrame:
     """Each proposed change with its value before and a status.
 
-    Statuses: accepted, unchanged, or the refusals unknown_post, bad_field, reason_missing.
+    Statuses: accepted, unchanged, the refusals unknown_post, bad_field, reason_missing, and stopped: a submission is read in order of
+    review_seq and ends at its first refusal; what it had accepted before stays.
     """
     before = F.create_map(*[x for f in VALUE_FIELDS for x in (F.lit(f), as_text(f, F.col(f)))])
     labels = last_annotation(annotations).select("study_id", "post_id", before.alias("_before"))
@@ -92,7 +96,12 @@ def check_proposals(proposals: DataFrame, annotations: DataFrame) -> DataFrame:
               .when(F.col("before") == F.col("after"), F.lit("unchanged"))
               .when(F.coalesce("reason", F.lit("")) == "", F.lit("reason_missing"))
               .otherwise(F.lit("accepted")))
-    return rows.withColumn("status", status).drop("_before")
+    checked = rows.withColumn("status", status).drop("_before")
+    # A submission is what one person sends for one post: a handful of rows.
+    own = W.partitionBy("study_id", "post_id", "submission_id")
+    refused = F.min(F.when(F.col("status").isin(*REFUSALS), F.col("review_seq"))).over(own)
+    return checked.withColumn("_end", refused).withColumn(
+        "status", F.when(F.col("review_seq") > F.col("_end"), F.lit("stopped")).otherwise(F.col("status"))).drop("_end")
 
 
 def log_rows(checked: DataFrame) -> DataFrame:
@@ -124,8 +133,26 @@ def _typed(name: str, after: Column, dtype: str) -> Column:
     return F.when(after != "null", unquoted)
 
 
+def _readable(name: str, after: Column, typed: Column) -> Column:
+    """Whether a logged value fits its field; null does for all fields but topics, intensity and irony."""
+    if name in ("topics", "intensity", "irony"):
+        return typed.isNotNull()
+    return typed.isNotNull() | (after == "null")
+
+
+def unreadable_values(annotations: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The latest human values (study_id, post_id, field, after) that don't fit their field; merge leaves those fields as they are."""
+    kinds = {f: annotations.schema[f].dataType.simpleString() for f in VALUE_FIELDS}
+    after = F.col("after")
+    bad = F.coalesce(*[F.when(F.col("field") == f, ~_readable(f, after, _typed(f, after, k))) for f, k in kinds.items()])
+    return latest_values(reviews).where(bad)
+
+
 def merge(annotations: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Annotations with the latest human values; a changed row has stage human."""
+    """Annotations with the latest human values; a changed row has stage human and needs no review (where there is such a column).
+
+    A value that doesn't fit its field is left out (see unreadable_values).
+    """
     values = latest_values(reviews).groupBy("study_id", "post_id").agg(*[
         F.max(F.when(F.col("field") == f, F.struct("after"))).alias(f"_{f}") for f in VALUE_FIELDS],
         F.lit(True).alias("_touched"))
@@ -133,8 +160,11 @@ def merge(annotations: DataFrame, reviews: DataFrame) -> DataFrame:
     out = base.join(values, ["study_id", "post_id"], "left")
     for f in VALUE_FIELDS:
         dtype = base.schema[f].dataType.simpleString()
-        out = out.withColumn(f, F.when(
-            F.col(f"_{f}").isNotNull(), _typed(f, F.col(f"_{f}.after"), dtype)).otherwise(F.col(f)))
+        after = F.col(f"_{f}.after")
+        typed = _typed(f, after, dtype)
+        out = out.withColumn(f, F.when(F.col(f"_{f}").isNotNull() & _readable(f, after, typed), typed).otherwise(F.col(f)))
+    if "needs_review" in base.columns:
+        out = out.withColumn("needs_review", F.when(F.col("_touched"), F.lit(False)).otherwise(F.col("needs_review")))
     return (out.withColumn("human_modified", F.col("_touched").isNotNull())
             .withColumn("stage", F.when(F.col("_touched"), F.lit("human")).otherwise(F.col("stage")))
             .drop("_touched", *[f"_{f}" for f in VALUE_FIELDS]))

@@ -290,7 +290,7 @@ _AFTER = _after({
     "relevant": "CASE WHEN e % 8 = 0 THEN 'true' WHEN e % 8 = 4 THEN 'null' ELSE 'false' END",
     "topics": "CASE WHEN e % 4 = 0 THEN '[\"活动设计\", \"地图与探索\"]' ELSE '[\"new:c1\"]' END",
     "stance": _pick_sql(vocab.STANCES, "e % 5"), "emotion": _pick_sql(vocab.EMOTIONS, "e % 8"),
-    "intensity": "CAST(e % 4 AS STRING)", "irony": _pick_sql(vocab.IRONY, "e % 4"),
+    "intensity": "CASE WHEN e % 11 = 3 THEN 'strong' ELSE CAST(e % 4 AS STRING) END", "irony": _pick_sql(vocab.IRONY, "e % 4"),
     "intent": _pick_sql(vocab.INTENTS, "e % 8"), "issue_type": "CASE WHEN e % 3 = 0 THEN 'null' ELSE '其他' END",
     "confidence": "'1'",
 })
@@ -323,7 +323,7 @@ SELECT l.* REPLACE (
   CASE WHEN r.after IS NULL THEN l.relevant ELSE TRY_CAST(r.after AS BOOLEAN) END AS relevant,
   CASE WHEN tp.after IS NULL THEN l.topics ELSE CAST(from_json(tp.after, '["VARCHAR"]') AS VARCHAR[]) END AS topics,
   coalesce(st.after, l.stance) AS stance, coalesce(em.after, l.emotion) AS emotion,
-  coalesce(CAST(i.after AS BIGINT), l.intensity) AS intensity, coalesce(ir.after, l.irony) AS irony,
+  coalesce(TRY_CAST(i.after AS BIGINT), l.intensity) AS intensity, coalesce(ir.after, l.irony) AS irony,
   coalesce(n.after, l.intent) AS intent,
   CASE WHEN q.after = 'null' THEN NULL ELSE coalesce(q.after, l.issue_type) END AS issue_type,
   CASE WHEN any_field.post_id IS NULL THEN l.stage ELSE 'human' END AS stage),
@@ -341,9 +341,11 @@ LEFT JOIN (SELECT DISTINCT study_id, post_id FROM latest) any_field USING (study
             ("stance", "stance"), ("emotion", "emotion"), ("intensity", "CAST(intensity AS VARCHAR)"),
             ("irony", "irony"), ("intent", "intent"), ("issue_type", "issue_type"))) + ")",
     "proposals": """
-SELECT r.*, b.before, CASE WHEN r.field = 'confidence' THEN 'bad_field' WHEN b.before = r.after THEN 'unchanged'
+SELECT * REPLACE (CASE WHEN review_seq > min(review_seq) FILTER (status IN ('bad_field', 'reason_missing'))
+  OVER (PARTITION BY study_id, post_id, submission_id) THEN 'stopped' ELSE status END AS status)
+FROM (SELECT r.*, b.before, CASE WHEN r.field = 'confidence' THEN 'bad_field' WHEN b.before = r.after THEN 'unchanged'
   WHEN reason IS NULL THEN 'reason_missing' ELSE 'accepted' END AS status
-FROM reviews r LEFT JOIN before_values b USING (study_id, post_id, field)""",
+FROM reviews r LEFT JOIN before_values b USING (study_id, post_id, field))""",
 }
 
 
@@ -389,13 +391,21 @@ def w11(t: Tables) -> DataFrame:
     return review.latest_values(reviews(t))
 
 
+@query("rv4_unreadable_values", """
+SELECT study_id, post_id, field, after FROM latest WHERE field = 'intensity' AND TRY_CAST(after AS BIGINT) IS NULL""", **_REVIEW_SQL)
+def rv4_unreadable(t: Tables) -> DataFrame:
+    return review.unreadable_values(t.annotations, reviews(t))
+
+
 _MERGED_COLUMNS = "study_id, post_id, relevant, stance, emotion, intensity, irony, intent, issue_type, stage, human_modified"
 
 
-@query("rv4_merge_overrides", f"SELECT {_MERGED_COLUMNS}, array_to_string(topics, ',') AS topics FROM merged", **_REVIEW_SQL)
+@query("rv4_merge_overrides", f"""SELECT {_MERGED_COLUMNS}, array_to_string(topics, ',') AS topics,
+  NOT human_modified AND confidence < 0.5 AS needs_review FROM merged""", **_REVIEW_SQL)
 def rv4(t: Tables) -> DataFrame:
-    return review.merge(t.annotations, reviews(t)).select(
-        *_MERGED_COLUMNS.split(", "), F.array_join("topics", ",").alias("topics"))
+    annotations = t.annotations.withColumn("needs_review", F.col("confidence") < 0.5)
+    return review.merge(annotations, reviews(t)).select(
+        *_MERGED_COLUMNS.split(", "), F.array_join("topics", ",").alias("topics"), "needs_review")
 
 
 @query("sc13_json_values", f"""

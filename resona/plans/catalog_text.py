@@ -374,3 +374,27 @@ def pii4(t: Tables) -> DataFrame:
     back = t.spark.read.parquet(paths["posts"])
     return back.select("study_id", "post_id", "video_id", F.md5("text").alias("text_digest"), "likes",
                        "anon_user_id", "source_url", "synthetic")
+
+
+@query("pii4_public_tables", f"""
+SELECT 'posts' AS table_name, study_id, post_id AS id, md5({q_mask('text')}) AS digest FROM text_posts
+UNION ALL SELECT 'videos', study_id, video_id, md5(title || plays) FROM vids
+UNION ALL SELECT 'evidence', study_id, post_id, md5(coalesce(stance, '') || likes) FROM relevant
+UNION ALL SELECT 'metrics', study_id, topic, md5(CAST(count AS VARCHAR)) FROM topics""")
+def pii4_tables(t: Tables) -> DataFrame:
+    """All four tables through the gate, written and read back."""
+    from ..operators import evidence
+    from ..session import stage_path
+
+    stats = F.struct(F.col("plays").alias("view"), *[F.lit(None).cast("long").alias(c) for c in ("like", "coin", "favorite", "share", "comment")])
+    videos = t.videos.withColumn("published_at", F.col("published_date").cast("string")).withColumn("stats_snapshot", stats)
+    posts = t.text_posts.withColumn("published_at", F.col("published_date").cast("string"))
+    items = evidence.evidence_items(t.relevant, t.videos)
+    metrics = t.stored["topics"].drop("topic_seq")
+    paths = privacy_scan.export(privacy_scan.public_tables(posts, videos, items, metrics), stage_path(t.spark, "public"))
+    back = {n: t.spark.read.parquet(p) for n, p in paths.items()}
+    digest = {"posts": F.md5("text"), "videos": F.md5(F.concat("title", F.col("stats_snapshot.view").cast("string"))),
+              "evidence": F.md5(F.concat(F.coalesce("stance", F.lit("")), F.col("likes").cast("string"))), "metrics": F.md5(F.col("count").cast("string"))}
+    ids = {"posts": "post_id", "videos": "video_id", "evidence": "evidence_id", "metrics": "topic"}
+    parts = [back[n].select(F.lit(n).alias("table_name"), "study_id", F.col(ids[n]).alias("id"), digest[n].alias("digest")) for n in back]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -59,7 +59,12 @@ def mark_exact_duplicates(kept: DataFrame) -> DataFrame:
 
 def normalise(posts: DataFrame, studies: DataFrame, near: bool = True, drop_spam: bool = True) -> DataFrame:
     """The normalised posts: in window, cleaned, flagged, spam removed, duplicates marked."""
-    kept = staged(posts, studies, drop_spam, only_window=True).where("kept").drop("kept", "stage")
+    return deduplicated(staged(posts, studies, drop_spam, only_window=True).where("kept"), near)
+
+
+def deduplicated(kept: DataFrame, near: bool = True) -> DataFrame:
+    """Duplicates marked among rows of staged that stay."""
+    kept = kept.drop("kept", "stage")
     if near:
         from .near_duplicates import mark_duplicates
 

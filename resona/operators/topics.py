@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from .. import vocab
 from ..functions import text as X
 from ..functions import vectors as V
+from ..session import stage_table
 from .order_stats import order_statistics
 
 
@@ -107,7 +108,8 @@ def _labels(matrix: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(centroids, axis=1)
     own = np.linalg.norm(matrix, axis=1)
     scale = np.outer(np.where(own == 0, 1.0, own), np.where(size == 0, 1.0, size))
-    return (matrix @ centroids.T / scale).argmax(axis=1)
+    # By 12 digits: sums of products differ in the last bits with the order of addition.
+    return np.round(matrix @ centroids.T / scale, 12).argmax(axis=1)
 
 
 def _round(centroids: np.ndarray, before: np.ndarray | None):
@@ -160,6 +162,8 @@ def kmeans(vectors: DataFrame, seq: str, k: int, iters: int = 25) -> tuple[DataF
             for r in sums:
                 after[r.cluster, r.pos] = r.x
             for c in {r.cluster for r in sums}:
+                # Sums over tasks depend on their order in the last bits; labels must not.
+                after[c] = np.round(after[c], 9)
                 after[c] /= np.linalg.norm(after[c]) or 1.0
             before, current = current, after
         return vectors.withColumn("cluster", _cluster_of(used)), current.tolist()
@@ -173,6 +177,10 @@ def _fixed_place(p: int):
 
 def emerging(labelled: DataFrame, seq: str, text: str, min_size: int = vocab.MIN_CLUSTER_SIZE) -> DataFrame:
     """Clusters with at least min_size members, numbered in label order, with five sample texts."""
+    return _emerging(labelled, seq, text, min_size).drop("cluster")
+
+
+def _emerging(labelled: DataFrame, seq: str, text: str, min_size: int) -> DataFrame:
     sizes = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
     # At most 8 clusters, so this window is over 8 rows.
     named = sizes.withColumn("new_topic_id", F.concat(
@@ -180,7 +188,30 @@ def emerging(labelled: DataFrame, seq: str, text: str, min_size: int = vocab.MIN
     w = W.partitionBy("cluster").orderBy(seq)
     samples = (labelled.withColumn("_rn", F.row_number().over(w)).where("_rn <= 5").groupBy("cluster")
                .agg(F.array_sort(F.collect_list(F.struct(F.col("_rn"), F.substring(text, 1, 50).alias("s")))).alias("p")))
-    return named.join(samples, "cluster").select("new_topic_id", "size", F.col("p.s").alias("sample_texts"))
+    return named.join(samples, "cluster").select("cluster", "new_topic_id", "size", F.col("p.s").alias("sample_texts"))
+
+
+def priors(texts: DataFrame, seq: str, centroids: DataFrame | None = None, threshold: float = vocab.ASSIGN_THRESHOLD,
+           min_size: int = vocab.MIN_CLUSTER_SIZE, embed=hash_embedding) -> tuple[DataFrame, DataFrame]:
+    """The priors stage for the texts (seq, text) of one study: embed, assign, cluster what no topic fits.
+
+    Returns (seq, topics, new_topic), one row for every text, and the candidates for new topics (new_topic_id, size, sample_texts). A text has
+    topics, or the new topic of its cluster if that has min_size members, or neither. embed: text column -> vector column.
+    """
+    spark = texts.sparkSession
+    vectors = stage_table(texts.select(seq, "text", embed(F.col("text")).alias("vector")), "embedded")
+    centroids = topic_centroids(spark) if centroids is None else centroids
+    assigned = stage_table(assign(dense_similarity(vectors, centroids, [seq]), [seq], threshold), "assigned")
+    rest = stage_table(vectors.join(assigned.where(F.size("topics") == 0).select(seq), seq, "left_semi"), "unassigned")
+    n = rest.count()
+    if n == 0:
+        return assigned.withColumn("new_topic", F.lit(None).cast("string")), spark.createDataFrame(
+            [], "new_topic_id string, size long, sample_texts array<string>")
+    labelled = stage_table(kmeans(rest, seq, cluster_count(n, min_size))[0].drop("vector"), "clustered")
+    named = stage_table(_emerging(labelled, seq, "text", min_size), "new-topics")
+    # At most 8 clusters.
+    own = labelled.join(F.broadcast(named.select("cluster", F.col("new_topic_id").alias("new_topic"))), "cluster").select(seq, "new_topic")
+    return assigned.join(own, seq, "left"), named.drop("cluster")
 
 
 def baseline_thresholds(train: DataFrame) -> DataFrame:

@@ -584,6 +584,13 @@ def vec7(t: Tables) -> DataFrame:
         "new_topic_id", "size", F.array_join("sample_texts", "|").alias("sample_texts"))
 
 
+@query("vec7_priors")
+def vec7_priors(t: Tables) -> DataFrame:
+    """The priors stage over whole texts: topics or the new topic of every post (properties are checked in the tests)."""
+    rows, _ = topics.priors(t.text_posts.select("post_seq", "text"), "post_seq", threshold=0.3)
+    return rows.select("post_seq", F.array_join("topics", ",").alias("topics"), "new_topic")
+
+
 def _baseline(t: Tables) -> tuple[DataFrame, DataFrame]:
     key = ["study_id", "vec_id", "relevant", "gold_topics", "video_id"]
     sims = _emb_sims(t, key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import composite, effective, evidence, metrics, normalize
+from ..operators import composite, effective, evidence, metrics, normalize, topics
 from ..session import checkpointed, stage_table
 
 RELEVANT_COLUMNS = [
@@ -29,20 +29,32 @@ def metric_tables(posts: DataFrame, annotations: DataFrame, videos: DataFrame, s
     return {"relevant": relevant, "rollup": rollup, "topics": topics}
 
 
+def priors(posts: DataFrame, studies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Topic priors of every post and candidates for new topics, study by study (clusters never cross studies)."""
+    rows, candidates = None, None
+    for study in [r.study_id for r in studies.select("study_id").distinct().orderBy("study_id").collect()]:
+        own = posts.where(F.col("study_id") == study).select("post_seq", "text")
+        one, new = (d.withColumn("study_id", F.lit(study)) for d in topics.priors(own, "post_seq"))
+        rows, candidates = (one, new) if rows is None else (rows.unionByName(one), candidates.unionByName(new))
+    return rows, candidates
+
+
 def run(posts: DataFrame, annotations: DataFrame, videos: DataFrame, studies: DataFrame, near: bool = True,
         weights: dict[str, dict[str, float]] | None = None) -> dict[str, DataFrame]:
     """All result tables of a run: normalised posts, metrics, rankings, evidence, claims, violations, report."""
-    stages = normalize.staged(posts, studies)
-    kept = stage_table(normalize.normalise(posts, studies, near=near).select(*posts.columns, "dedup_group"), "kept")
+    # Cleaned once: the report counts all stages, the rest goes on from the rows that stay.
+    stages = stage_table(normalize.staged(posts, studies), "staged")
+    kept = stage_table(normalize.deduplicated(stages.where("kept"), near).select(*posts.columns, "dedup_group"), "kept")
     out = metric_tables(kept, annotations, videos, studies)
     spark = posts.sparkSession
     norm = composite.normalised(composite.components(out["topics"]))
     ranking = composite.ranked(composite.scores(norm, composite.weight_table(spark, weights)))
+    prior_rows, candidates = priors(kept, studies)
     labelled = effective.relevant_posts(effective.with_offsets(kept, studies), annotations)
     claims = checkpointed(evidence.claims(out["topics"], ranking, out["relevant"]))
     violations = evidence.verify_claims(claims)
     return {
-        **out, "posts": kept, "normalise_report": normalize.report(stages, kept), "components": norm, "ranking": ranking,
+        **out, "posts": kept, "priors": prior_rows, "new_topics": candidates, "normalise_report": normalize.report(stages, kept), "components": norm, "ranking": ranking,
         "sensitivity": composite.sensitivity(norm, weights), "evidence": evidence.evidence_items(labelled, videos),
         "evidence_index": evidence.representative(out["relevant"]), "claims": claims, "violations": violations,
         "report": evidence.passing_report(claims, violations),

@@ -30,4 +30,4 @@ def test_every_sql_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
     assert catalog.QUERIES.keys() - catalog.ORACLES.keys() == {
         "dd3_near_duplicates", "jn15_near_duplicate_join", "udf3_pair_similarity", "w8_stratified_sample", "vec6_kmeans",
-        "vec7_emerging_topics", "ag23_fingerprint"}
+        "vec7_emerging_topics", "vec7_priors", "ag23_fingerprint"}

@@ -133,6 +133,26 @@ def test_every_text_gets_a_score_for_every_topic(spark):
     assert topics.assign(sims, ["id"]).count() == 5
 
 
+def test_priors_name_every_text(spark):
+    known = ["地图与探索 " + w for w in ("真好", "不错")]
+    apple = [f"apple pie number {i}" for i in range(7)]
+    stone = [f"zzz qqq xxx {i}" for i in range(6)]
+    texts = [*known, *apple, *stone]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq long, text string")
+    centroids = spark.createDataFrame([("地图与探索", "地图与探索")], "topic string, text string").select(
+        "topic", topics.hash_embedding(F.col("text")).alias("centroid"))
+    rows, new = topics.priors(df, "seq", centroids, threshold=0.5, min_size=5)
+    got = {r.seq: (r.topics, r.new_topic) for r in rows.collect()}
+    assert len(got) == len(texts) and got[0] == got[1] == (["地图与探索"], None)
+    clusters = {got[i][1] for i in range(2, len(texts))}
+    sizes = {r.new_topic_id: (r.size, r.sample_texts) for r in new.collect()}
+    assert clusters == set(sizes) == {"new:c0", "new:c1"} and {s for s, _ in sizes.values()} == {7, 6}
+    for name, (size, samples) in sizes.items():
+        members = [texts[i] for i in sorted(got) if got[i][1] == name]
+        assert len(members) == size and samples == members[:5]
+    assert topics.priors(df.limit(0), "seq", centroids)[0].count() == 0
+
+
 def test_agreement_scores(spark):
     def frame(a, b):
         return spark.createDataFrame([("s", x, y) for x, y in zip(a, b)], "study_id string, y_true string, y_pred string")

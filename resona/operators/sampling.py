@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as X
-from ..session import checkpointed
+from ..session import checkpointed, stage_table
 from .effective import effective_posts, is_effective
 from .order_stats import order_statistics
 
@@ -123,31 +123,45 @@ def merge_selection(old: DataFrame, new: DataFrame, done: DataFrame) -> DataFram
         "_new", "added")
 
 
+#: Posts of a study that are looked at first, as a multiple of the sample.
+FRONT = 16
+
+
 def stratified_sample(posts: DataFrame, n: int = 400, per_video: int = 10, relaxed_per_video: int = 12,
                       per_author: int = 3, seed: str = "42") -> DataFrame:
     """n posts per study in draw order under caps per video and author, then with the relaxed video cap.
 
     Equals one sequential pass over all posts in draw order, without making one: each round
     looks at the next few posts per study whose video and author still have room, so every round
-    with a candidate adds a post and at most n rounds run (two or three in practice).
+    with a candidate adds a post and at most n rounds run (two or three in practice). The rounds run on the first
+    FRONT * n posts of each study, stored once; all posts are looked at only for a study that those did not fill.
     """
     draw = F.md5(F.concat_ws("|", F.lit(seed), "study_id", "post_id"))
     pool = posts.select("study_id", "post_id", "video_id", "anon_user_id").withColumn("draw", draw)
     schema = "study_id string, post_id string, video_id string, anon_user_id string, draw string"
     spark = posts.sparkSession
+    w = W.partitionBy("study_id").orderBy("draw")
+    front = stage_table(pool.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= FRONT * n).drop("_rn"), "sample-front")
+    sizes = checkpointed(pool.groupBy("study_id").agg(F.count(F.lit(1)).alias("all")))
     picked = spark.createDataFrame([], schema)
-    look = 4 * n
     for cap in (per_video, relaxed_per_video):
-        while True:
-            rest = _with_room(pool, picked, n, cap, per_author)
-            w = W.partitionBy("study_id").orderBy("draw")
-            chunk = rest.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= look).drop("_rn")
-            before = picked.count()
-            grown = (chunk.groupBy("study_id").cogroup(picked.groupBy("study_id"))
-                     .applyInPandas(_taker(n, cap, per_author), schema))
-            picked = checkpointed(grown)
-            if picked.count() == before:
-                break
+        for source in (front, pool):
+            if source is pool:
+                have = picked.groupBy("study_id").agg(F.count(F.lit(1)).alias("have"))
+                short = sizes.join(have, "study_id", "left").where(
+                    (F.col("all") > FRONT * n) & (F.coalesce("have", F.lit(0)) < n)).select("study_id")
+                if short.isEmpty():
+                    continue
+                source = pool.join(short, "study_id", "left_semi")
+            while True:
+                rest = _with_room(source, picked, n, cap, per_author)
+                chunk = rest.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 4 * n).drop("_rn")
+                before = picked.count()
+                grown = (chunk.groupBy("study_id").cogroup(picked.groupBy("study_id"))
+                         .applyInPandas(_taker(n, cap, per_author), schema))
+                picked = checkpointed(grown)
+                if picked.count() in (before, 0):
+                    break
     return picked
 
 

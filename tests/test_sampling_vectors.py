@@ -17,8 +17,9 @@ def posts(spark, n=600, seed=3):
     return rows, spark.createDataFrame(rows, "study_id string, post_id string, video_id string, anon_user_id string")
 
 
-@pytest.mark.parametrize("n", [40, 150, 400])
-def test_capped_sample_equals_one_sequential_pass(spark, n):
+@pytest.mark.parametrize("n,front", [(40, 16), (150, 16), (400, 16), (150, 1)])
+def test_capped_sample_equals_one_sequential_pass(spark, n, front, monkeypatch):
+    monkeypatch.setattr(sampling, "FRONT", front)
     rows, df = posts(spark)
     order = sorted(rows, key=lambda r: hashlib.md5(f"42|{r[0]}|{r[1]}".encode()).hexdigest())
     picked, videos, authors = [], {}, {}

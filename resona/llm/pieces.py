@@ -7,6 +7,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ LITERAL = "\ud800"
 #: Fixed value: how far an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 #: Words kept between batches of a task, and characters encoded at once.
-CACHE_WORDS, CACHE_PAIRS, CHUNK_CHARS = 1_000_000, 1_000_000, 8_000_000
+CACHE_WORDS, CACHE_PAIRS, CHUNK_CHARS = 800_000, 1_000_000, 8_000_000
 #: Longer words of a merging vocabulary are merged one by one.
 LONG_WORD = 2_000
 
@@ -204,6 +205,12 @@ class Model:
         return (raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def _worker(proto: bytes) -> tuple[Model, dict[str, bytes]]:
+    """The model and the encoded words that a Python worker keeps from task to task."""
+    return Model(proto), {}
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded_sha256") -> DataFrame:
     """docs with the piece ids of whole texts, and the SHA-256 of what they decode to, as further columns (in place of such that have their names).
 
@@ -212,13 +219,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     """
     spark = docs.sparkSession
     proto = spark.sparkContext.broadcast(read_bytes(spark, path))  # a vocabulary, at most files.MAX_BYTES
-    kept: dict = {}
     docs = docs.drop(ids, decoded)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = kept.get("model") or kept.setdefault("model", Model(proto.value))
-        cache: dict[str, bytes] = kept.setdefault("words", {})
+        model, cache = _worker(proto.value)
         for batch in batches:
             texts = batch.column(names.index(text)).to_pylist()
             done, digests, size = [], [], 0

@@ -15,10 +15,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import stage_table
 from .components import components
-from .shingles import overlap, shingle_set
+from .shingles import overlap, shingle_hashes, shingle_set
 
-#: Up to so many ids (16 MB) a semi or anti join sends them to all tasks; beyond it both sides are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Up to so many ids (some 50 MB as rows) a semi or anti join sends them to all tasks; beyond it both sides are shuffled.
+BROADCAST_IDS = 500_000
 #: Members that meet their hub in one task.
 HUB_ROWS = 2_000
 #: Items, and shingles of all items, of a block whose pairs with another block are one task; minima by which it leaves out pairs.
@@ -54,6 +54,10 @@ class Rule:
     def shingles(self, text: str | None) -> np.ndarray:
         return shingle_set(text, self.words, self.lower)
 
+    def shingles_of(self, tokens: list[bytes]) -> np.ndarray:
+        """The same from words as they stand."""
+        return np.unique(shingle_hashes(tokens, self.words))
+
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         shared = overlap(a, b)
         return shared > 0 and self.den * shared >= self.num * (len(a) + len(b) - shared)

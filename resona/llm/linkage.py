@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,7 @@ class Rule:
         return shared > 0 and self.den * shared >= self.num * (len(a) + len(b) - shared)
 
 
+@lru_cache(maxsize=8)
 def _seeds(m: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(20))
     draw = lambda: rng.integers(0, 2 ** 64, m, dtype=np.uint64)
@@ -71,7 +73,7 @@ def _seeds(m: int) -> tuple[np.ndarray, np.ndarray]:
 
 def minima(shingles: np.ndarray, m: int) -> np.ndarray:
     """For each of m hash functions, the least value over the set. Minima of parts merge by minimum."""
-    factor, offset = _SEEDS.setdefault(m, _seeds(m))
+    factor, offset = _seeds(m)
     least = np.full(m, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(shingles), 512):
         part = shingles[lo:lo + 512, None] ^ offset
@@ -82,9 +84,6 @@ def minima(shingles: np.ndarray, m: int) -> np.ndarray:
     return least
 
 
-_SEEDS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def registers(shingles: np.ndarray, m: int) -> np.ndarray:
     """SetSketch registers: the minimum of exponential values, cut to a whole number on a logarithmic scale.
 

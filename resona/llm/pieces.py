@@ -23,7 +23,7 @@ LITERAL = "\ud800"
 #: Fixed value: how far an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 #: Words kept between batches of a task, and characters encoded at once.
-CACHE_WORDS, CACHE_PAIRS, CHUNK_CHARS = 800_000, 1_000_000, 8_000_000
+CACHE_WORDS, CACHE_PAIRS, CHUNK_CHARS = 300_000, 500_000, 4_000_000
 #: Longer words of a merging vocabulary are merged one by one.
 LONG_WORD = 2_000
 
@@ -190,10 +190,13 @@ class Model:
                 chars += len(texts[upto] or "")
                 upto += 1
             split = [self.split(t) if t else [] for t in texts[at:upto]]
-            fresh = sorted({w for ws in split for w in ws if w not in cache})
-            if len(cache) + len(fresh) > CACHE_WORDS:
+            used = {w for ws in split for w in ws}
+            if len(cache) > CACHE_WORDS:
+                # The words of this chunk stay; the common ones are among them.
+                kept = {w: cache[w] for w in used if w in cache}
                 cache.clear()
-                fresh = sorted({w for ws in split for w in ws})
+                cache.update(kept)
+            fresh = sorted(w for w in used if w not in cache)
             cache.update(zip(fresh, self.encode_sorted(fresh)))
             for ws in split:
                 yield b"".join(map(cache.__getitem__, ws))
@@ -206,9 +209,9 @@ class Model:
 
 
 @lru_cache(maxsize=1)
-def _worker(proto: bytes) -> tuple[Model, dict[str, bytes]]:
-    """The model and the encoded words that a Python worker keeps from task to task."""
-    return Model(proto), {}
+def _worker(proto: bytes) -> Model:
+    """The model, which a Python worker keeps from task to task."""
+    return Model(proto)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded_sha256") -> DataFrame:
@@ -223,7 +226,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = _worker(proto.value)
+        model, cache = _worker(proto.value), {}
         for batch in batches:
             texts = batch.column(names.index(text)).to_pylist()
             done, digests, size = [], [], 0

@@ -142,7 +142,8 @@ def test_repeated_paragraphs(spark):
     found = substrings.repeated_paragraphs(df)
     rows = found.collect()
     texts = dict(docs)
-    lines = [r for r in rows if r.doc_id < 102]
+    lines = [r for r in rows if r.doc_id < 102 and r.paragraph < substrings.RUN_BASE]
+    assert {r.doc_id for r in rows if r.doc_id < 102} == sharing
     assert {r.doc_id for r in lines} == sharing and len(lines) == len(sharing)
     assert all(r.component_doc == 0 and r.kept == (r.doc_id == 0) for r in lines)
     assert all(texts[r.doc_id][r.start:r.start + r.chars] == shared for r in lines if r.doc_id != 100)
@@ -155,6 +156,27 @@ def test_repeated_paragraphs(spark):
     assert all(r.n_chars == (len(r.text) if i in sharing and i or i == 103 else 1) for i, r in after.items())
 
 
+def test_passages_inside_lines(spark):
+    """A passage of 60 words in the middle of unlike lines, and once as a line of its own."""
+    rng = random.Random(12)
+    line = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(9000)}" for _ in range(n))
+    passage = line(60)
+    docs = [(i, f"{line(20)}\n{line(15 + i)} {passage} {line(30)}\n{line(9)}") for i in range(8)]
+    docs += [(20, passage), (21, line(90)), (22, " ".join(passage.split()[:20]) + " " + line(50))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = substrings.repeated_paragraphs(df)
+    rows = found.collect()
+    assert {r.doc_id for r in rows} == {*range(8), 20}
+    texts = dict(docs)
+    for r in rows:
+        part = texts[r.doc_id][r.start:r.start + r.chars]
+        assert part in passage and len(part.split()) == r.words >= substrings.RUN_WORDS and r.kept == (r.doc_id == 0)
+    left = {r.doc_id: r.text for r in substrings.without_repeats(df, found).collect()}
+    assert left[0] == texts[0] and left[21] == texts[21] and left[22] == texts[22]
+    cut = rows[0].words
+    assert all(len(left[i].split()) == len(texts[i].split()) - cut and left[i].count("\n") == 2 for i in range(1, 8))
+
+
 def test_repeated_paragraphs_odd_rows(spark):
     line = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, None), (2, ""), (None, line), (3, line), (3, line), (4, line), (5, "\n\n")], "doc_id long, text string")

@@ -55,6 +55,23 @@ def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return with_ids(rest, twice, "doc_id", "left_anti").unionByName(again)
 
 
-@query("op9_setsketch_dedup")
+ORACLE = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+r as (select x, y from l union select y, x from l union select r.x, e.y from r join (select x, y from l union select y, x from l) e on r.y = e.x)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(w.doc_id, coalesce(m.m, w.doc_id)) as component_id,
+  w.doc_id <= coalesce(m.m, w.doc_id) as kept
+from w left join n on n.doc_id = w.doc_id left join (select x, min(y) as m from r group by x) m on m.x = w.doc_id
+"""
+
+
+@query("op9_setsketch_dedup", ORACLE)
 def op9(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -18,7 +18,7 @@ from tests.check_oracle import compare, duck
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op1_voronoi_knn", "op2_weighted_mix", "op7_chat_format", "op8_warc"])
+@pytest.mark.parametrize("name", ["op1_voronoi_knn", "op2_weighted_mix", "op7_chat_format", "op8_warc", "op9_setsketch_dedup"])
 def test_query_equals_sql(spark, name):
     assert compare(spark, duck(SF), E.queries()[name], E.oracle_sql()[name], SF) is None
 

@@ -187,6 +187,14 @@ def test_repeated_paragraphs_odd_rows(spark):
     assert substrings.repeated_paragraphs(df.limit(0)).count() == 0
 
 
+def test_runs_that_do_not_fit_a_text():
+    words = [f"a{i}" for i in range(60)]
+    text = " ".join(words) + "\nb c"
+    assert list(substrings._cut(text, 40, [(0, 500), (70, 99), (62, 90)]))[0][0] == 0
+    got = [x for x in substrings._cut(text, 40, [(-3, 30), (10, 40), (50, 90)]) if x[0] >= substrings.RUN_BASE]
+    assert [(n - substrings.RUN_BASE, w) for n, _, _, w in got] == [(0, words[:30]), (10, words[10:40])]
+
+
 def test_paragraph_spans_cover_words():
     text = " ".join(f"k{i}" for i in range(1000)) + "\n" + "a b\n" + " ".join(["z"] * 50)
     spans = list(substrings.paragraphs(text))

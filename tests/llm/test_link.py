@@ -192,7 +192,7 @@ def test_runs_that_do_not_fit_a_text():
     text = " ".join(words) + "\nb c"
     assert list(substrings._cut(text, 40, [(0, 500), (70, 99), (62, 90)]))[0][0] == 0
     got = [x for x in substrings._cut(text, 40, [(-3, 30), (10, 40), (50, 90)]) if x[0] >= substrings.RUN_BASE]
-    assert [(n - substrings.RUN_BASE, w) for n, _, _, w in got] == [(0, words[:30]), (10, words[10:40])]
+    assert [(n - substrings.RUN_BASE, [x.decode() for x in w]) for n, _, _, w in got] == [(0, words[:30]), (10, words[10:40])]
 
 
 def test_paragraph_spans_cover_words():

@@ -23,7 +23,7 @@ LITERAL = "\ud800"
 #: Fixed value: how far an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 #: Words kept between batches of a task, and characters encoded at once.
-CACHE_WORDS, CACHE_PAIRS, CHUNK_CHARS = 300_000, 500_000, 4_000_000
+CACHE_WORDS, CACHE_PAIRS, CHUNK_CHARS = 150_000, 200_000, 2_000_000
 #: Longer words of a merging vocabulary are merged one by one.
 LONG_WORD = 2_000
 

@@ -187,6 +187,25 @@ def test_repeated_paragraphs_odd_rows(spark):
     assert substrings.repeated_paragraphs(df.limit(0)).count() == 0
 
 
+def _removed(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = substrings.repeated_paragraphs(df)
+    return {r.doc_id: (r.text or "").split() for r in substrings.without_repeats(df, found).collect()}
+
+
+def test_passages_over_short_lines(spark):
+    """A passage of 60 words wrapped after 12 or 15 words, and a line of 36 words: only the first document keeps them."""
+    rng = random.Random(21)
+    words = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(9000)}" for _ in range(n)]
+    wrap = lambda w, n: "\n".join(" ".join(w[i:i + n]) for i in range(0, len(w), n))
+    passage, line, own = words(60), words(36), [words(30) for _ in range(6)]
+    docs = [(i, wrap(own[i], 10) + "\n" + wrap(passage, 12 + 3 * i)) for i in range(2)]
+    docs += [(i, wrap(own[i], 10) + "\n" + " ".join(line) + "\n" + wrap(own[i][::-1], 9)) for i in range(2, 5)]
+    left = _removed(spark, docs)
+    assert left[0] == own[0] + passage and left[1] == own[1]
+    assert left[2] == own[2] + line + own[2][::-1] and all(left[i] == own[i] + own[i][::-1] for i in (3, 4))
+
+
 def test_runs_that_do_not_fit_a_text():
     words = [f"a{i}" for i in range(60)]
     text = " ".join(words) + "\nb c"

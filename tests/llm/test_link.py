@@ -206,6 +206,16 @@ def test_passages_over_short_lines(spark):
     assert left[2] == own[2] + line + own[2][::-1] and all(left[i] == own[i] + own[i][::-1] for i in (3, 4))
 
 
+def test_passages_side_by_side(spark):
+    """Two passages in one line of the first document, each of them alone in a later one."""
+    rng = random.Random(22)
+    words = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(9000)}" for _ in range(n)]
+    p, q, own = words(60), words(60), [words(30) for _ in range(4)]
+    docs = [(i, " ".join(w)) for i, w in enumerate([own[0] + p + q, own[1] + p + own[1][::-1], q + own[2], own[3] + q[:40] + p])]
+    left = _removed(spark, docs)
+    assert left[0] == own[0] + p + q and left[1] == own[1] + own[1][::-1] and left[2] == own[2] and left[3] == own[3]
+
+
 def test_runs_that_do_not_fit_a_text():
     words = [f"a{i}" for i in range(60)]
     text = " ".join(words) + "\nb c"

@@ -216,6 +216,17 @@ def test_passages_side_by_side(spark):
     assert left[0] == own[0] + p + q and left[1] == own[1] + own[1][::-1] and left[2] == own[2] and left[3] == own[3]
 
 
+def test_every_shared_run_has_a_pick():
+    rng = random.Random(23)
+    words = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(9000)}" for _ in range(n)]
+    for _ in range(200):
+        shared, before = words(substrings.RUN_WORDS), [rng.randrange(60), rng.randrange(60)]
+        texts = [" ".join(words(n) + shared + words(40)) for n in before]
+        picks = [{(p - n, h) for p, h in zip(*(x.tolist() for x in substrings._places(text))) if 0 <= p - n <= substrings.RUN_WORDS - substrings.PICK_WORDS}
+                 for text, n in zip(texts, before)]
+        assert picks[0] & picks[1]
+
+
 def test_runs_that_do_not_fit_a_text():
     words = [f"a{i}" for i in range(60)]
     text = " ".join(words) + "\nb c"

@@ -277,7 +277,7 @@ FROM staged s JOIN (SELECT study_id, count(*) AS kept, count(*) FILTER (is_first
   FROM copies GROUP BY 1) k USING (study_id) GROUP BY 1""", **TEXT_CTES)
 def dd6(t: Tables) -> DataFrame:
     return normalize.report(normalize.staged(t.text_posts, t.studies),
-                            normalize.normalise(t.text_posts, t.studies, near=False))
+                            normalize.normalise(t.text_posts, t.studies, near=True))
 
 
 @query("dd7_id_dedup", """

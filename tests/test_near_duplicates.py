@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from resona.functions import similarity
 from resona.operators import near_duplicates, normalize
+from resona.plans import catalog
 from resona.plans.bindings import Tables
 
 
@@ -122,3 +123,20 @@ def test_documents_follow_the_rule(spark):
         head = owners[first["".join(text.split())]]
         assert out[seq].dedup_group == out[head].dedup_group
         assert ("duplicate" in out[seq].flags) == (seq != head)
+
+
+def test_report_counts_near_copies(spark):
+    """dd6: a group for every text that no earlier head matches, all other texts flagged; exact copies alone give more groups."""
+    sf = "/root/testdata/sf0.001"
+    t = Tables(spark, sf)
+    heads, rows, exact = {}, {}, {}
+    for r in normalize.staged(t.text_posts, t.studies).where("kept").orderBy("post_seq").collect():
+        own, seen = heads.setdefault(r.study_id, []), exact.setdefault(r.study_id, set())
+        rows[r.study_id] = rows.get(r.study_id, 0) + 1
+        squeezed = "".join(r.text.split())
+        if squeezed not in seen and not any(matches(r.text, h) for h in own):
+            own.append(r.text)
+        seen.add(squeezed)
+    got = {r.study_id: r for r in catalog.QUERIES["dd6_normalise_report"](spark, sf).collect() if r.kept}
+    assert {s: (r.duplicate_groups, r.duplicates_flagged) for s, r in got.items()} == {s: (len(h), rows[s] - len(h)) for s, h in heads.items()}
+    assert sum(map(len, heads.values())) < sum(map(len, exact.values()))

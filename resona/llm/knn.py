@@ -98,20 +98,27 @@ def _place(rows: DataFrame, vec: str, width: int, cells: Cells, query: bool) ->
     return rows.select("vec_id", vec).mapInArrow(run, f"vec_id long, `{vec}` {kind}, cell int, dist double")
 
 
-def _least(placed: DataFrame, k: int) -> dict[int, list[float]]:
-    """Per cell the k smallest distances to its pivot, from k per task."""
+def _least(placed: DataFrame, k: int) -> dict[int, list[tuple[float, int]]]:
+    """Per cell the k smallest distances to its pivot over distinct ids, with the ids, from k per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            cell, dist = b.column("cell").to_numpy(), b.column("dist").to_numpy()
+            cell, dist, ids = (b.column(c).to_numpy() for c in ("cell", "dist", "vec_id"))
             for c in np.unique(cell):
-                kept[int(c)] = np.sort(np.concatenate([kept.get(int(c), np.empty(0)), dist[cell == c]]))[:k]
-        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int32()), pa.array([v.tolist() for v in kept.values()], pa.list_(pa.float64()))],
-                                         names=["cell", "near"])
-
-    parts = placed.select("cell", "dist").mapInArrow(run, "cell int, near array<double>")
-    whole = parts.groupBy("cell").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    return {r.cell: r.near for r in whole.collect()}  # one row per pivot, k numbers each
+                old = kept.get(int(c), (np.empty(0), np.empty(0, np.int64)))
+                near, own = np.concatenate([old[0], dist[cell == c]]), np.concatenate([old[1], ids[cell == c]])
+                order = np.argsort(near, kind="stable")
+                order = order[np.sort(np.unique(own[order], return_index=True)[1])[:k]]
+                kept[int(c)] = near[order], own[order]
+        rows = [(c, d, i) for c, (near, own) in kept.items() for d, i in zip(near.tolist(), own.tolist())]
+        cols = list(zip(*rows)) if rows else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64())],
+                                         names=["cell", "dist", "vec_id"])
+
+    parts = placed.select("cell", "dist", "vec_id").mapInArrow(run, "cell int, dist double, vec_id long")
+    whole = parts.groupBy("cell", "vec_id").agg(F.min("dist").alias("dist")).groupBy("cell").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("dist", "vec_id"))), 1, k).alias("near"))
+    return {r.cell: [(x.dist, x.vec_id) for x in r.near] for r in whole.collect()}  # one row per pivot, k pairs each
 
 
 def _blocks(counts: dict[int, int], pivots: np.ndarray, size: int) -> dict[int, list[int]]:
@@ -167,9 +174,11 @@ def top_k(rows: DataFrame, is_query: F.Column, k: int = 10, vec: str = "embeddin
     owners = _blocks({c: n for c, (n, _) in radius.items()}, cells.pivots, block)
     reach = np.full(len(cells.pivots), -1.0)
     for c, (_, far) in radius.items():
-        certain = sorted(far + between[c, j] + d for j, ds in near.items() for d in ds)
-        # k + 1, as the query itself is one of the rows.
-        within = certain[k] if len(certain) > k else math.inf
+        certain: dict[int, float] = {}
+        for bound, i in sorted((far + between[c, j] + d, i) for j, ds in near.items() for d, i in ds):
+            certain.setdefault(i, bound)
+        # k + 1 ids, as one of them may be the query's own, whatever number of rows it has.
+        within = list(certain.values())[k] if len(certain) > k else math.inf
         reach[c] = (far + within) * (1 + 1e-9) + 1e-3
 
     asking, n_blocks = sorted(radius), max(b for bs in owners.values() for b in bs) + 1

@@ -301,3 +301,15 @@ def test_grades_of_odd_rows(spark):
     assert len(out) == 4 and all(0 <= r.p_good <= r.p_fair <= 1 for r in out)
     assert quality.train(docs, labels.limit(0)).keys.size == 0 and quality.graded(docs.limit(0), model, "r").count() == 0
     assert quality.features(None).size == quality.features("").size == 1
+
+
+def test_top_k_with_many_rows_of_the_asked_id(spark):
+    """Forty rows with the query's id stand nearest to it; the true neighbours are in other cells."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    rows = [(0, [10.0 + i / 64, 0.0, 0.0]) for i in range(40)]
+    rows += [(i + 1, [float(x) for x in v]) for i, v in enumerate(rng.integers(-300, 300, (200, 3)) / 64)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in knn.top_k(df, F.col("vec_id") == 0, k=5).orderBy("rank").collect()]
+    query = max(v for i, v in rows if i == 0)
+    score = {i: int(sum(int(1024 * a) * int(np.floor(1024 * b)) for a, b in zip(query, v))) for i, v in rows if i}
+    assert got == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5]

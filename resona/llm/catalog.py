@@ -6,10 +6,13 @@ from . import (  # noqa: F401
     chat,
     fingerprints,
     knn,
+    manifest,
     mixing,
     near_dedup,
     pieces,
+    pii,
     pipeline_query,
+    planes,
     quality,
     substrings,
     token_counts,

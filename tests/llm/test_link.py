@@ -227,12 +227,120 @@ def test_every_shared_run_has_a_pick():
         assert picks[0] & picks[1]
 
 
-def test_runs_that_do_not_fit_a_text():
+def test_ids_with_different_texts_are_left_alone(spark):
     words = [f"a{i}" for i in range(60)]
-    text = " ".join(words) + "\nb c"
-    assert list(substrings._cut(text, 40, [(0, 500), (70, 99), (62, 90)]))[0][0] == 0
-    got = [x for x in substrings._cut(text, 40, [(-3, 30), (10, 40), (50, 90)]) if x[0] >= substrings.RUN_BASE]
-    assert [(n - substrings.RUN_BASE, [x.decode() for x in w]) for n, _, _, w in got] == [(0, words[:30]), (10, words[10:40])]
+    text, own = " ".join(words), " ".join(f"b{i}" for i in range(80)) + " "
+    docs = [(1, text), (2, text), (2, "another text"), (3, own + text), (3, own + text), (None, text)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = substrings.repeated_paragraphs(df)
+    assert {(r.doc_id, r.kept) for r in found.collect()} == {(1, True), (3, False)}
+    left = sorted(((r.doc_id, r.text) for r in substrings.without_repeats(df, found).collect()), key=str)
+    assert left == sorted([*docs[:3], (3, own), (3, own), (None, text)], key=str)
+
+
+def _corpus(rng):
+    """Documents with a group of copies, a group of near copies, passages inside lines, over lines and next to each other, and hard-wrapped paragraphs."""
+    words = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(n)]
+    wrap = lambda w, n: "\n".join(" ".join(w[i:i + n]) for i in range(0, len(w), n))
+
+    def edited(w):
+        w = list(w)
+        for _ in range(4):
+            w[rng.randrange(len(w))] = words(1)[0]
+        return w
+
+    copied, near, block = words(180), words(160), words(70)
+    pool = [words(rng.randrange(26, 90)) for _ in range(12)]
+    docs = [" ".join(copied)] * 6 + [" ".join(words(20)) + "\n" + " ".join(edited(near)) for _ in range(25)]
+    docs += [wrap(words(25), 9) + "\n\n" + wrap(edited(block), 8 + i % 5) + "\n\n" + wrap(words(25), 11) for i in range(10)]
+    for _ in range(40):
+        parts = [rng.choice(pool) if rng.random() < 0.5 else words(rng.randrange(5, 40)) for _ in range(rng.randrange(1, 6))]
+        docs.append((" " if rng.random() < 0.5 else "\n").join(" ".join(p) for p in parts))
+    # A passage of the second document's line, which is a near copy of the first's, and that a third document has elsewhere.
+    line, inner = words(160), words(30)
+    docs += [" ".join(line), " ".join(line[:80] + inner + line[110:]), " ".join(words(30) + inner + words(30))]
+    rng.shuffle(docs)
+    return list(enumerate(docs))
+
+
+def _runs(text, n=substrings.RUN_WORDS):
+    w = text.split()
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeats_against_plain_counting(spark, seed):
+    docs = _corpus(random.Random(seed))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = substrings.repeated_paragraphs(df)
+    rows = found.collect()
+    left = {r.doc_id: r.text for r in substrings.without_repeats(df, found).collect()}
+    texts, firsts, holders = dict(docs), {}, {}
+    for doc, text in docs:
+        firsts.setdefault(text, doc)
+        for run in _runs(text):
+            holders.setdefault(run, []).append(doc)
+    # Nothing shared is lost: every run that several documents have is whole in its first one.
+    shared = {run: min(ds) for run, ds in holders.items() if len(ds) > 1}
+    assert all(run in _runs(left[owner]) for run, owner in shared.items())
+    # Word by word, what is left: no later copy, no word of a run that another document owns, no word of a paragraph that is to go, but for the document's own runs.
+    several = {run: ds[0] for run, ds in holders.items() if len({firsts[texts[d]] for d in ds}) > 1}
+    n = substrings.RUN_WORDS
+    for doc, text in docs:
+        w = text.split()
+        gone, own = [firsts[text] != doc] * len(w), [False] * len(w)
+        for i in range(len(w) - n + 1):
+            owner = several.get(tuple(w[i:i + n]))
+            for k in range(i, i + n) if owner is not None else ():
+                gone[k], own[k] = gone[k] or owner != doc, own[k] or owner == doc
+        going = {r.paragraph for r in rows if r.doc_id == doc and r.paragraph < substrings.RUN_BASE and not r.kept}
+        for number, start, chars, _ in substrings.paragraphs(text):
+            first = len(text[:start].split())
+            for k in range(first, first + len(text[start:start + chars].split())) if number in going else ():
+                gone[k] = True
+        assert left.get(doc, "").split() == [x for x, g, o in zip(w, gone, own) if not g or o and firsts[text] == doc]
+    # Paragraphs go with the first one that they resemble, directly or over others.
+    paras = {(doc, number): substrings.RULE.shingles_of(text[s:s + c].encode().split()) for doc, text in docs for number, s, c, _ in substrings.paragraphs(text)}
+    linked = {}
+    for a in paras:
+        for b in paras:
+            if a[0] != b[0] and substrings.RULE.linked(paras[a], paras[b]):
+                linked.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, todo = {a}, [a]
+        while todo:
+            todo += (new := linked.get(todo.pop(), set()) - seen)
+            seen |= new
+        return min(seen)
+
+    whole = {d for d, t in docs if sum(t == x for x in texts.values()) > 1}
+    for r in rows:
+        part = texts[r.doc_id][r.start:r.start + r.chars]
+        assert len(part.split()) == r.words
+        if r.paragraph < substrings.RUN_BASE:
+            assert reach((r.doc_id, r.paragraph)) == (r.component_doc, r.component_paragraph) and r.kept == (r.doc_id == r.component_doc)
+    # Every paragraph that a paragraph of another text resembles is reported.
+    got = {(r.doc_id, r.paragraph) for r in rows}
+    assert {a for a in linked if a[0] not in whole} <= got
+
+
+def test_near_copies_give_rows_in_proportion(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(n)]
+    base = words(400)
+
+    def group(n):
+        out = []
+        for i in range(n):
+            w = list(base)
+            for _ in range(8):
+                w[rng.randrange(len(w))] = words(1)[0]
+            out.append((i, " ".join(w)))
+        return spark.createDataFrame(out, "doc_id long, text string")
+
+    few, many = (substrings.shared_runs(group(n)).count() for n in (200, 2000))
+    assert many < 14 * few and many < 2000 * 60
 
 
 def test_paragraph_spans_cover_words():

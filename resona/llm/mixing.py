@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_groups
 from ..session import stage_table
+from .manifest import running
 from .names import fresh
 from .registry import query, table
 
@@ -64,10 +66,39 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
 
 @dataclass
 class Mix:
-    """rows: source, doc_id, size, key, source_size, target, copies, taken. cuts: what decides copies, one row per source."""
+    """rows: source, doc_id, size, key, source_size, target, copies, taken. cuts: what decides copies, one row per source.
+
+    repeats: the keys that several equal rows had before each got its own; None where there are none.
+    """
 
     rows: DataFrame
     cuts: DataFrame
+    repeats: DataFrame | None = None
+
+
+def own_key(source: Column, key: Column) -> Column:
+    """Names a source and a shuffle key."""
+    return F.concat(F.coalesce(F.concat(F.lit("+"), source), F.lit("")), F.lit("|"), key)
+
+
+def _spread(rows: DataFrame, repeats: DataFrame | None, name: str, key: str, source: str) -> DataFrame:
+    """rows with a key of its own for each of several equal rows: the first keeps theirs, the m-th gets the hash of it and m - 1.
+
+    Equal rows are interchangeable, so whichever is which gives the same result. They are numbered over ranges, not in one group.
+    """
+    if repeats is None:
+        return rows
+    own, at, nth = fresh(rows, "_own_key", "_own_row", "_own_nth")
+    named = rows.withColumn(own, own_key(F.col(source), F.col(key))).withColumn(at, F.monotonically_increasing_id())
+    named = stage_table(named, f"{name}-named")
+    groups = repeats.select(F.col("own").alias(own), "m")
+    again = join_groups(named, groups, [own], "m", at, how="left_semi")
+    marked = fresh(rows, "_own_again")[0]
+    rest = join_groups(named, groups.withColumn(marked, F.lit(True)), [own], "m", at).where(F.col(marked).isNull())
+    numbers = running(again.select(F.col(own).alias("own"), F.col(at).alias("at"), F.lit(1).cast("long").alias("one")), ["own"], ["at"], "one", f"{name}-numbered")
+    placed = again.join(numbers.select(F.col("at").alias(at), F.col("_before").alias(nth)), at).withColumn(
+        key, F.when(F.col(nth) > 0, F.md5(F.concat(F.col(key), F.lit("|"), F.col(nth).cast("string")).cast("binary"))).otherwise(F.col(key)))
+    return rest.select(*rows.columns).unionByName(placed.select(*rows.columns))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix",
@@ -79,13 +110,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sum of all sizes. Running sums are made in two steps, by ranges of shuffle keys or times and inside a range, so
     that a source with most of the rows is spread over as many groups as it needs.
 
-    Null or empty texts have size 0. A null source is a source of its own, the last. Rows equal in id and text
-    share one place and one fate. An empty table gives an empty mix. Only the named columns are read.
+    Null or empty texts have size 0. A null source is a source of its own, the last. Of rows equal in source, id and text every one has its own
+    place in the order (see _spread), so any number of them comes near the target. An empty table gives an empty mix. Only the named columns are read.
     """
     spark = docs.sparkSession
     sized = docs.select(F.col(source).alias("source"), F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("size"),
                         shuffle_key(F.col(doc_id), F.col(text), seed).alias("key"))
     sized = stage_table(sized, "mix-sized")
+    repeats = stage_table(sized.groupBy(own_key(F.col("source"), F.col("key")).alias("own")).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "mix-repeats")
+    repeats = None if repeats.isEmpty() else repeats
+    sized = _spread(sized, repeats, "mix", "key", "source")
     per_source = stage_table(targets(sized, weights, max_epochs), "mix-targets")
     total = per_source.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("budget")).first()
     n = sized.count()
@@ -143,24 +177,28 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     whole = rows.groupBy("source").agg(F.min("copies").alias("full"), F.max("copies").alias("most"),
                                        F.max(F.struct("copies", "key")).alias("last"))
     cuts = whole.select("source", "full", F.when(F.col("most") > F.col("full"), F.col("last")["key"]).alias("cut_key"))
-    return Mix(rows, stage_table(cuts, "mix-cuts"))
+    return Mix(rows, stage_table(cuts, "mix-cuts"), repeats)
 
 
 def repeated(docs: DataFrame, mixed: Mix, doc_id: str = "doc_id", text: str = "text", source: str = "source",
              seed: str = "mix") -> DataFrame:
     """The documents as often as the mix takes them: whole rounds of the source, then those up to its last key."""
-    own, full, cut, copy = fresh(docs, "_mix_source", "_mix_full", "_mix_cut", "_mix_copy")
+    own, full, cut, copy, key = fresh(docs, "_mix_source", "_mix_full", "_mix_cut", "_mix_copy", "_mix_key")
+    keyed = _spread(docs.withColumn(key, shuffle_key(F.col(doc_id), F.col(text), seed)), mixed.repeats, "mix-docs", key, source)
     cuts = mixed.cuts.select(F.col("source").alias(own), F.col("full").alias(full), F.col("cut_key").alias(cut))
-    more = (shuffle_key(F.col(doc_id), F.col(text), seed) <= F.col(cut)).cast("int")
+    more = (F.col(key) <= F.col(cut)).cast("int")
     times = F.col(full) + F.coalesce(more, F.lit(0))
-    return (docs.join(cuts, F.col(source).eqNullSafe(F.col(own))).withColumn(copy, F.explode(F.sequence(F.lit(0), times)))
+    return (keyed.join(cuts, F.col(source).eqNullSafe(F.col(own))).withColumn(copy, F.explode(F.sequence(F.lit(0), times)))
             .where(F.col(copy) > 0).select(*docs.columns))
 
 
 ORACLE = r"""
-with sized as (
+with keyed as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
     md5('mix|' || coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))) as key from documents),
+sized as (
+  select doc_id, source, size, case when c = 0 then key else md5(key || '|' || c) end as key
+  from (select *, row_number() over (partition by source, key) - 1 as c from keyed)),
 sums as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source is null, source) as source_rank
   from sized group by source),
@@ -182,7 +220,7 @@ run as (
   from (select *, row_number() over () as n from slots))
 select doc_id, size, source_size, target,
   (sum(case when total <= (select sum(source_size) from sums) then size else 0 end))::bigint as taken
-from run group by doc_id, size, source_size, target
+from run group by doc_id, source, key, size, source_size, target
 """
 
 

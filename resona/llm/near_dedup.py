@@ -45,13 +45,13 @@ def near_duplicates(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The documents that groups (result of near_duplicates) keeps; of rows that share a kept doc_id one stays."""
+    """The documents that groups (result of near_duplicates) keeps; of rows that repeat a kept doc_id and its text one stays, unlike texts all do."""
     gone = stage_table(groups.where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
     rest = with_ids(docs, gone, "doc_id", "left_anti")
     twice = stage_table(groups.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-twice")
     if twice.isEmpty():
         return rest
-    again = with_ids(rest, twice, "doc_id").dropDuplicates(["doc_id"])
+    again = with_ids(rest, twice, "doc_id").dropDuplicates(["doc_id", "text"])
     return with_ids(rest, twice, "doc_id", "left_anti").unionByName(again)
 
 

@@ -120,6 +120,10 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, None, 4, 6], key=str)
     empty = df.limit(0)
     assert near_dedup.near_duplicates(empty).count() == 0
+    # Unlike texts under one doc_id all stay, equal ones once.
+    twins = spark.createDataFrame([(1, "a b c d e"), (1, "v w x y z"), (1, "a b c d e"), (2, "k l m n o")], "doc_id long, text string")
+    kept = near_dedup.first_of_each(twins, near_dedup.near_duplicates(twins))
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "a b c d e"), (1, "v w x y z"), (2, "k l m n o")]
 
 
 def _passages(seed=9):

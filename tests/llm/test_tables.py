@@ -71,6 +71,31 @@ def test_mix_meets_targets(spark):
     assert {r.doc_id: r["count"] for r in copies} == {k: v for k, v in named.items() if v}
 
 
+def test_mix_of_equal_rows(spark):
+    """Very many equal rows are taken one by one, so their source comes near its target, in the comparison SQL too."""
+    rows = [(1, "w " * 100, "a", 7)] * 300 + [(i, "w " * 20, "b", 7) for i in range(200)] + [(None, "x y", None, 7)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _before int")
+    mixed = mixing.mix(df)
+    got = mixed.rows.collect()
+    assert len(got) == len(rows)
+    for source in ("a", "b", None):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 200 and max(r.taken for r in own) <= 3 * own[0].size
+    again = mixing.mix(df.repartition(7)).rows
+    listed = lambda d: sorted(d.select("doc_id", "source", "size", "taken").collect(), key=str)
+    assert listed(again) == listed(mixed.rows)
+    out = mixing.repeated(df, mixed)
+    assert out.columns == df.columns
+    words = {r.source: r.n for r in out.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    assert all(words.get(s, 0) == sum(r.taken for r in got if r.source == s) for s in ("a", "b", None))
+    import duckdb
+
+    con = duckdb.connect()
+    documents = df.toArrow()  # noqa: F841
+    sql = con.sql(mixing.ORACLE).fetchall()
+    assert sorted(sql, key=str) == sorted([(r.doc_id, r.size, r.source_size, r.target, r.taken) for r in got], key=str)
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.taken) for r in mixing.mix(df).rows.collect()] == [(0, 0.0, 0)] * 2

@@ -231,6 +231,13 @@ def test_every_shared_run_has_a_pick():
         assert picks[0] & picks[1]
 
 
+def test_sketches_of_many_sets_equal_single_ones():
+    rng, rule = random.Random(4), substrings.RULE
+    sets = [rule.shingles(" ".join(f"w{rng.randrange(500)}" for _ in range(n))) for n in (0, 1, 3, 700, 0, 50, 2000, 0)]
+    assert list(zip(*linkage.sketch_all(sets, rule))) == [linkage.sketch(x, rule)[:3] for x in sets]
+    assert linkage.sketch_all([], rule) == ([], [], [])
+
+
 def test_ids_with_different_texts_are_left_alone(spark):
     words = [f"a{i}" for i in range(60)]
     text, own = " ".join(words), " ".join(f"b{i}" for i in range(80)) + " "

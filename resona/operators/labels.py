@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,9 +17,9 @@ from ..sources.files import number_rows
 from .skew import join_groups
 
 OPEN_TAG, CLOSE_TAG = "<untrusted_community_text>", "</untrusted_community_text>"
-_STRING = r'"(?:[^"\\]++|\\.)*+"'
-_FLAT = rf'\{{(?:[^{{}}"]++|{_STRING})*+\}}'
-_NESTED = rf'\{{(?:[^{{}}"]++|{_STRING}|{_FLAT})*+\}}'
+_FENCE = r"(?s)```(?:json)?\s*(.*?)```"
+#: What matters for nesting: whole strings, braces, and a quote that no string closes.
+_MARKS = re.compile(r'"(?:[^"\\]++|\\.)*+"|[{}"]', re.S)
 FIELDS = LABEL_FIELDS.fieldNames()
 
 
@@ -24,15 +27,31 @@ def is_valid_topic(topic: Column) -> Column:
     return topic.isin(*vocab.TOPICS) | topic.rlike(vocab.NEW_TOPIC_PATTERN)
 
 
-def first_object(reply: Column) -> Column:
-    """The first balanced JSON object of a model reply, inside a code fence if there is one.
+def balanced(text: str | None) -> str | None:
+    """From the first opening brace to the one that closes it, whatever the depth; None where nothing closes it."""
+    start, depth = text.find("{") if text else -1, 0
+    if start < 0:
+        return None
+    for m in _MARKS.finditer(text, start):
+        mark = m[0]
+        if mark == '"':
+            return None
+        depth += (mark == "{") - (mark == "}")
+        if depth == 0:
+            return text[start:m.end()]
+    return None
 
-    Deeper nesting than one level never satisfies the label contract, so it counts as no object.
-    """
-    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1)
+
+def first_object(reply: Column) -> Column:
+    """The first balanced JSON object of a model reply, inside a code fence if there is one. A depth counter walks every reply once."""
+    fenced = F.regexp_extract(reply, _FENCE, 1)
     body = F.when(fenced != "", fenced).otherwise(reply)
-    block = F.regexp_extract(body, rf"(?s)^[^{{]*({_NESTED})", 1)
-    return F.when(block != "", block)
+
+    @F.pandas_udf("string")
+    def scan(texts: pd.Series) -> pd.Series:
+        return pd.Series([balanced(t) for t in texts], dtype=object)
+
+    return F.when(F.contains(body, F.lit("{")), scan(body))
 
 
 def check_reply(replies: DataFrame) -> DataFrame:

@@ -61,31 +61,34 @@ def topic_centroids(spark: SparkSession, dim: int = 256) -> DataFrame:
         "topic", hash_embedding(F.col("text"), dim).alias("centroid"))
 
 
-#: Centroids that travel together next to a vector.
-CENTROID_BLOCK = 256
+#: Centroids that travel together next to a vector, and numbers in all of them up to which they are sent to every task (64 MB).
+CENTROID_BLOCK, BROADCAST_NUMBERS = 256, 8_000_000
 
 
 def dense_similarity(vectors: DataFrame, centroids: DataFrame, key: list[str]) -> DataFrame:
     """Cosine of every vector (key, vector) with every centroid (topic, centroid): one row per pair, also where nothing is shared.
 
-    Centroids are packed in blocks that a vector meets one by one; Spark chooses the join by their size, so any number works.
+    Centroids are packed in blocks that a vector meets one by one. Their numbers are counted: up to BROADCAST_NUMBERS the blocks are sent to
+    all tasks and vectors stay where they are; beyond it every vector is sent to the blocks, spread over as many keys as there are blocks.
     """
-    # Counted, not collected: the number of blocks only.
-    blocks = max(1, -(-centroids.count() // CENTROID_BLOCK))
+    # Counted, not collected.
+    size = centroids.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("centroid")), F.lit(0)).alias("numbers")).first()
+    blocks = max(1, -(-size.n // CENTROID_BLOCK))
     packed = centroids.groupBy(F.pmod(F.xxhash64("topic"), F.lit(blocks)).cast("int").alias("_block")).agg(
         F.sort_array(F.collect_list(F.struct("topic", F.col("centroid").alias("c")))).alias("_packed"))
     sims = F.transform("_packed", lambda p: F.struct(
         p["topic"].alias("topic"), V.cosine(F.col("vector"), p["c"]).alias("similarity")))
     rows = vectors.select(*key, "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    return rows.join(packed, "_block").select(*key, F.inline(sims))
+    return rows.join(F.broadcast(packed) if size.numbers <= BROADCAST_NUMBERS else packed, "_block").select(*key, F.inline(sims))
 
 
 def assign(similarities: DataFrame, key: list[str], threshold: float | Column = vocab.ASSIGN_THRESHOLD,
            most: int = 4) -> DataFrame:
     """Per row the topics at or above the threshold, best first, at most `most`; empty when none fits."""
-    limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    # Ordered by 12 digits: sums of products differ in the last bits with the order of addition.
-    hit = F.when(F.col("similarity") >= limit, F.struct(F.round("similarity", 12).alias("s"), "topic"))
+    limit = F.round(threshold, 12) if isinstance(threshold, Column) else F.lit(threshold)
+    # Compared and ordered by 12 digits: sums of products differ in the last bits with the order of addition.
+    rounded = F.round("similarity", 12)
+    hit = F.when(rounded >= limit, F.struct(rounded.alias("s"), "topic"))
     # One row per key holds at most one entry per topic, so the list is bounded by the topic count.
     return (similarities.groupBy(*key).agg(F.sort_array(F.collect_list(hit), asc=False).alias("hits"))
             .select(*key, F.slice(F.col("hits.topic"), 1, most).alias("topics")))

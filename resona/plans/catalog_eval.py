@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..operators import baseline, evaluate, sampling, topics
+from ..operators import baseline, evaluate, sampling, study_clusters, topics
 from .bindings import Tables
 from .catalog_ingest import GOLD_SQL, gold_rows
 from .catalog_metrics import q6, r6
@@ -81,12 +81,14 @@ def vw11(t: Tables) -> DataFrame:
 
 @query("ev4_cohen_kappa", """
 SELECT study_id, round(CASE WHEN pe = 1 THEN CASE WHEN po = 1 THEN 1 ELSE 0 END ELSE (po - pe) / (1 - pe) END, 6) AS kappa
-FROM (SELECT study_id, count(*) FILTER (y_true = y_pred) / count(*) AS po,
-  (count(*) FILTER (y_true = 'high') / count(*)) * (count(*) FILTER (y_pred = 'high') / count(*))
-  + (count(*) FILTER (y_true = 'low') / count(*)) * (count(*) FILTER (y_pred = 'low') / count(*)) AS pe
-  FROM doc_pairs WHERE y_pred IS NOT NULL GROUP BY 1)""", **_PAIR_SQL)
+FROM (SELECT study_id, sum(CASE WHEN y_true IS NOT DISTINCT FROM y_pred THEN 1 ELSE 0 END) / count(*) AS po FROM doc_pairs GROUP BY 1)
+JOIN (SELECT study_id, sum(a * b) AS pe FROM (
+  SELECT study_id, label, count(*) FILTER (side = 'a') / any_value(n) AS a, count(*) FILTER (side = 'b') / any_value(n) AS b FROM (
+    SELECT study_id, 'a' AS side, y_true AS label FROM doc_pairs UNION ALL SELECT study_id, 'b', y_pred FROM doc_pairs)
+  JOIN (SELECT study_id, count(*) AS n FROM doc_pairs GROUP BY 1) USING (study_id) GROUP BY 1, 2) GROUP BY 1) USING (study_id)""", **_PAIR_SQL)
 def ev4(t: Tables) -> DataFrame:
-    return evaluate.cohen_kappa(_doc_pairs(t).where("y_pred is not null"), ["study_id"]).select("study_id", *r6("kappa"))
+    """Over all pairs; a withheld prediction is a label of its own."""
+    return evaluate.cohen_kappa(_doc_pairs(t), ["study_id"]).select("study_id", *r6("kappa"))
 
 
 @query("ev5_calibration_error", """
@@ -219,7 +221,7 @@ SELECT study_id, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp +
   FROM rel_pairs, (SELECT unnest(['r', 'i']) AS l) GROUP BY 1, 2) GROUP BY 1""",
     "top_pairs": """
 SELECT study_id, post_id, any_value(topics) AS y,
-  coalesce(list(topic ORDER BY similarity DESC, topic DESC) FILTER (similarity >= top)[1:4], []) AS p
+  coalesce(list(topic ORDER BY similarity DESC, topic DESC) FILTER (round(similarity, 12) >= round(top, 12))[1:4], []) AS p
 FROM gold_sims JOIN gold_limits USING (study_id) WHERE test GROUP BY 1, 2""",
     "top_f1": """
 SELECT study_id, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END) AS topics_f1 FROM (
@@ -504,7 +506,7 @@ def jn16(t: Tables) -> DataFrame:
 
 @query("vec5_assign_topics", """
 SELECT post_id, coalesce(array_to_string(list(topic ORDER BY round(similarity, 12) DESC, topic DESC)
-  FILTER (similarity >= 0.05)[1:4], ','), '') AS topics FROM text_sims GROUP BY 1""", **_HASH_SQL)
+  FILTER (round(similarity, 12) >= 0.05)[1:4], ','), '') AS topics FROM text_sims GROUP BY 1""", **_HASH_SQL)
 def vec5(t: Tables) -> DataFrame:
     return topics.assign(_text_similarities(t), ["post_id"], 0.05).select("post_id", F.array_join("topics", ",").alias("topics"))
 
@@ -591,6 +593,14 @@ def vec7_priors(t: Tables) -> DataFrame:
     return rows.select("post_seq", F.array_join("topics", ",").alias("topics"), "new_topic")
 
 
+@query("vec7_study_priors")
+def vec7_study_priors(t: Tables) -> DataFrame:
+    """The priors stage of many studies in one run: every source of documents is a study."""
+    texts = t.text_posts.select(F.col("video_id").alias("study_id"), "post_seq", "text")
+    rows, _ = study_clusters.priors_by(texts, "study_id", "post_seq", threshold=0.3)
+    return rows.select("study_id", "post_seq", F.array_join("topics", ",").alias("topics"), "new_topic")
+
+
 def _baseline(t: Tables) -> tuple[DataFrame, DataFrame]:
     key = ["study_id", "vec_id", "relevant", "gold_topics", "video_id"]
     sims = _emb_sims(t, key)
@@ -614,7 +624,7 @@ def vec8(t: Tables) -> DataFrame:
 
 
 @query("vec9_topic_baseline", """
-SELECT vec_id, coalesce(array_to_string(list(topic ORDER BY round(similarity, 12) DESC, topic DESC) FILTER (similarity >= top)[1:4], ','), '')
+SELECT vec_id, coalesce(array_to_string(list(topic ORDER BY round(similarity, 12) DESC, topic DESC) FILTER (round(similarity, 12) >= round(top, 12))[1:4], ','), '')
   AS topics FROM emb_sims JOIN emb_rows USING (vec_id), emb_limits WHERE part = 'test' GROUP BY 1""", **_EMB_SQL)
 def vec9(t: Tables) -> DataFrame:
     rows, limits = _baseline(t)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import composite, effective, evidence, metrics, normalize, topics
+from ..operators import composite, effective, evidence, metrics, normalize, study_clusters
 from ..session import checkpointed, stage_table
 
 RELEVANT_COLUMNS = [
@@ -30,13 +30,9 @@ def metric_tables(posts: DataFrame, annotations: DataFrame, videos: DataFrame, s
 
 
 def priors(posts: DataFrame, studies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Topic priors of every post and candidates for new topics, study by study (clusters never cross studies)."""
-    rows, candidates = None, None
-    for study in [r.study_id for r in studies.select("study_id").distinct().orderBy("study_id").collect()]:
-        own = posts.where(F.col("study_id") == study).select("post_seq", "text")
-        one, new = (d.withColumn("study_id", F.lit(study)) for d in topics.priors(own, "post_seq"))
-        rows, candidates = (one, new) if rows is None else (rows.unionByName(one), candidates.unionByName(new))
-    return rows, candidates
+    """Topic priors of every post of the studies and candidates for new topics, all studies in one run (clusters never cross studies)."""
+    known = studies.select("study_id").distinct()
+    return study_clusters.priors_by(posts.join(known, "study_id", "left_semi").select("study_id", "post_seq", "text"), "study_id", "post_seq")
 
 
 def run(posts: DataFrame, annotations: DataFrame, videos: DataFrame, studies: DataFrame, near: bool = True,

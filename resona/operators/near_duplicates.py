@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .. import vocab
 from ..functions.similarity import is_near
-from ..session import checkpointed
+from ..session import stage_table
 from .normalize import first_of_copies
 from .skew import hot_keys, join_groups, replicated, salted
 
@@ -38,6 +38,16 @@ KEY = ["study_id", "post_seq"]
 LIST = ["study_id", "bucket", "ch"]
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """df as a written table: computed once (an eager checkpoint computes its last stage twice), with sizes that joins can be planned by."""
+    return stage_table(df, "near-duplicates")
+
+
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def _shortest(n: int) -> int:
     """The shortest text that one of n characters can resemble: a bucket below at most, and the length gap rule."""
     return max(1, (n // BUCKET - 1) * BUCKET, n - max(3, int(0.15 * n) + 1))
@@ -129,6 +139,8 @@ def _verified(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     heads = vertices.select("study_id", F.col("post_seq").alias("p"), F.col("text").alias("head"))
     # A head may have very many partners, so its rows are spread.
     texts = join_groups(pairs, heads.join(per_head, ["study_id", "p"]), ["study_id", "p"], "n", "w", how="inner")
+    # Few bytes but much work: a stated number of partitions isn't merged by size, and the next join uses it.
+    texts = texts.repartition(_tasks(vertices), "study_id", "w")
     return texts.join(later, ["study_id", "w"]).where(is_near("later", "head")).select(
         "study_id", "p", "w", "p_bucket")
 
@@ -150,17 +162,17 @@ def _scan(active: DataFrame, fresh: DataFrame, vertices: DataFrame) -> tuple[Dat
         if done is not None:
             pool = pool.join(done, [*KEY, "ch"], "left_anti")
         first = W.partitionBy(*LIST).orderBy("post_seq")
-        probes = checkpointed(pool.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= size)
+        probes = _stored(pool.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= size)
                               .select(*KEY, "bucket", "len", "ch"))
         if probes.isEmpty():
             return active, edges
         lists = probes.groupBy(*KEY, "bucket", "len").agg(F.collect_set("ch").alias("chars"))
         ordered = lists.join(slim.select(*KEY, "prefix"), KEY).withColumn(
             "chars", F.array_intersect("prefix", "chars")).drop("prefix")
-        found = checkpointed(_verified(_candidates(ordered, now), vertices))
+        found = _stored(_verified(_candidates(ordered, now), vertices))
         if not found.isEmpty():
             edges.append(found)
-            active = checkpointed(_minus(active, found, "w"))
+            active = _stored(_minus(active, found, "w"))
         marks = probes.select(*KEY, "ch")
         done = marks if done is None else done.unionByName(marks)
         size *= 8
@@ -175,7 +187,7 @@ def _union(parts: list[DataFrame], like: DataFrame) -> DataFrame:
 
 def head_of(texts: DataFrame) -> DataFrame:
     """(study_id, post_seq, head_seq) for every text; a head is its own head. Texts must be distinct."""
-    vertices = checkpointed(with_prefix(texts))
+    vertices = _stored(with_prefix(texts))
     slim = vertices.drop("text")
     everyone = vertices.select(*KEY)
     none = everyone.limit(0).select(
@@ -190,16 +202,16 @@ def head_of(texts: DataFrame) -> DataFrame:
         # were set aside by posts that were set aside themselves, and are looked at again.
         all_edges = _union(edges, none)
         held = all_edges.join(active.withColumnRenamed("post_seq", "p"), ["study_id", "p"], "left_semi")
-        loose = checkpointed(_minus(everyone.join(active, KEY, "left_anti"), held, "w"))
+        loose = _stored(_minus(everyone.join(active, KEY, "left_anti"), held, "w"))
         if loose.isEmpty():
             break
-        found = checkpointed(_verified(
+        found = _stored(_verified(
             _candidates(probes_of(active), slim.join(loose, KEY, "left_semi")), vertices))
         edges.append(found)
-        back = checkpointed(_minus(loose, found, "w"))
+        back = _stored(_minus(loose, found, "w"))
         if back.isEmpty():
             break
-        active, more = _scan(checkpointed(active.unionByName(back)), back, vertices)
+        active, more = _scan(_stored(active.unionByName(back)), back, vertices)
         edges += more
     return _nearest_heads(active, _union(edges, none), vertices)
 
@@ -222,7 +234,7 @@ def _nearest_heads(heads: DataFrame, edges: DataFrame, vertices: DataFrame) -> D
 
 def mark_duplicates(kept: DataFrame) -> DataFrame:
     """Flag exact and near copies as duplicate; a group carries the hash of its head."""
-    marked = checkpointed(first_of_copies(kept))
+    marked = _stored(first_of_copies(kept))
     firsts = marked.where("is_first")
     owner = head_of(firsts.select(*KEY, "text")).where("head_seq <> post_seq")
     hashes = firsts.select(*KEY, "exact_hash")
@@ -241,7 +253,7 @@ def mark_duplicates(kept: DataFrame) -> DataFrame:
 
 def candidate_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (study_id, p, w), p earlier, that share a list and pass the length rule; and the texts with their lists."""
-    vertices = checkpointed(with_prefix(texts))
+    vertices = _stored(with_prefix(texts))
     slim = vertices.drop("text")
     return _candidates(slim.withColumn("chars", F.col("prefix")), slim), vertices
 

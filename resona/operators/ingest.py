@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from .. import vocab
 from ..functions import privacy as P
 from ..functions import text as X
+from ..functions.times import free_time
 
+#: Common forms, tried first; all others go through functions.times.
 TIME_FORMATS = [
     "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd",
     "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ssXXX",
@@ -47,13 +49,13 @@ def _is_number(dtype: T.DataType) -> bool:
 
 
 def parse_time(value: Column, dtype: T.DataType) -> Column:
-    """Timestamps as they are, numbers as epoch seconds, text in one of TIME_FORMATS; else null."""
+    """Timestamps as they are, numbers as epoch seconds, text in one of TIME_FORMATS or written freely; else null."""
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return value.cast("timestamp")
     if _is_number(dtype):
         return F.timestamp_seconds(value)
     trimmed = X.strip(value.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in TIME_FORMATS])
+    return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in TIME_FORMATS], free_time(trimmed)["time"])
 
 
 def literal_date(value: Column, dtype: T.DataType) -> Column:
@@ -62,7 +64,7 @@ def literal_date(value: Column, dtype: T.DataType) -> Column:
         part = [F.regexp_extract(X.strip(value), r"^(\d{4})[-/年](\d{1,2})[-/月](\d{1,2})", i) for i in (1, 2, 3)]
         # Parsed as text, so that an impossible day gives null instead of an error.
         day = F.concat_ws("-", part[0], F.lpad(part[1], 2, "0"), F.lpad(part[2], 2, "0"))
-        return F.to_date(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")))
+        return F.coalesce(F.to_date(F.try_to_timestamp(day, F.lit("yyyy-MM-dd"))), free_time(X.strip(value))["day"])
     return F.to_date(parse_time(value, dtype))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import privacy as P
+from ..functions import text as X
+from ..functions.times import free_time
 from ..operators import ingest
 from ..schemas import GOLD, LABEL_FIELDS, POST
 from ..session import stage_path
@@ -381,6 +383,28 @@ def sc5(t: Tables) -> DataFrame:
         F.date_format("published_date", "yyyy-MM-dd").alias("published_date"))
 
 
+#: Forms a time is written in; two with an offset of eight hours and of minus five and a half.
+_FREE_FORMS = [
+    "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "MMMM d, yyyy h:mm:ss a", "d MMM yyyy 'at' HH:mm:ss", "M/d/yyyy HH:mm:ss",
+    "yyyyMMdd'T'HHmmss", "EEE MMM d HH:mm:ss yyyy", "HH:mm:ss d MMMM yyyy", "yyyy.M.d H:mm:ss '+0800'",
+    "EEEE, MMMM d yyyy HH:mm:ss '-05:30'", "dd-MMM-yyyy HH:mm:ss"]
+
+
+@query("sc5_free_times", """
+SELECT event_id, CASE WHEN event_id % 11 < 10 THEN strftime(CAST(ts AS TIMESTAMP) - CASE event_id % 11 WHEN 7 THEN INTERVAL 480 MINUTE
+  WHEN 8 THEN INTERVAL (-330) MINUTE ELSE INTERVAL 0 MINUTE END, '%Y-%m-%d %H:%M:%S') END AS published_at,
+  CASE WHEN event_id % 11 < 10 THEN strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d') END AS published_date FROM events""")
+def sc5_free(t: Tables) -> DataFrame:
+    """Event times written in ten forms, and in one that is no time, read back."""
+    ts, form = F.col("ts").cast("timestamp"), F.col("event_id") % 11
+    text = F.concat(F.lit("some day in "), F.date_format(ts, "MMMM"))
+    for i, pattern in enumerate(_FREE_FORMS):
+        text = F.when(form == i, F.date_format(ts, pattern)).otherwise(text)
+    rows = X.once(t.raw("events").select("event_id", text.alias("text")), _read=free_time(F.col("text")))
+    return rows.select("event_id", F.date_format("_read.time", "yyyy-MM-dd HH:mm:ss").alias("published_at"),
+                       F.date_format("_read.day", "yyyy-MM-dd").alias("published_date"))
+
+
 # ---------- landed payloads ----------
 
 def _comment_pages(t: Tables) -> DataFrame:

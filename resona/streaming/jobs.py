@@ -6,6 +6,9 @@ is written under its own batch id, so a batch replayed after a failure replaces
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,6 +23,26 @@ def read_folder(spark: SparkSession, path: str, schema, fmt: str = "parquet", ma
     return reader.load(path)
 
 
+#: Keyed state on disk, of which only changes are uploaded with each batch.
+DISK_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _conf(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings for queries that start inside; a started query keeps the ones it has seen."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _start(writer, checkpoint: str) -> StreamingQuery:
     """Process everything that is there, then stop; a later start goes on from the checkpoint."""
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -38,24 +61,15 @@ def import_posts(rows: DataFrame, out: str, checkpoint: str, salt: bytes | None
 def first_seen(posts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append the posts whose (study_id, post_id) no earlier batch has, however late they come.
 
-    What was seen is what was written: only the two key columns of the earlier batches are read, so there is no state that
-    must expire. Of copies in one batch any one is taken.
+    The keys seen are keyed state that never expires. It lies in RocksDB on the executors' disks, with the changes of each batch
+    in the checkpoint folder, so a batch looks up its own keys only, whatever the history. Of copies in one batch any one is taken.
+    The output is not read; a batch that is replayed starts from the state before it and replaces its own folder.
     """
-    spark = posts.sparkSession
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(["study_id", "post_id"])
-        before = _earlier(spark, out, batch_id)
-        if before is not None:
-            fresh = fresh.join(before.select("study_id", "post_id"), ["study_id", "post_id"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return _start(posts.writeStream.foreachBatch(write), checkpoint)
-
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-def _earlier(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
-    """What the batches before this one have written to out."""
-    return spark.read.parquet(out).where(F.col("batch") < batch_id) if batch_id > 0 else None
+    with _conf(posts.sparkSession, DISK_STATE):
+        return _start(posts.dropDuplicates(["study_id", "post_id"]).writeStream.foreachBatch(write), checkpoint)
 
 
 def daily_counts(labelled: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -67,9 +67,14 @@ def topic_rollup(relevant: DataFrame, videos: DataFrame, longest: int | None = N
         F.max("window_days").alias("window_days"),
         *[_day_bits(w).alias(f"days{w}") for w in range(n_words)],
     )
+    return per_topic(per_video, videos, n_words)
+
+
+def per_topic(per_video: DataFrame, videos: DataFrame, n_words: int) -> DataFrame:
+    """Sums per (study, topic) from sums per (study, topic, video) whose active days are bit sets of n_words words."""
     known = videos.select("study_id", "video_id", "category")
     joined = per_video.join(known, ["study_id", "video_id"], "left")
-    per_topic = joined.groupBy("study_id", "topic").agg(
+    totals = joined.groupBy("study_id", "topic").agg(
         *[F.sum(c).alias(c) for c in _SUMS],
         F.min("topic_seq").alias("topic_seq"),
         F.max("window_days").alias("window_days"),
@@ -81,7 +86,7 @@ def topic_rollup(relevant: DataFrame, videos: DataFrame, longest: int | None = N
     categories = F.array_compact(F.array(*[
         F.when(F.col(f"has_{c}") == 1, F.lit(c)) for c in sorted(vocab.CATEGORIES)]))
     return (
-        per_topic
+        totals
         .withColumn("abstain", F.col("count") - sum((F.col(c) for c in STANCE_COLUMNS), F.lit(0)))
         .withColumn("active_days", active.cast("long"))
         .withColumn("video_categories", categories)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..operators import composite, effective, evidence, labels, metrics, normalize, review, runs, views
+from ..operators import composite, effective, evidence, incremental, labels, metrics, normalize, review, runs, views
+from ..session import stage_path
 from .bindings import Tables
 from .catalog_ingest import GOLD_SQL, gold_rows
 from .catalog_metrics import _norm, q6, r6
@@ -430,6 +431,26 @@ def rv5(t: Tables) -> DataFrame:
         "study_id", "topic", "rank", "count", *r6("score", "topic_share", "net_support"))
 
 
+@query("rv5_incremental", f"""
+SELECT study_id, topic, count, video_count, active_days, {q6('topic_share', 'net_support', 'engagement', 'controversy', 'trend_speed', 'persistence')}
+FROM topics""",
+       **_REVIEW_SQL, relevant="SELECT * FROM effective JOIN merged USING (study_id, post_id) WHERE relevant")
+def rv5_incremental(t: Tables) -> DataFrame:
+    """The same metrics from a store over the uncorrected labels, to which two batches of corrections are added."""
+    out = stage_path(t.spark, "metric-store")
+    incremental.start(t.relevant, out)
+    log, old = reviews(t), t.annotations
+    for batch in (1, 2):
+        upto = log if batch == 2 else log.where("review_seq % 3 = 0")
+        new = review.merge(t.annotations, upto).select(t.annotations.columns)
+        incremental.correct(t.dated_posts, old, new, (log if batch == 2 else upto).select("study_id", "post_id"), out, batch)
+        old = new
+    return incremental.topic_metrics(t.spark, out, t.videos).select(
+        "study_id", "topic", "count", "video_count", "active_days",
+        *r6("topic_share", "net_support", "engagement", "controversy", "trend_speed", "persistence"))
+
+
+
 @query("ag24_review_counts", """
 SELECT study_id, post_id, count(*) AS reviews FROM reviews GROUP BY 1, 2""", **_REVIEW_SQL)
 def ag24(t: Tables) -> DataFrame:

@@ -10,6 +10,7 @@ from .. import vocab
 from ..functions import text as X
 from .effective import last_annotation
 from .order_stats import at_fraction, order_statistics
+from .skew import join_groups
 
 VALUE_FIELDS = vocab.REVIEW_FIELDS
 REFUSALS = ("unknown_post", "bad_field", "reason_missing")
@@ -30,14 +31,16 @@ def route(posts: DataFrame, annotations: DataFrame, controversial: DataFrame | N
     limits = like_thresholds(posts)
     labels = last_annotation(annotations).select(
         "study_id", "post_id", "confidence", "irony", "topics", F.lit(True).alias("_labelled"))
-    rows = posts.select("study_id", "post_id", "post_seq", "likes").join(
-        labels, ["study_id", "post_id"], "left").join(limits, "study_id", "left")
+    rows = posts.select("study_id", "post_id", "post_seq", "likes").join(labels, ["study_id", "post_id"], "left")
+    # One row per study, also for studies without limits; a study may hold most of the posts.
+    groups = posts.groupBy("study_id").agg(F.count(F.lit(1)).alias("_n")).join(limits, "study_id", "left")
     hot_topic = F.lit(False)
     if controversial is not None:
         # At most a few named topics per study: one array per study.
-        hot = controversial.groupBy("study_id").agg(F.collect_set("topic").alias("_hot"))
-        rows = rows.join(hot, "study_id", "left")
-        hot_topic = F.coalesce(F.arrays_overlap("topics", "_hot"), F.lit(False))
+        hot = controversial.groupBy("study_id").agg(F.collect_set("topic").alias("_hot_topics"))
+        groups = groups.join(hot, "study_id", "left")
+        hot_topic = F.coalesce(F.arrays_overlap("topics", "_hot_topics"), F.lit(False))
+    rows = join_groups(rows, groups, ["study_id"], "_n", "post_id")
     labelled = F.col("_labelled").isNotNull()
     reasons = F.array_compact(F.array(
         F.when(~labelled, F.lit("no_annotation")),

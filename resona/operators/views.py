@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stage_table
+
 STANCE_PARTS = ["support", "oppose", "neutral", "mixed", "unclear", "abstain"]
 
 
@@ -48,5 +50,31 @@ def stance_parts(topics: DataFrame) -> DataFrame:
     return topics.unpivot(["study_id", "topic"], STANCE_PARTS, "part", "value").where("value > 0")
 
 
-def page(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
-    return rows.orderBy(*order).offset(offset).limit(limit)
+class Pages:
+    """Rows in one order, stored once so that a page reads the files that hold it.
+
+    The rows are sorted by range, so no task sees all of them; a row's place is its file and the row number there, columns with least and
+    greatest values per file. The number of rows per file, one number per task of the write, says where an offset lies. The order
+    must tell all rows apart, else equal rows keep the places of the first write. Null keys come first, as in a sort.
+    """
+
+    def __init__(self, rows: DataFrame, order: list[str], name: str = "pages"):
+        part = F.spark_partition_id()
+        placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(
+            "*", part.alias("_part"), (F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)).alias("_at"))
+        self.columns = rows.columns
+        self.table = stage_table(placed, name)
+        self.sizes = [(r._part, r.n) for r in self.table.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()]
+
+    def __len__(self) -> int:
+        return sum(n for _, n in self.sizes)
+
+    def page(self, limit: int, offset: int = 0) -> DataFrame:
+        """Rows offset + 1 to offset + limit, in order; none beyond the end."""
+        wanted, start = F.lit(False), 0
+        for part, n in self.sizes:
+            lo, hi = max(offset - start, 0), min(offset + limit - start, n) - 1
+            if lo <= hi:
+                wanted = wanted | ((F.col("_part") == part) & F.col("_at").between(lo, hi))
+            start += n
+        return self.table.where(wanted).orderBy("_part", "_at").select(*self.columns)

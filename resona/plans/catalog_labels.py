@@ -368,7 +368,7 @@ SELECT post_id, text FROM (SELECT q.post_seq, q.post_id, substr(p.text, 1, 300)
 ORDER BY post_seq LIMIT 50 OFFSET 100""", **_LIKES_SQL)
 def vw8(t: Tables) -> DataFrame:
     rows = review.queue_rows(_queue(t), t.annotations, t.posts, t.videos, reviews(t))
-    return views.page(rows, ["post_seq"], 50, 100).select("post_id", "text")
+    return views.Pages(rows, ["post_seq"], "queue").page(50, 100).select("post_id", "text")
 
 
 @query("rv3_review_submission", """

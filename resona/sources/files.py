@@ -36,8 +36,11 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line
 
     split reads line breaks inside fields in many tasks (see csv_split); by default for UTF-8 sources that are larger than one
     of Spark's splits. Files whose quotes are not strictly placed, where parity says nothing, go through the serial reader.
-    GBK files need spark.sql.legacy.javaCharsets=true. multi_line=False is for files whose fields hold no line breaks.
+    encoding "auto" takes UTF-8 (with or without a byte order mark) where all lines are valid in it, else GBK. GBK files need
+    spark.sql.legacy.javaCharsets=true. multi_line=False is for files whose fields hold no line breaks.
     """
+    if encoding == "auto":
+        encoding = detect_encoding(spark, path)
     utf8 = encoding.upper().replace("_", "-") in ("UTF-8", "UTF8", "UTF-8-SIG")
     if split is None:
         split = multi_line and utf8 and _bytes(spark, path) > _split_bytes(spark)
@@ -53,6 +56,17 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line
     return _require_rows(df, path)
 
 
+_CHARSETS = "spark.sql.legacy.javaCharsets"
+
+
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if all lines of the source are valid in it, else GBK; lines are looked at as the bytes they are, in all splits."""
+    valid = spark.read.option("lineSep", "\n").text(path).where(~F.is_valid_utf8("value")).isEmpty()
+    if not valid and spark.conf.get(_CHARSETS, "false").lower() != "true":
+        raise SourceError(f"{path} is not UTF-8; reading it as GBK needs {_CHARSETS}=true")
+    return "UTF-8" if valid else "GBK"
+
+
 def _bytes(spark: SparkSession, path: str) -> int:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())

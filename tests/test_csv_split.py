@@ -68,3 +68,18 @@ def test_empty_and_header_only(spark, tmp_path):
         path.write_text(text, encoding="utf-8")
         with pytest.raises(files.EmptySourceError):
             files.read_csv(spark, str(path), split=True)
+
+
+def test_encodings_are_told_apart(spark, tmp_path):
+    text = "评论内容,赞\n" + "".join(f"第{i}条很好玩,{i}\n" for i in range(50))
+    for name in ("utf-8", "utf-8-sig", "gbk"):
+        (tmp_path / f"{name}.csv").write_bytes(text.encode(name))
+    with pytest.raises(files.SourceError, match="javaCharsets"):
+        files.read_csv(spark, str(tmp_path / "gbk.csv"), encoding="auto")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        got = {n: sorted(map(tuple, files.read_source(spark, str(tmp_path / f"{n}.csv"), encoding="auto").select("评论内容", "赞").collect()))
+               for n in ("utf-8", "utf-8-sig", "gbk")}
+    finally:
+        spark.conf.unset("spark.sql.legacy.javaCharsets")
+    assert got["utf-8"] == got["utf-8-sig"] == got["gbk"] and ("第7条很好玩", "7") in got["gbk"] and len(got["gbk"]) == 50

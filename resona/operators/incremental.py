@@ -1,4 +1,4 @@
-"""Topic metrics kept up to date under corrections, from the corrected posts alone.
+"""Topic metrics kept up to date under corrections.
 
 A store holds three small tables, each a ledger of batches that are only added:
 cells  signed sums per (study, topic, video, day); the null topic stands for the whole study,
@@ -84,8 +84,9 @@ def start(relevant: DataFrame, out: str) -> None:
 def correct(dated: DataFrame, old: DataFrame, new: DataFrame, changed: DataFrame, out: str, batch: int) -> None:
     """Add the batch in which the labels of the changed posts (study_id, post_id) went from old to new.
 
-    dated: all posts with their day offsets; old and new: annotations before and after. Of the posts, labels and sums only those of changed
-    posts are used, but for the other ends of their reply edges and, if a first mention is taken away, the mentions of its topics.
+    dated: all posts with their day offsets; old and new: annotations before and after. Sums and mentions come from the changed posts
+    alone. Reply edges are joined over the relevant posts before and after, so that step scans all posts; so do the mentions of topics whose
+    first one is taken away.
     Posts unknown to dated or without a label change nothing; a post named twice counts once.
     """
     if batch < 1:

@@ -90,6 +90,20 @@ def src3(t: Tables) -> DataFrame:
     return files.read_json_document(t.spark, _json_documents(t)).select("rpid", "text")
 
 
+@query("src3_json_large_document", "SELECT event_id AS rpid, event_type AS text, event_id % 3 AS level FROM events")
+def src3_large(t: Tables) -> DataFrame:
+    """The table as documents of both forms, over one line or indented, read by split at their elements."""
+    path = stage_path(t.spark, "large") + ".json"
+    e = F.col("event_id")
+    row = F.struct(e.alias("rpid"), F.col("event_type").alias("text"), F.struct((e % 3).alias("level")).alias("n"))
+    rows = F.to_json(F.collect_list(row), {"pretty": "true"})
+    docs = t.raw("events").groupBy(F.pmod(e, F.lit(8)).alias("part")).agg(rows.alias("value"))
+    form = F.when(F.col("part") % 2 == 0, F.col("value")).otherwise(
+        F.concat(F.lit('{"code": 0, "note": "}", "data": '), F.col("value"), F.lit(', "page": {"n": [1]}}')))
+    docs.select("part", form.alias("value")).write.partitionBy("part").text(path)
+    return files.read_json_document(t.spark, path, split=True).select("rpid", "text", "n.level")
+
+
 @query("src4_format_dispatch", """
 SELECT 'csv' AS format, count(*) AS n FROM events UNION ALL
 SELECT 'json', count(*) FROM events UNION ALL

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from . import csv_split
+from . import csv_split, json_split
 
 
 class SourceError(ValueError):
@@ -119,14 +119,37 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.where((F.trim("value") != "") & ~_is_object(F.col("value")))
 
 
-def read_json_document(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects, an object with a data array of objects, or a single object."""
-    df = spark.read.option("multiLine", True).json(path)
-    if "data" in df.columns and df.schema["data"].dataType.typeName() == "array":
-        df = df.select(F.explode("data").alias("d")).select("d.*")
+def read_json_document(spark: SparkSession, path: str, split: bool | None = None) -> DataFrame:
+    """An array of objects, an object with a data array of objects, or a single object; columns in sorted order.
+
+    split reads the elements of one document in many tasks (see json_split); by default for sources larger than one of Spark's splits.
+    Documents of another form, or with an element that does not parse, go through the serial reader.
+    """
+    if split is None:
+        split = _bytes(spark, path) > _split_bytes(spark)
+    found = json_split.elements(spark, path) if split else None
+    df = json_split.as_lines(found) if found is not None else None
+    if df is None or CORRUPT in df.columns:
+        df = _serial_document(spark, path)
     return _require_rows(df.select(*[F.col(f"`{c}`") for c in sorted(df.columns)]), path)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _serial_document(spark: SparkSession, path: str) -> DataFrame:
+    df = spark.read.option("multiLine", True).json(path)
+    data = df.schema["data"].dataType if "data" in df.columns else None
+    if not isinstance(data, T.ArrayType):
+        return df
+    # The rows of an array may have a field named data themselves.
+    if spark.read.option("wholetext", True).text(path).where(F.col("value").rlike(r"\A\x{feff}?\s*\{")).isEmpty():
+        return df
+    if not isinstance(data.elementType, T.StructType):
+        raise EmptySourceError(f"no rows in {path}")
+    return df.select(F.explode("data").alias("d")).where("d is not null").select("d.*")
+
+
 READERS = {
     ".csv": read_csv,
     ".jsonl": read_json_lines,

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..rules import DEFAULT, Rules
 from .text import SPACE_CLASS
 
 _BLOCK = 64
@@ -40,8 +41,10 @@ def mask(text: Column) -> Column:
     return F.regexp_replace(t, UID, "UID:***")
 
 
-def leak_kinds(value: Column) -> Column:
+def leak_kinds(value: Column, rules: Rules = DEFAULT) -> Column:
     """Kinds of personal data left in a string value."""
+    if rules.leaks is not None:
+        return F.array_compact(F.array(*[F.when(value.rlike(p), F.lit(kind)) for kind, p in rules.leaks]))
     return F.array_compact(F.array(
         F.when(value.rlike(UID), F.lit("uid")),
         F.when(value.rlike(CONTACT), F.lit("contact")),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..rules import DEFAULT, Rules
 
 # Unicode white space as one character class, the set the cleaning rules treat as blank.
 SPACE_CLASS = r"\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -67,11 +68,15 @@ def _matches(text: Column, literals: list[str], pattern: str) -> Column:
     return reduce(or_, [F.contains(text, F.lit(x)) for x in literals]) & text.rlike("(?d)" + pattern)
 
 
-def detect_flags(text: Column) -> Column:
-    """Flags of a cleaned text, in the fixed order lottery, ad, spam."""
+def detect_flags(text: Column, rules: Rules = DEFAULT) -> Column:
+    """Flags of a cleaned text, in the fixed order lottery, ad (or those of the rules by name), spam."""
+    if rules.flags is None:
+        found = [F.when(_matches(text, vocab.LOTTERY_LITERALS, vocab.LOTTERY_PATTERN), F.lit("lottery")),
+                 F.when(_matches(text, vocab.AD_LITERALS, vocab.AD_PATTERN), F.lit("ad"))]
+    else:
+        found = [F.when(text.rlike("(?d)" + p), F.lit(name)) for name, p in rules.flags]
     return F.array_compact(F.array(
-        F.when(_matches(text, vocab.LOTTERY_LITERALS, vocab.LOTTERY_PATTERN), F.lit("lottery")),
-        F.when(_matches(text, vocab.AD_LITERALS, vocab.AD_PATTERN), F.lit("ad")),
+        *found,
         F.when(has_repeat_run(text) | is_symbol_only(text), F.lit("spam")),
     ))
 

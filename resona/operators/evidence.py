@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as X
+from ..rules import DEFAULT, Rules
 
 
 def evidence_items(relevant: DataFrame, videos: DataFrame, modified: DataFrame | None = None) -> DataFrame:
@@ -99,7 +100,7 @@ def claims(topics: DataFrame, ranking: DataFrame, relevant: DataFrame) -> DataFr
         F.col("count").alias("topic_sample_size"))
 
 
-def verify_claims(claim_rows: DataFrame) -> DataFrame:
+def verify_claims(claim_rows: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """Violations of the claim rules: citations, over-generalisation, causal wording, small samples."""
     def hit(cond: Column, rule: str, detail: str) -> Column:
         return F.when(cond, F.struct(F.lit(rule).alias("rule"), F.lit(detail).alias("detail")))
@@ -107,8 +108,8 @@ def verify_claims(claim_rows: DataFrame) -> DataFrame:
     checks = [
         hit(F.size("metric_ids") <= 0, "citation", "metric_id"),
         hit(F.size("evidence_ids") <= 0, "citation", "evidence_id"),
-        *[hit(F.col("text").rlike(p), "overreach", p) for p in vocab.OVERREACH_PATTERNS],
-        *[hit(F.col("text").rlike(p), "causal", p) for p in vocab.CAUSAL_PATTERNS],
+        *[hit(F.col("text").rlike(p), "overreach", p) for p in rules.overreach],
+        *[hit(F.col("text").rlike(p), "causal", p) for p in rules.causal],
         hit((F.col("topic_sample_size") < vocab.SMALL_SAMPLE) & ~F.contains(F.col("text"), F.lit("小样本")),
             "small_sample", "小样本"),
     ]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as X
+from ..rules import DEFAULT, Rules
 from ..schemas import LABEL_FIELDS
 from ..session import checkpointed
 from ..sources.files import number_rows
@@ -23,8 +24,8 @@ _MARKS = re.compile(r'"(?:[^"\\]++|\\.)*+"|[{}"]', re.S)
 FIELDS = LABEL_FIELDS.fieldNames()
 
 
-def is_valid_topic(topic: Column) -> Column:
-    return topic.isin(*vocab.TOPICS) | topic.rlike(vocab.NEW_TOPIC_PATTERN)
+def is_valid_topic(topic: Column, rules: Rules = DEFAULT) -> Column:
+    return topic.isin(*rules.topics) | topic.rlike(vocab.NEW_TOPIC_PATTERN)
 
 
 def balanced(text: str | None) -> str | None:
@@ -54,7 +55,7 @@ def first_object(reply: Column) -> Column:
     return F.when(F.contains(body, F.lit("{")), scan(body))
 
 
-def check_reply(replies: DataFrame) -> DataFrame:
+def check_reply(replies: DataFrame, labels: Rules = DEFAULT) -> DataFrame:
     """Add p: every label field of the reply column with defaults, and `problem`, null when valid."""
     text_fields = ", ".join(f"{f} string" for f in FIELDS)
     found = X.once(replies, _block=first_object(F.col("reply")))
@@ -79,13 +80,13 @@ def check_reply(replies: DataFrame) -> DataFrame:
         (raw["relevant"].isNotNull() & relevant.isNull(), "relevant"),
         (null_given("topics") | (raw["topics"].isNotNull() & topics.isNull()), "topics"),
         (F.size(topics) > 6, "topics: more than 6"),
-        (F.exists(topics, lambda t: ~F.coalesce(is_valid_topic(t), F.lit(False))), "topics: unknown"),
+        (F.exists(topics, lambda t: ~F.coalesce(is_valid_topic(t, labels), F.lit(False))), "topics: unknown"),
         (F.size(F.array_distinct(topics)) < F.size(topics), "topics: repeated"),
-        (outside("stance", vocab.STANCES), "stance"),
-        (outside("emotion", vocab.EMOTIONS), "emotion"),
-        (null_given("irony") | outside("irony", vocab.IRONY), "irony"),
-        (outside("intent", vocab.INTENTS), "intent"),
-        (outside("issue_type", vocab.ISSUE_TYPES), "issue_type"),
+        (outside("stance", labels.stances), "stance"),
+        (outside("emotion", labels.emotions), "emotion"),
+        (null_given("irony") | outside("irony", labels.irony), "irony"),
+        (outside("intent", labels.intents), "intent"),
+        (outside("issue_type", labels.issue_types), "issue_type"),
         (null_given("intensity") | (raw["intensity"].isNotNull() & ~F.coalesce(
             number["intensity"].isin(0.0, 1.0, 2.0, 3.0), F.lit(False))), "intensity"),
         (null_given("confidence") | (raw["confidence"].isNotNull() & ~F.coalesce(
@@ -120,9 +121,9 @@ def abstain_values(reason: Column) -> dict[str, Column]:
     }
 
 
-def from_replies(replies: DataFrame, stage: str, model: str, prompt_version: str) -> DataFrame:
+def from_replies(replies: DataFrame, stage: str, model: str, prompt_version: str, labels: Rules = DEFAULT) -> DataFrame:
     """Annotations of model replies; an invalid reply becomes an abstain row naming the problem."""
-    checked = check_reply(replies)
+    checked = check_reply(replies, labels)
     bad = F.col("p.problem").isNotNull()
     abstain = abstain_values(F.col("p.problem"))
     return checked.select(

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..rules import DEFAULT, Rules
 from .effective import with_offsets
 
 
-def staged(posts: DataFrame, studies: DataFrame, drop_spam: bool = True, only_window: bool = False) -> DataFrame:
+def staged(posts: DataFrame, studies: DataFrame, drop_spam: bool = True, only_window: bool = False, rules: Rules = DEFAULT) -> DataFrame:
     """Every input post with its cleaned text, flags and a stage: out_of_window, blank, spam or kept.
 
     kept says whether the row goes on; with drop_spam=False spam rows go on and are still counted.
@@ -25,7 +26,7 @@ def staged(posts: DataFrame, studies: DataFrame, drop_spam: bool = True, only_wi
     if only_window:
         dated = dated.where("in_window")
     cleaned = X.once(X.once(dated, text=X.clean(F.col("text"))), flags=F.array_union(
-        F.coalesce("flags", F.array().cast("array<string>")), X.detect_flags(F.col("text"))))
+        F.coalesce("flags", F.array().cast("array<string>")), X.detect_flags(F.col("text"), rules)))
     is_spam = F.array_contains("flags", "spam")
     stage = (F.when(~F.col("in_window"), F.lit("out_of_window"))
              .when(F.col("text") == "", F.lit("blank"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import vocab
 from ..functions import privacy as P
+from ..rules import DEFAULT, Rules
 
 
 class LeakError(ValueError):
@@ -25,9 +25,9 @@ def _field_paths(dtype: T.DataType, path: str) -> list[str]:
     return []
 
 
-def forbidden_paths(schema: T.StructType) -> list[str]:
+def forbidden_paths(schema: T.StructType, rules: Rules = DEFAULT) -> list[str]:
     """Field paths whose last name is forbidden, anywhere in the schema."""
-    names = set(vocab.FORBIDDEN_FIELDS)
+    names = set(rules.forbidden)
     return [p for p in _field_paths(schema, "") if p.split(".")[-1].split("[")[0].lower() in names]
 
 
@@ -74,18 +74,18 @@ def _strings(dtype: T.DataType, col: Column, path: str) -> list[tuple[str, Colum
     return []
 
 
-def leaks(df: DataFrame, table: str) -> DataFrame:
+def leaks(df: DataFrame, table: str, rules: Rules = DEFAULT) -> DataFrame:
     """(table, path, kind, n): forbidden names and personal data left in string values, one pass."""
     found = []
     for f in df.schema:
         for path, values in _strings(f.dataType, F.col(f"`{f.name}`"), f.name):
-            kinds = F.flatten(F.transform(values, lambda v: P.leak_kinds(v)))
+            kinds = F.flatten(F.transform(values, lambda v: P.leak_kinds(v, rules)))
             found.append(F.transform(kinds, _leak(path)))
         for path, keys in _maps(f.dataType, F.col(f"`{f.name}`"), f.name):
-            bad = F.filter(keys, lambda k: F.lower(k).isin(*vocab.FORBIDDEN_FIELDS))
+            bad = F.filter(keys, lambda k: F.lower(k).isin(*rules.forbidden))
             found.append(F.transform(bad, _forbidden_key(path)))
     # Forbidden column names are reported once per row holding them, like any other leak.
-    for path in forbidden_paths(df.schema):
+    for path in forbidden_paths(df.schema, rules):
         found.append(F.array(F.struct(F.lit(path).alias("path"), F.lit("forbidden_field").alias("kind"))))
     if not found:
         return df.sparkSession.createDataFrame([], "table string, path string, kind string, n long")
@@ -94,8 +94,8 @@ def leaks(df: DataFrame, table: str) -> DataFrame:
             .select(F.lit(table).alias("table"), "path", "kind", "n"))
 
 
-def assert_clean(df: DataFrame, table: str) -> None:
-    first = leaks(df, table).limit(20).collect()
+def assert_clean(df: DataFrame, table: str, rules: Rules = DEFAULT) -> None:
+    first = leaks(df, table, rules).limit(20).collect()
     if first:
         raise LeakError("leak scan failed: " + "; ".join(f"{r.table}.{r.path}: {r.kind} x{r.n}" for r in first))
 
@@ -131,10 +131,10 @@ def public_tables(posts: DataFrame, videos: DataFrame, evidence: DataFrame, topi
     return {"posts": public_posts(posts), "videos": public_videos(videos), "evidence": public_evidence(evidence), "metrics": topics}
 
 
-def export(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
+def export(tables: dict[str, DataFrame], path: str, rules: Rules = DEFAULT) -> dict[str, str]:
     """Scan every table, and only when all are clean write each one below path."""
     for name, df in tables.items():
-        assert_clean(df, name)
+        assert_clean(df, name, rules)
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
     return {name: f"{path}/{name}" for name in tables}

@@ -216,7 +216,11 @@ def fingerprint(tables: dict[str, DataFrame], buckets: int = 256) -> DataFrame:
 
 
 class ChangedDataset(ValueError):
-    """The tables differ from those that a fingerprint was taken of."""
+    """The tables differ from those that a fingerprint was taken of; tables: their names."""
+
+    def __init__(self, tables: list[str]):
+        super().__init__(f"changed since the fingerprint was taken: {', '.join(tables)}")
+        self.tables = tables
 
 
 def require_unchanged(tables: dict[str, DataFrame], stored: DataFrame) -> DataFrame:
@@ -225,5 +229,5 @@ def require_unchanged(tables: dict[str, DataFrame], stored: DataFrame) -> DataFr
     was = {r.table: (r.rows, r.digest) for r in stored.collect()}
     changed = sorted(t for t in now.keys() | was.keys() if now.get(t) != was.get(t))
     if changed:
-        raise ChangedDataset(f"changed since the fingerprint was taken: {', '.join(changed)}")
+        raise ChangedDataset(changed)
     return stored

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from .. import vocab
 from ..functions import text as X
 from ..functions import vectors as V
+from ..rules import DEFAULT, Rules
 from ..session import stage_table
 from .order_stats import order_statistics
 
@@ -54,10 +55,10 @@ def embed_with(texts: DataFrame, key: list[str], model, quality: str) -> DataFra
     return texts.select(*key, run("text").alias("vector"), F.lit(quality).alias("embed_quality"))
 
 
-def topic_centroids(spark: SparkSession, dim: int = 256) -> DataFrame:
-    """Centroids (topic, centroid) of the fixed topics: one row each."""
-    rows = ", ".join(f"('{t}', '{t} {d}')" for t, d in vocab.TOPIC_TEXT.items())
-    return spark.sql(f"select * from values {rows} as t(topic, text)").select(
+def topic_centroids(spark: SparkSession, dim: int = 256, rules: Rules = DEFAULT) -> DataFrame:
+    """Centroids (topic, centroid) of the topics of the rules: one row each."""
+    rows = F.array(*[F.struct(F.lit(t).alias("topic"), F.lit(f"{t} {d}").alias("text")) for t, d in rules.topics.items()])
+    return spark.range(1).select(F.inline(rows)).select(
         "topic", hash_embedding(F.col("text"), dim).alias("centroid"))
 
 

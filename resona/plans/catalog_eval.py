@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..operators import baseline, evaluate, sampling, study_clusters, topics
+from ..session import stage_path
+from . import resume, study
 from .bindings import Tables
 from .catalog_ingest import GOLD_SQL, gold_rows
 from .catalog_metrics import q6, r6
@@ -355,6 +359,46 @@ def ag23(t: Tables) -> DataFrame:
     return sampling.fingerprint({"posts": t.posts, "videos": t.videos, "studies": t.studies})
 
 
+@query("ag23_resumed_run", """
+SELECT 'first' AS attempt, 'relevant' AS stage, 'built' AS outcome, count(*) AS n FROM relevant UNION ALL
+SELECT 'first', 'topics', 'built', count(*) FROM topic_base UNION ALL
+SELECT 'cut off', 'relevant', 'reused', count(*) FROM relevant UNION ALL
+SELECT 'cut off', 'topics', 'built', count(*) FROM topic_base UNION ALL
+SELECT 'again', 'relevant', 'reused', count(*) FROM relevant UNION ALL
+SELECT 'again', 'topics', 'reused', count(*) FROM topic_base UNION ALL
+SELECT 'one like more', 'inputs', 'refused: posts', 0 UNION ALL
+SELECT 'other weights', 'inputs', 'refused: parameters', 0""")
+def ag23_resumed(t: Tables) -> DataFrame:
+    """A run, the same cut off before its topics were entered, once more, then with a changed row and with other parameters."""
+    folder = stage_path(t.spark, "run")
+    tables = {"posts": t.posts, "videos": t.videos, "annotations": t.annotations, "studies": t.studies}
+    out = []
+
+    def attempt(name: str) -> None:
+        run = resume.Run(folder, tables, {"weights": "default"})
+        made = study.metric_tables(t.posts, t.annotations, t.videos, t.studies, run)
+        out.extend(made[s].agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(name).alias("attempt"), F.lit(s).alias("stage"), F.lit(run.outcomes[s]).alias("outcome"), "n") for s in ("relevant", "topics"))
+
+    attempt("first")
+    resume.forget(t.spark, folder, "topics")
+    attempt("cut off")
+    attempt("again")
+    first = t.posts.agg(F.min("post_seq")).first()[0]
+    more = t.posts.withColumn("likes", F.col("likes") + F.when(F.col("post_seq") == first, 1).otherwise(0))
+    for name, changed, weights in (("one like more", {**tables, "posts": more}, "default"), ("other weights", tables, "other")):
+        try:
+            resume.Run(folder, changed, {"weights": weights})
+            outcome = "accepted"
+        except resume.ChangedDataset as e:
+            outcome = "refused: " + ", ".join(e.tables)
+        except resume.ChangedParameters:
+            outcome = "refused: parameters"
+        out.append(t.spark.range(1).select(
+            F.lit(name).alias("attempt"), F.lit("inputs").alias("stage"), F.lit(outcome).alias("outcome"), F.lit(0).cast("long").alias("n")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("ag25_import_statistics", """
 SELECT study_id, count(*) FILTER (length(text) < 10) AS short, count(*) FILTER (length(text) BETWEEN 10 AND 49) AS medium,
   count(*) FILTER (length(text) >= 50) AS long, any_value(m) AS max_per_author,

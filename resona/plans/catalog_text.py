@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import vocab
+from .. import rules, vocab
 from ..functions import privacy as P
 from ..functions import text as X
 from ..operators import effective, normalize, privacy_scan
@@ -207,6 +207,46 @@ def flt8(t: Tables) -> DataFrame:
     return rows.select("post_id", "topic", is_valid_topic(F.col("topic")).alias("valid"))
 
 
+_RULES = [
+    ("flag", "greeting", "(?i)hello|danke"), ("flag", "article", "(?:^| )the "), ("flag", "article", "(?:^| )das "), ("flag", "number", "[0-9]{4}"),
+    ("leak", "account", "QQ:[0-9]+"), ("leak", "promotion", "抽奖$"),
+    ("topic", vocab.TOPICS[0], "立绘"), ("topic", "音乐", "配乐 音乐"),
+]
+
+
+def _rules(t: Tables) -> rules.Rules:
+    entries = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), F.lit(v).alias("value")) for k, n, v in _RULES])
+    return rules.from_table(t.spark.range(1).select(F.inline(entries)))
+
+
+@query("udf4_rules_table", r"""
+SELECT post_id, array_to_string(list_filter([
+    CASE WHEN regexp_matches(text, '(?:^| )the |(?:^| )das ') THEN 'article' END, CASE WHEN regexp_matches(text, '(?i)hello|danke') THEN 'greeting' END,
+    CASE WHEN regexp_matches(text, '[0-9]{4}') THEN 'number' END, CASE WHEN list_contains(new_flags, 'spam') THEN 'spam' END],
+    lambda f: f IS NOT NULL), ',') AS flags,
+  array_to_string(list_filter([CASE WHEN regexp_matches(text, 'QQ:[0-9]+') THEN 'account' END,
+    CASE WHEN regexp_matches(text, '抽奖$') THEN 'promotion' END], lambda f: f IS NOT NULL), ',') AS leaks FROM staged""", **TEXT_CTES)
+def udf4_rules(t: Tables) -> DataFrame:
+    """Flags and kinds of leaks by a table of patterns."""
+    given = _rules(t)
+    cleaned = X.once(t.text_posts, text=X.clean(F.col("text")))
+    return cleaned.select(
+        "post_id", F.array_join(X.detect_flags(F.col("text"), given), ",").alias("flags"),
+        F.array_join(P.leak_kinds(F.col("text"), given), ",").alias("leaks"))
+
+
+@query("udf4_rules_topics", f"""
+SELECT post_id, topic, topic IN ('{vocab.TOPICS[0]}', '音乐') OR (starts_with(topic, 'new:') AND length(topic) > 4) AS valid
+FROM (SELECT post_id, unnest(list_concat(topics, ['new:x', '音乐'])) AS topic FROM labels_last)""")
+def udf4_topics(t: Tables) -> DataFrame:
+    """Validity of topics by a table of topics."""
+    from ..operators.labels import is_valid_topic
+
+    rows = effective.last_annotation(t.annotations).select(
+        "post_id", F.explode(F.concat("topics", F.array(F.lit("new:x"), F.lit("音乐")))).alias("topic"))
+    return rows.select("post_id", "topic", is_valid_topic(F.col("topic"), _rules(t)).alias("valid"))
+
+
 @query("set5_flag_union", f"""
 SELECT post_id, array_to_string(list_concat(['ad'], list_filter(new_flags, lambda f: f <> 'ad')), ',') AS flags
 FROM staged""", **TEXT_CTES)

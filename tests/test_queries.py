@@ -10,7 +10,7 @@ NAMES = [
     "entry_issue_ranking", "ag10_controversy", "ag21_quota_checks", "cmp4_sensitivity", "cl1_claims", "vw7_comparison",
     "dd2_exact_duplicates", "prj4_validation_errors", "prj12_abstain_rows", "rv4_merge_overrides",
     "ev6_evaluate_run", "w7_grouped_split", "vec9_topic_baseline", "vec5_assign_topics", "ev4_cohen_kappa", "prj11_reply_contract", "pii2_string_leaks", "jn14_positional_merge",
-    "st1_stream_import", "st2_stream_first_seen", "src2_json_lines", "src3_json_large_document", "sc5_free_times", "rv5_incremental", "vw8_queue_page", "rv1_route_review",
+    "st1_stream_import", "st2_stream_first_seen", "src2_json_lines", "src3_json_large_document", "ag23_resumed_run", "udf4_rules_table", "udf4_rules_topics", "sc5_free_times", "rv5_incremental", "vw8_queue_page", "rv1_route_review",
 ]
 
 

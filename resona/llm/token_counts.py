@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_groups
 from ..session import stage_path, stage_table
 from .files import TOKENIZERS, read_bytes
 from .mixing import word_count
@@ -139,13 +140,14 @@ def op3(spark, sf_dir):
     path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     versions = {"n_words": WORDS, "n_bpe": BPE}
-    first = bpe_count(docs.withColumn("digest", F.xxhash64(F.coalesce("text", F.lit("")))), path, "text", "n_bpe")
+    first = bpe_count(docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)), path, "text", "n_bpe")
     first = stage_table(first.withColumn("n_words", word_count(F.col("text"))).drop("text"), "token-load")
     revised = docs.withColumn("_short", single_lines("text")).where(F.length("_short") < F.length("text"))
     revised = bpe_count(revised.select("doc_id", "source", "lang", "_short"), path, "_short", "n_bpe")
     revised = stage_table(revised.withColumn("n_words", word_count(F.col("_short"))).drop("_short"), "token-revised")
-    groups = first.groupBy("digest", "n_bpe", "n_words").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    copies = first.join(groups, ["digest", "n_bpe", "n_words"]).where("doc_id > _first").select(
+    groups = first.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # One text may have very many copies.
+    copies = join_groups(first, groups, ["digest"], "_n", "doc_id", "inner").where("doc_id > _first").select(
         "doc_id", F.lit("delete").alias("op"), "source", "lang", F.lit(None).cast("string").alias("version"), F.lit(0).cast("long").alias("tokens"))
     rollup = TokenRollup(spark, stage_path(spark, "token-rollup"))
     batches = {"1-load": _changes(first, "insert", versions), "2-recount": _changes(revised, "revise", versions), "3-copies": copies}

@@ -11,9 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..session import stage_table
+from ..session import bounded_batches, stage_table
 from .order_stats import order_statistics
-from .topics import _labels, assign, dense_similarity, hash_embedding, topic_centroids
+from .topics import _labels, assign, hash_embedding, similarity_lists, topic_centroids
 
 #: Vectors of one study that are multiplied with its centroids at once, and clusters a study can have.
 BLOCK_ROWS, MOST_CLUSTERS = 512, 8
@@ -133,9 +133,10 @@ def priors_by(texts: DataFrame, group: str, seq: str, centroids: DataFrame | Non
     equal to what topics.priors gives for each group alone.
     """
     texts = texts.where(F.col(group).isNotNull() & F.col(seq).isNotNull())
+    bounded_batches(texts.sparkSession)
     vectors = stage_table(texts.select(group, seq, "text", embed(F.col("text")).alias("vector")), "embedded")
     centroids = topic_centroids(texts.sparkSession) if centroids is None else centroids
-    assigned = stage_table(assign(dense_similarity(vectors, centroids, [group, seq]), [group, seq], threshold), "assigned")
+    assigned = stage_table(assign(similarity_lists(vectors, centroids, [group, seq]), [group, seq], threshold), "assigned")
     rest = stage_table(vectors.join(assigned.where(F.size("topics") == 0).select(group, seq), [group, seq], "left_semi"), "unassigned")
     labels = stage_table(kmeans_by(rest, group, seq, min_size).join(rest.select(group, seq, "text"), [group, seq]), "clustered")
     named = stage_table(emerging_by(labels, group, seq, "text", min_size), "new-topics")

@@ -72,9 +72,15 @@ def sc2(t: Tables) -> DataFrame:
     return t.text_posts.select("post_id", F.round(X.cjk_ratio(F.col("text")), 6).alias("cjk_ratio"))
 
 
+def _flagged(t: Tables) -> DataFrame:
+    """post_id and the flags found in its cleaned text, which is cleaned once for all patterns."""
+    cleaned = X.once(t.text_posts.select("post_id", "text"), text=X.clean(F.col("text")))
+    return X.once(cleaned, found=X.detect_flags(F.col("text")))
+
+
 @query("sc3_flags", "SELECT post_id, array_to_string(new_flags, ',') AS flags FROM staged", **TEXT_CTES)
 def sc3(t: Tables) -> DataFrame:
-    return t.text_posts.select("post_id", F.array_join(X.detect_flags(X.clean(F.col("text"))), ",").alias("flags"))
+    return _flagged(t).select("post_id", F.array_join("found", ",").alias("flags"))
 
 
 @query("sc4_day_offset", "SELECT post_id, CAST(day_offset AS INTEGER) AS day_offset FROM dated")
@@ -251,8 +257,7 @@ def udf4_topics(t: Tables) -> DataFrame:
 SELECT post_id, array_to_string(list_concat(['ad'], list_filter(new_flags, lambda f: f <> 'ad')), ',') AS flags
 FROM staged""", **TEXT_CTES)
 def set5(t: Tables) -> DataFrame:
-    found = X.detect_flags(X.clean(F.col("text")))
-    return t.text_posts.select("post_id", F.array_join(F.array_union(F.array(F.lit("ad")), found), ",").alias("flags"))
+    return _flagged(t).select("post_id", F.array_join(F.array_union(F.array(F.lit("ad")), "found"), ",").alias("flags"))
 
 
 # ---------- de-duplication ----------

@@ -15,11 +15,13 @@ from .catalog_labels import _REVIEW_SQL, reviews
 from .registry import query
 
 
-def _landed(df: DataFrame, name: str, files: int = 4) -> tuple[str, DataFrame]:
-    """Rows as a folder of files and a stream over it, one file per trigger."""
+def _landed(df: DataFrame, name: str, triggers: int = 4) -> tuple[str, DataFrame]:
+    """Rows as a folder of files and a stream over it in so many triggers."""
     path = stage_path(df.sparkSession, name)
-    df.repartition(files).write.parquet(path)
-    return path, jobs.read_folder(df.sparkSession, path, df.schema, max_files=1)
+    # As many files a trigger as tasks can write and read at once.
+    each = max(1, df.sparkSession.sparkContext.defaultParallelism // triggers)
+    df.repartition(triggers * each).write.parquet(path)
+    return path, jobs.read_folder(df.sparkSession, path, df.schema, max_files=each)
 
 
 @query("st1_stream_import", """

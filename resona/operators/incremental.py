@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import measures as M
+from ..session import stage_table
 from . import effective, metrics
 
 CELL = ["study_id", "topic", "video_id", "day_offset", "day_index", "in_window", "window_days"]
 SUMS = ["count", *metrics.STANCE_COLUMNS, "engagement_sum", "oppose_sum"]
 POST = ["study_id", "post_id"]
+LABELS = ["ann_seq", "relevant", "topics", "stance", "intensity"]
 
 
 def _cells(relevant: DataFrame) -> DataFrame:
@@ -30,6 +32,15 @@ def _cells(relevant: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("stance") == vocab.OPPOSE, F.col("intensity")).otherwise(0).cast("long")).alias("oppose_sum"))
 
 
+#: What cells, mentions and edges need of a relevant post.
+USED = [*POST, "post_seq", "parent_id", "video_id", "likes", "reply_count", "day_offset", "day_index", "in_window", "window_days", "topics", "stance", "intensity"]
+
+
+def _stored(relevant: DataFrame, name: str) -> DataFrame:
+    """The columns of relevant posts that a store needs, written once, as they are read several times."""
+    return stage_table(relevant.select(*USED), name)
+
+
 def _mentions(relevant: DataFrame) -> DataFrame:
     return metrics.topic_rows(relevant, with_overall=True).select("study_id", "topic", "topic_seq")
 
@@ -76,6 +87,7 @@ def _same_topic(a: DataFrame, b: DataFrame):
 
 def start(relevant: DataFrame, out: str) -> None:
     """A new store over all relevant posts, as batch 0."""
+    relevant = _stored(relevant, "store-relevant")
     _write(_cells(relevant), out, "cells", 0)
     _write(_edges(relevant), out, "edges", 0)
     _write(_mentions(relevant).groupBy("study_id", "topic").agg(F.min("topic_seq").alias("topic_seq")), out, "firsts", 0)
@@ -92,15 +104,17 @@ def correct(dated: DataFrame, old: DataFrame, new: DataFrame, changed: DataFrame
     if batch < 1:
         raise ValueError("batch 0 is the start of a store")
     spark = dated.sparkSession
-    keys = changed.select(*POST).distinct()
+    keys = stage_table(changed.select(*POST).distinct(), "store-changed")
+    old, new = (stage_table(x.select(*POST, *LABELS), name) for x, name in ((old, "store-old"), (new, "store-new")))
 
     def of(posts: DataFrame, labels: DataFrame) -> DataFrame:
         return effective.relevant_posts(posts.join(keys, POST, "left_semi"), labels.join(keys, POST, "left_semi"))
 
-    was, now = of(dated, old), of(dated, new)
+    was, now = _stored(of(dated, old), "store-was"), _stored(of(dated, new), "store-now")
     cells = _signed(_cells(now), _cells(was), SUMS).groupBy(*CELL).agg(*[F.sum(c).alias(c) for c in SUMS])
     _write(cells.where(" or ".join(f"{c} <> 0" for c in SUMS)), out, "cells", batch)
-    edges = _signed(_edges(effective.relevant_posts(dated, new), keys), _edges(effective.relevant_posts(dated, old), keys), ["edges", "opposed"])
+    after, before = (_stored(effective.relevant_posts(dated, x), name) for x, name in ((new, "store-after"), (old, "store-before")))
+    edges = _signed(_edges(after, keys), _edges(before, keys), ["edges", "opposed"])
     _write(edges, out, "edges", batch)
 
     moved = _signed(_mentions(now).withColumn("n", F.lit(1)), _mentions(was).withColumn("n", F.lit(1)), ["n"]).groupBy(
@@ -117,7 +131,7 @@ def correct(dated: DataFrame, old: DataFrame, new: DataFrame, changed: DataFrame
         "study_id", "topic", F.least("_first", "_came").alias("topic_seq")).where("topic_seq is not null")
     if lost.isEmpty():
         return _write(kept, out, "firsts", batch)
-    every = _mentions(effective.relevant_posts(dated, new))
+    every = _mentions(after)
     left = every.join(lost, _same_topic(every, lost), "left_semi").groupBy("study_id", "topic").agg(F.min("topic_seq").alias("_seq"))
     again = lost.join(left, _same_topic(lost, left), "left").select(lost["study_id"], lost["topic"], F.col("_seq").alias("topic_seq"))
     _write(kept.unionByName(again), out, "firsts", batch)

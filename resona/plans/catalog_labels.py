@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..operators import composite, effective, evidence, incremental, labels, metrics, normalize, review, runs, views
-from ..session import stage_path
+from ..session import stage_path, stage_table
 from .bindings import Tables
 from .catalog_ingest import GOLD_SQL, gold_rows
 from .catalog_metrics import _norm, q6, r6
@@ -439,7 +439,7 @@ def rv5_incremental(t: Tables) -> DataFrame:
     """The same metrics from a store over the uncorrected labels, to which two batches of corrections are added."""
     out = stage_path(t.spark, "metric-store")
     incremental.start(t.relevant, out)
-    log, old = reviews(t), t.annotations
+    log, old = stage_table(reviews(t), "review-log"), t.annotations
     for batch in (1, 2):
         upto = log if batch == 2 else log.where("review_seq % 3 = 0")
         new = review.merge(t.annotations, upto).select(t.annotations.columns)

@@ -249,7 +249,7 @@ def test_ids_with_different_texts_are_left_alone(spark):
     assert left == sorted([*docs[:3], (3, own), (3, own), (None, text)], key=str)
 
 
-def _corpus(rng):
+def _passage_corpus(rng):
     """Documents with a group of copies, a group of near copies, passages inside lines, over lines and next to each other, and hard-wrapped paragraphs."""
     words = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(n)]
     wrap = lambda w, n: "\n".join(" ".join(w[i:i + n]) for i in range(0, len(w), n))
@@ -281,7 +281,7 @@ def _runs(text, n=substrings.RUN_WORDS):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_repeats_against_plain_counting(spark, seed):
-    docs = _corpus(random.Random(seed))
+    docs = _passage_corpus(random.Random(seed))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = substrings.repeated_paragraphs(df)
     rows = found.collect()

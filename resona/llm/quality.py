@@ -22,6 +22,8 @@ SAMPLE = 8_000
 #: Features of fewer sample documents are left out; the L1 penalty is this over the root of the sample's size; most steps of the fit.
 MIN_DOCS, PENALTY, STEPS = 4, 0.02, 100
 GRADES = 3
+#: Values of the sample that are looked up at once.
+CELLS = 1 << 18
 _ODD_ENDS = frozenset(b"!$#%&*@^~<>=+")
 _EDGE = b".,;:!?\"'()[]"
 
@@ -75,6 +77,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
+def _frequent(flat: np.ndarray, times: int) -> np.ndarray:
+    """Sorted distinct values that occur so many times at least."""
+    ordered, gap = np.sort(flat), max(times, 1) - 1
+    return np.unique(ordered[gap:][ordered[gap:] == ordered[:max(0, len(ordered) - gap)]])
+
+
+def _cells(flat: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column (place among the sorted keys) of every value that is one of the keys; rows have so many values. Looked up in parts of bounded size."""
+    ends = np.cumsum(sizes)
+    rows, columns = [], []
+    for lo in range(0, len(flat) if len(keys) else 0, CELLS):
+        part = flat[lo:lo + CELLS]
+        at = np.searchsorted(keys, part)
+        at[at == len(keys)] = 0
+        use = np.flatnonzero(keys[at] == part)
+        columns.append(at[use].astype(np.int32))
+        rows.append(np.searchsorted(ends, use + lo, "right").astype(np.int32))
+    none = np.empty(0, np.int32)
+    return np.concatenate([none, *rows]), np.concatenate([none, *columns])
+
+
 def fit(sample: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, min_docs: int = MIN_DOCS, penalty: float = PENALTY,
         steps: int = STEPS) -> Ordinal:
     """Maximum likelihood with an L1 penalty on the weights, by accelerated proximal steps.
@@ -87,11 +110,9 @@ def fit(sample: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, mi
     share = np.array([((y > j).sum() + 0.5) / (len(y) + 1.0) for j in range(n_grades - 1)])
     theta = np.log(1 - share) - np.log(share)
     flat = np.concatenate(sample) if sample else np.empty(0, np.uint64)
-    keys, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(y)), [len(s) for s in sample])
-    use = (seen >= min_docs)[column]
-    number = np.cumsum(seen >= min_docs) - 1
-    keys, column, row = keys[seen >= min_docs], number[column[use]], row[use]
+    keys = _frequent(flat, min_docs)
+    row, column = _cells(flat, np.array([len(s) for s in sample], np.int64), keys)
+    del flat
     width, penalty = len(keys), penalty / len(y) ** 0.5
     if not width or len(np.unique(y)) < 2:
         return Ordinal(keys, np.zeros(width), theta)
@@ -153,7 +174,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Ordinal:
 
     def fitted(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("doc_id", "ascending"), ("found", "ascending")])
-        model = fit([np.frombuffer(x, np.uint64) for x in rows.column("found").to_pylist()], rows.column("grade").to_numpy())
+        # Views of Arrow's own memory, no copies.
+        sample, grades = [np.frombuffer(x.as_buffer() or b"", np.uint64) for x in rows.column("found")], rows.column("grade").to_numpy()
+        del rows
+        model = fit(sample, grades)
         return pa.table({"keys": [model.keys.tobytes()], "weights": [model.weights.tobytes()], "thresholds": [model.thresholds.tobytes()]})
 
     sample = rated.mapInArrow(shown, "doc_id long, grade int, found binary")

@@ -10,6 +10,9 @@ resemble each other (a prefix filter without false negatives), so posts are inde
 the earliest few undecided posts of each list with the later ones; a post that resembles an
 earlier one is set aside at once and makes no further comparisons. A group of near copies
 thus costs one comparison per member, however large it is.
+
+Long texts hold nearly all common bigrams; two of them are compared in blocks (long_pairs.py).
+A block gives every later text that resembles a head that the block has not set aside.
 """
 
 from __future__ import annotations
@@ -29,10 +32,11 @@ from .. import vocab
 from ..functions.similarity import is_near
 from ..session import stage_table
 from .normalize import first_of_copies
+from .long_pairs import long_pairs
 from .skew import hot_keys, join_groups, replicated, salted
 
 BUCKET = 6
-#: Last bucket whose texts are listed by bigrams (192 characters), and slots of the bigram counts.
+#: Last bucket whose texts are listed by bigrams (192 characters); from it on, texts are long to each other. And slots of the bigram counts.
 LONG_BUCKET, SLOTS = 32, 1 << 20
 KEY = ["study_id", "post_seq"]
 LIST = ["study_id", "bucket", "ch"]
@@ -85,8 +89,8 @@ def rare_bigrams(text: str, spread: np.ndarray) -> list[str]:
 def with_prefix(texts: DataFrame) -> DataFrame:
     """Add len, bucket and prefix, the names of the lists a text is in; two similar texts share at least one.
 
-    Texts of up to LONG_BUCKET are in the lists of their rare bigrams. Longer ones hold nearly all common bigrams, so
-    they are in one list per bucket, named by the empty string; the last bucket of the others is in both kinds.
+    Texts of up to LONG_BUCKET are in the lists of their rare bigrams. Longer ones hold nearly all common bigrams; they are
+    in no list and meet each other in blocks, as do those of the last bucket of the others.
     """
     n = F.length("text")
     base = texts.select(*KEY, "text", n.alias("len"), F.floor(n / BUCKET).alias("bucket"))
@@ -103,17 +107,13 @@ def with_prefix(texts: DataFrame) -> DataFrame:
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def lists(texts: pd.Series) -> pd.Series:
-        own = []
-        for t in texts:
-            bucket = len(t) // BUCKET
-            own.append((rare_bigrams(t, shared.value) if bucket <= LONG_BUCKET else []) + ([""] if bucket >= LONG_BUCKET else []))
-        return pd.Series(own, dtype=object)
+        return pd.Series([rare_bigrams(t, shared.value) if len(t) // BUCKET <= LONG_BUCKET else [] for t in texts], dtype=object)
 
     return base.withColumn("prefix", lists("text"))
 
 
 def _candidates(probes: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (p, w), p earlier, that share a list of p and pass the length rule; each pair once.
+    """Pairs (p, w), p earlier, that share a list of p, pass the length rule and are not both long; each pair once.
 
     probes: KEY, bucket, len, chars (its lists); members: KEY, bucket, len, prefix.
     """
@@ -128,6 +128,7 @@ def _candidates(probes: DataFrame, members: DataFrame) -> DataFrame:
     gap = F.abs(F.col("p_len") - F.col("w_len"))
     return pairs.where(
         (F.col("p") < F.col("w"))
+        & ((F.col("p_bucket") < LONG_BUCKET) | (F.col("bucket") < LONG_BUCKET))
         & (gap <= F.greatest(F.lit(3.0), 0.15 * F.greatest("p_len", "w_len")))
         & (F.array_intersect("chars", "prefix")[0] == F.col("ch"))).select("study_id", "p", "w", "p_bucket")
 
@@ -150,15 +151,34 @@ def _minus(rows: DataFrame, found: DataFrame, column: str) -> DataFrame:
     return rows.join(gone, KEY, "left_anti")
 
 
-def _scan(active: DataFrame, fresh: DataFrame, vertices: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Compare every fresh post with the later active ones of its lists; set matched posts aside."""
+def _long_edges(vertices: DataFrame, fresh: DataFrame | None) -> DataFrame:
+    """Every long text that resembles a fresh long one which no earlier fresh one has set aside; fresh None: all are."""
+    long = vertices.where(F.col("bucket") >= LONG_BUCKET).withColumns({"head": F.lit(True), "later": F.lit(True)})
+    if fresh is not None:
+        own = long.select(*KEY, "bucket").join(fresh, KEY, "left_semi")
+        around = own.select("study_id", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket")).distinct()
+        heads = own.select(*KEY, F.lit(True).alias("_fresh"))
+        long = long.join(around, ["study_id", "bucket"], "left_semi").join(heads, KEY, "left").withColumn(
+            "head", F.coalesce("_fresh", F.lit(False))).drop("_fresh")
+    return long_pairs(long, "heads", _tasks(vertices)).drop("near")
+
+
+def _scan(active: DataFrame, fresh: DataFrame | None, vertices: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Compare every fresh post (None: all) with the later active ones of its lists; set matched posts aside.
+
+    Long texts that were set aside are compared with fresh ones, too, so all edges of a long text that stays active are known.
+    """
     edges: list[DataFrame] = []
+    found = _stored(_long_edges(vertices, fresh))
+    if not found.isEmpty():
+        edges.append(found)
+        active = _stored(_minus(active, found, "w"))
     done: DataFrame | None = None
     size = 1
     slim = vertices.drop("text")
     while True:
         now = slim.join(active, KEY, "left_semi")
-        pool = now.join(fresh, KEY, "left_semi").withColumn("ch", F.explode("prefix"))
+        pool = (now if fresh is None else now.join(fresh, KEY, "left_semi")).withColumn("ch", F.explode("prefix"))
         if done is not None:
             pool = pool.join(done, [*KEY, "ch"], "left_anti")
         first = W.partitionBy(*LIST).orderBy("post_seq")
@@ -196,7 +216,7 @@ def head_of(texts: DataFrame) -> DataFrame:
     def probes_of(keys: DataFrame) -> DataFrame:
         return slim.join(keys, KEY, "left_semi").withColumnRenamed("prefix", "chars")
 
-    active, edges = _scan(everyone, everyone, vertices)
+    active, edges = _scan(everyone, None, vertices)
     while True:
         # A post set aside stays aside when it resembles a post that is still active. The others
         # were set aside by posts that were set aside themselves, and are looked at again.
@@ -234,7 +254,7 @@ def _nearest_heads(heads: DataFrame, edges: DataFrame, vertices: DataFrame) -> D
 
 def mark_duplicates(kept: DataFrame) -> DataFrame:
     """Flag exact and near copies as duplicate; a group carries the hash of its head."""
-    marked = _stored(first_of_copies(kept))
+    marked = first_of_copies(kept, stored=True)
     firsts = marked.where("is_first")
     owner = head_of(firsts.select(*KEY, "text")).where("head_seq <> post_seq")
     hashes = firsts.select(*KEY, "exact_hash")
@@ -251,14 +271,34 @@ def mark_duplicates(kept: DataFrame) -> DataFrame:
         "_head_hash")
 
 
+def distinct_texts(kept: DataFrame) -> DataFrame:
+    """study_id, post_seq, text of the first of each group of copies."""
+    return first_of_copies(kept.select("study_id", "post_seq", "text"), stored=True).where("is_first").select("study_id", "post_seq", "text")
+
+
 def candidate_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (study_id, p, w), p earlier, that share a list and pass the length rule; and the texts with their lists."""
+    """Pairs (study_id, p, w), p earlier, that share a list, pass the length rule and are not both long; and the texts with their lists."""
     vertices = _stored(with_prefix(texts))
     slim = vertices.drop("text")
     return _candidates(slim.withColumn("chars", F.col("prefix")), slim), vertices
 
 
+def _long_pairs(vertices: DataFrame, mode: str) -> DataFrame:
+    long = vertices.where(F.col("bucket") >= LONG_BUCKET).withColumns({"head": F.lit(True), "later": F.lit(True)})
+    return long_pairs(long, mode, _tasks(vertices))
+
+
+def checked_pairs(texts: DataFrame) -> DataFrame:
+    """Every candidate pair (study_id, p, w), p earlier, with the result of the check: pairs of one list, and all long texts of touching buckets."""
+    pairs, vertices = candidate_pairs(texts)
+    own = vertices.select("study_id", "post_seq", "text")
+    joined = pairs.select("study_id", "p", "w").join(own.withColumnsRenamed({"post_seq": "p", "text": "head"}), ["study_id", "p"]).join(
+        own.withColumnsRenamed({"post_seq": "w", "text": "later"}), ["study_id", "w"])
+    return joined.select("study_id", "p", "w", is_near("later", "head").alias("near")).unionByName(
+        _long_pairs(vertices, "every").drop("p_bucket"))
+
+
 def similar_pairs(texts: DataFrame) -> DataFrame:
     """Every similar pair (p, w) of distinct texts, p earlier."""
     pairs, vertices = candidate_pairs(texts)
-    return _verified(pairs, vertices).select("study_id", "p", "w")
+    return _verified(pairs, vertices).select("study_id", "p", "w").unionByName(_long_pairs(vertices, "similar").select("study_id", "p", "w"))

@@ -13,8 +13,12 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..rules import DEFAULT, Rules
+from ..session import stage_table
 from .effective import with_offsets
 
+#: Rows of a list of numbers up to which it is sent to all tasks instead of joined.
+BROADCAST_IDS = 500_000
+
 
 def staged(posts: DataFrame, studies: DataFrame, drop_spam: bool = True, only_window: bool = False, rules: Rules = DEFAULT) -> DataFrame:
     """Every input post with its cleaned text, flags and a stage: out_of_window, blank, spam or kept.
@@ -36,15 +40,21 @@ def staged(posts: DataFrame, studies: DataFrame, drop_spam: bool = True, only_wi
         "kept", F.col("stage").isin("kept") | (F.col("stage") == going_on))
 
 
-def first_of_copies(kept: DataFrame) -> DataFrame:
+def first_of_copies(kept: DataFrame, stored: bool = False) -> DataFrame:
     """Add exact_hash and is_first: whether the post is the earliest with its text.
 
     The earliest post_seq per hash comes from a map-side combined minimum and is joined back on
-    post_seq, which is unique, so a text copied into a third of all rows makes no hot key.
+    post_seq, which is unique, so a text copied into a third of all rows makes no hot key. With
+    stored, the posts are written first, so that their texts are cleaned once for both sides, and moved only for very many heads.
     """
     hashed = X.once(kept, exact_hash=X.exact_hash(F.col("text")))
+    if stored:
+        hashed = stage_table(hashed, "hashed")
     heads = hashed.groupBy("study_id", "exact_hash").agg(F.min("post_seq").alias("post_seq")).select(
         "study_id", "post_seq", F.lit(True).alias("_first"))
+    if stored:
+        heads = stage_table(heads, "first-of-copies")
+        heads = F.broadcast(heads) if heads.count() <= BROADCAST_IDS else heads
     return (hashed.join(heads, ["study_id", "post_seq"], "left")
             .withColumn("is_first", F.coalesce("_first", F.lit(False))).drop("_first"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import is_near
 from ..operators import near_duplicates, normalize
 from ..session import stage_path
 from ..streaming import jobs
@@ -69,8 +68,7 @@ def st4(t: Tables) -> DataFrame:
 
 
 def _distinct_texts(t: Tables) -> DataFrame:
-    kept = normalize.staged(t.text_posts, t.studies).where("kept").drop("kept", "stage")
-    return normalize.first_of_copies(kept).where("is_first").select("study_id", "post_seq", "text")
+    return near_duplicates.distinct_texts(normalize.staged(t.text_posts, t.studies).where("kept"))
 
 
 @query("jn15_near_duplicate_join")
@@ -82,8 +80,4 @@ def jn15(t: Tables) -> DataFrame:
 @query("udf3_pair_similarity")
 def udf3(t: Tables) -> DataFrame:
     """The pair check on every candidate pair (checked against the plain measure in the tests)."""
-    pairs, vertices = near_duplicates.candidate_pairs(_distinct_texts(t))
-    texts = vertices.select("study_id", "post_seq", "text")
-    joined = pairs.select("study_id", "p", "w").join(texts.withColumnsRenamed({"post_seq": "p", "text": "head"}), ["study_id", "p"]).join(
-        texts.withColumnsRenamed({"post_seq": "w", "text": "later"}), ["study_id", "w"])
-    return joined.select("p", "w", is_near("later", "head").alias("near"))
+    return near_duplicates.checked_pairs(_distinct_texts(t)).select("p", "w", "near")

@@ -135,6 +135,7 @@ def _candidates(probes: DataFrame, members: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     """The pairs whose texts are similar (later text first: the measure is not symmetric)."""
+    pairs = _stored(pairs)  # read three times
     later = vertices.select("study_id", F.col("post_seq").alias("w"), F.col("text").alias("later"))
     per_head = pairs.groupBy("study_id", "p").agg(F.count(F.lit(1)).alias("n"))
     heads = vertices.select("study_id", F.col("post_seq").alias("p"), F.col("text").alias("head"))

@@ -136,6 +136,7 @@ def _candidates(probes: DataFrame, members: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     """The pairs whose texts are similar (later text first: the measure is not symmetric)."""
     pairs = _stored(pairs)  # read three times
+    vertices = vertices.where(F.col("bucket") <= LONG_BUCKET)  # the texts that are in lists
     later = vertices.select("study_id", F.col("post_seq").alias("w"), F.col("text").alias("later"))
     per_head = pairs.groupBy("study_id", "p").agg(F.count(F.lit(1)).alias("n"))
     heads = vertices.select("study_id", F.col("post_seq").alias("p"), F.col("text").alias("head"))
@@ -292,7 +293,7 @@ def _long_pairs(vertices: DataFrame, mode: str) -> DataFrame:
 def checked_pairs(texts: DataFrame) -> DataFrame:
     """Every candidate pair (study_id, p, w), p earlier, with the result of the check: pairs of one list, and all long texts of touching buckets."""
     pairs, vertices = candidate_pairs(texts)
-    own = vertices.select("study_id", "post_seq", "text")
+    own = vertices.where(F.col("bucket") <= LONG_BUCKET).select("study_id", "post_seq", "text")
     joined = pairs.select("study_id", "p", "w").join(own.withColumnsRenamed({"post_seq": "p", "text": "head"}), ["study_id", "p"]).join(
         own.withColumnsRenamed({"post_seq": "w", "text": "later"}), ["study_id", "w"])
     return joined.select("study_id", "p", "w", is_near("later", "head").alias("near")).unionByName(
